@@ -146,45 +146,38 @@ def segment(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     sentences, all inside the document's own row. So the owning article needs no window
     and the whole operator no shuffle, however long a document is.
     """
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("_lang"), F.col(text).alias("_text"))
+    owner = F.col("_lang")
     chunks = F.transform(
-        F.split(F.col(text), r"(?:^|\n)(?=[ \t]*" + R.ARTICLE_ANY + ")"),
-        lambda c: F.struct(F.substring(c, 1, 80).alias("head"), F.split(c, "\n").alias("lines")),
+        F.split(F.col("_text"), r"(?:^|\n)(?=[ \t]*" + R.ARTICLE_ANY + ")"),
+        lambda c: F.struct(
+            F.substring(c, 1, 80).alias("head"),
+            F.transform(F.split(c, "\n"), lambda s: F.struct(_line_kind(s, owner).alias("kind"), s.alias("line"))).alias("lines"),
+        ),
     )
-    # A marked line stays whole; any other is cut after each sentence.
-    marked = (
-        r"^[ \t]*(?:" + R.ARTICLE_ANY + "|" + R.LIST_ITEM + "|" + R.FOOTNOTE_BODY + "|" + R.MD_HEADING
-        + "|" + R.TABLE_ROW + "|"
-        + "|".join(R.MARKERS[c][k] for c in R.LANGUAGES for k in ("clause", "item")) + ")"
-    )
-    pieces = F.flatten(
-        F.transform(
-            chunks,
-            lambda c: F.flatten(
-                F.transform(
-                    c["lines"],
-                    lambda line: F.transform(
-                        F.when(line.rlike(marked), F.array(line)).otherwise(F.split(line, R.SENTENCE_CUT)),
-                        lambda s: F.struct(c["head"].alias("head"), F.trim(s).alias("text")),
-                    ),
-                )
-            ),
+
+    # a marked line stays whole; any other is cut after each sentence
+    def pieces_of(chunk: Column, line: Column) -> Column:
+        cut = F.when(line["kind"] == "sentence", F.split(line["line"], R.SENTENCE_CUT)).otherwise(F.array(line["line"]))
+        return F.transform(
+            cut, lambda s: F.struct(chunk["head"].alias("head"), line["kind"].alias("kind"), F.trim(s).alias("text"))
         )
+
+    pieces = F.flatten(
+        F.transform(chunks, lambda c: F.flatten(F.transform(c["lines"], lambda line: pieces_of(c, line))))
     )
     kept = F.filter(pieces, lambda p: p["text"] != "")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.posexplode(kept).alias("seg_no", "s"))
-    kind = _line_kind(F.col("text"), F.col("lang"))
-    return (
-        rows.select("doc_id", "lang", "seg_no", F.col("s.head").alias("head"), F.col("s.text").alias("text"))
-        .withColumn("kind", kind)
-        .select(
-            "doc_id", "lang", "seg_no",
-            article_number(F.col("head")).alias("article"),
-            "kind",
-            F.when(F.col("kind") == "article", 1).when(F.col("kind") == "clause", 2)
-            .when(F.col("kind") == "item", 3).otherwise(4).alias("level"),
-            _number(F.col("text"), F.col("kind"), F.col("lang")).alias("number"),
-            "text",
-        )
+    rows = docs.select("doc_id", owner.alias("lang"), F.posexplode(kept).alias("seg_no", "s"))
+    kind, level = F.col("kind"), None
+    for name, depth in R.LEVELS.items():
+        level = (F if level is None else level).when(kind == name, depth)
+    return rows.select("doc_id", "lang", "seg_no", "s.head", "s.kind", "s.text").select(
+        "doc_id", "lang", "seg_no",
+        article_number(F.col("head")).alias("article"),
+        "kind",
+        level.otherwise(4).alias("level"),
+        _number(F.col("text"), kind, F.col("lang")).alias("number"),
+        "text",
     )
 
 
