@@ -9,6 +9,7 @@ from bitext_engine import rules as R
 from bitext_engine.functions.blocks import BLOCK, previous_blocked, row_number_blocked
 from bitext_engine.functions.text import count_of
 from bitext_engine.operators.text import by_language
+from bitext_engine.session import cut_lineage
 
 KINDS = (
     "article", "clause", "item", "list_item", "footnote_mark", "footnote_body",
@@ -52,37 +53,62 @@ def inventory(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     return to_long(inventory_wide(docs, doc_id, text, lang))
 
 
+def by_side(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of documents under the pairs they belong to, with ``side`` source or target.
+
+    Both sides come from one join, so what computes ``rows`` runs once, and an aggregate
+    by pair takes the place of a full outer join.
+    """
+    sides = pairs.select(
+        "pair_id",
+        F.explode(
+            F.array(
+                F.struct(F.lit("source").alias("side"), F.col("source_doc_id").alias("doc_id")),
+                F.struct(F.lit("target").alias("side"), F.col("target_doc_id").alias("doc_id")),
+            )
+        ).alias("_s"),
+    ).select("pair_id", "_s.*")
+    return sides.join(rows, "doc_id").drop("doc_id")
+
+
+def _on(side: str, value: Column) -> Column:
+    return F.when(F.col("side") == side, value)
+
+
+def _paired_counts(pairs: DataFrame, inv: DataFrame) -> DataFrame:
+    """One row per pair: ``c``, an array of (kind, n_source, n_target, status)."""
+    sums = [
+        F.coalesce(F.sum(_on(side, F.col(k))), F.lit(0)).cast("long").alias(f"{side}_{k}")
+        for k in KINDS for side in ("source", "target")
+    ]
+    both = by_side(pairs, inv).groupBy("pair_id").agg(*sums)
+
+    def judged(kind: str) -> Column:
+        n, m = F.col(f"source_{kind}"), F.col(f"target_{kind}")
+        unequal = "FAIL" if kind in R.DECISIVE_KINDS else "WARN"
+        return F.struct(
+            F.lit(kind).alias("kind"), n.alias("n_source"), m.alias("n_target"),
+            F.when(n == m, "PASS").otherwise(unequal).alias("status"),
+        )
+
+    return both.select("pair_id", F.array(*[judged(k) for k in KINDS]).alias("c"))
+
+
 def compare_counts(pairs: DataFrame, inv: DataFrame) -> DataFrame:
-    """Per pair and kind: both counts and PASS, FAIL or WARN."""
-    src = pairs.select("pair_id", F.col("source_doc_id").alias("doc_id")).join(inv, "doc_id")
-    tgt = pairs.select("pair_id", F.col("target_doc_id").alias("doc_id")).join(inv, "doc_id")
-    both = (
-        src.select("pair_id", "kind", F.col("n").alias("n_source"))
-        .join(tgt.select("pair_id", "kind", F.col("n").alias("n_target")), ["pair_id", "kind"], "full")
-        .na.fill(0, ["n_source", "n_target"])
-    )
-    status = (
-        F.when(F.col("n_source") == F.col("n_target"), "PASS")
-        .when(F.col("kind").isin(*R.DECISIVE_KINDS), "FAIL")
-        .otherwise("WARN")
-    )
-    return both.withColumn("status", status)
+    """Per pair and kind: both counts and PASS, FAIL or WARN. ``inv``: :func:`inventory_wide`."""
+    return _paired_counts(pairs, inv).select("pair_id", F.inline("c"))
 
 
 def verify_structure(pairs: DataFrame, inv: DataFrame) -> DataFrame:
     """Per pair: PASS unless a decisive kind differs; which kinds failed or warn."""
     names = lambda status: F.array_join(
-        F.sort_array(F.collect_list(F.when(F.col("status") == status, F.col("kind")))), ","
+        F.array_sort(F.transform(F.filter("c", lambda x: x["status"] == status), lambda x: x["kind"])), ","
     )
-    # at most one row per kind and pair: the lists hold eleven names at most
-    return (
-        compare_counts(pairs, inv)
-        .groupBy("pair_id")
-        .agg(
-            F.when(F.bool_and(F.col("status") != "FAIL"), "PASS").otherwise("FAIL").alias("status"),
-            names("FAIL").alias("failed_kinds"),
-            names("WARN").alias("warned_kinds"),
-        )
+    return _paired_counts(pairs, inv).select(
+        "pair_id",
+        F.when(F.exists("c", lambda x: x["status"] == "FAIL"), "FAIL").otherwise("PASS").alias("status"),
+        names("FAIL").alias("failed_kinds"),
+        names("WARN").alias("warned_kinds"),
     )
 
 
@@ -91,17 +117,13 @@ def articles(headings: DataFrame) -> DataFrame:
     return headings.where(F.col("kind") == "article").select("doc_id", "num", F.col("seg_no").alias("pos"))
 
 
-def _side(pairs: DataFrame, art: DataFrame, side: str) -> DataFrame:
-    return pairs.select("pair_id", F.col(f"{side}_doc_id").alias("doc_id")).join(art, "doc_id").drop("doc_id")
-
-
 def missing_articles(pairs: DataFrame, art: DataFrame) -> DataFrame:
     """Article numbers found on one side only."""
-    src = _side(pairs, art, "source").select("pair_id", "num").distinct().withColumn("_s", F.lit(1))
-    tgt = _side(pairs, art, "target").select("pair_id", "num").distinct().withColumn("_t", F.lit(1))
-    both = src.join(tgt, ["pair_id", "num"], "full").where(F.col("_s").isNull() | F.col("_t").isNull())
-    return both.select(
-        "pair_id", "num", F.when(F.col("_t").isNull(), "missing").otherwise("extra").alias("problem")
+    sides = by_side(pairs, art.select("doc_id", "num")).groupBy("pair_id", "num").agg(
+        F.bool_or(F.col("side") == "source").alias("_s"), F.bool_or(F.col("side") == "target").alias("_t")
+    )
+    return sides.where(~(F.col("_s") & F.col("_t"))).select(
+        "pair_id", "num", F.when(F.col("_s"), "missing").otherwise("extra").alias("problem")
     )
 
 
@@ -109,12 +131,12 @@ def shifted_sections(pairs: DataFrame, art: DataFrame) -> DataFrame:
     """Numbers on both sides whose rank among the common numbers differs.
 
     Ranking only common numbers keeps one missing article from shifting all later ones.
+    The positions are written down before they are ranked, as ranking reads them twice.
     """
-    first = lambda side, name: (
-        _side(pairs, art, side).groupBy("pair_id", "num").agg(F.min("pos").alias(name))
-    )
-    common = first("source", "source_pos").join(first("target", "target_pos"), ["pair_id", "num"])
-    ranked = common
+    common = by_side(pairs, art).groupBy("pair_id", "num").agg(
+        F.min(_on("source", F.col("pos"))).alias("source_pos"), F.min(_on("target", F.col("pos"))).alias("target_pos")
+    ).where(F.col("source_pos").isNotNull() & F.col("target_pos").isNotNull())
+    ranked = cut_lineage(common)
     for side in ("source", "target"):
         pos = f"{side}_pos"
         ranked = row_number_blocked(
@@ -169,18 +191,14 @@ def article_deltas(pairs: DataFrame, segments: DataFrame) -> DataFrame:
         F.count_if(F.col("kind").isin("item", "list_item")).alias("items"),
     )
 
-    def side(which: str) -> DataFrame:
-        p = pairs.select("pair_id", F.col(f"{which}_doc_id").alias("doc_id"))
-        return p.join(per, "doc_id").select(
-            "pair_id", "article",
-            F.col("sentences").alias(f"{which}_sentences"), F.col("items").alias(f"{which}_items"),
-        )
-
-    counts = ["source_sentences", "source_items", "target_sentences", "target_items"]
-    both = side("source").join(side("target"), ["pair_id", "article"], "full").na.fill(0, counts)
+    sums = [
+        F.coalesce(F.sum(_on(side, F.col(what))), F.lit(0)).cast("long").alias(f"{side}_{what}")
+        for side in ("source", "target") for what in ("sentences", "items")
+    ]
+    both = by_side(pairs, per).groupBy("pair_id", "article").agg(*sums)
     return both.where(
         (F.col("source_sentences") != F.col("target_sentences")) | (F.col("source_items") != F.col("target_items"))
-    ).select("pair_id", "article", *counts)
+    )
 
 
 BLOCK_KINDS = ("heading", "paragraph", "list_item", "table_row", "footnote", "header", "footer", "nav", "comment")

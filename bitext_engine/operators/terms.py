@@ -98,40 +98,42 @@ def self_overlapping(term: Column) -> Column:
     )
 
 
-def _widths(terms: DataFrame, width: Column) -> list[int]:
-    # the different lengths of glossary terms: a handful of small numbers
-    return sorted(r[0] for r in terms.select(width.cast("int").alias("k")).distinct().collect() if r[0])
+def term_shape(terms: DataFrame) -> dict[str, list[int]]:
+    """Languages of a glossary and the lengths of its terms there, in words or characters.
+
+    A handful of small numbers: the only thing about a glossary the driver looks at.
+    """
+    spaced = F.col("lang").isin(*R.SPACED_LANGUAGES)
+    length = F.when(spaced, F.size(words(F.col("term")))).otherwise(F.length("term"))
+    shape: dict[str, list[int]] = {}
+    for lang, k in terms.select("lang", length.alias("k")).distinct().orderBy("lang", "k").collect():
+        if k:
+            shape.setdefault(lang, []).append(k)
+    return shape
 
 
 def term_counts(
-    texts: DataFrame, terms: DataFrame, spaced: bool, doc_id: str = "doc_id", text: str = "text", lang: str = "lang"
+    texts: DataFrame, terms: DataFrame, spaced: bool, widths: Sequence[int],
+    doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
 ) -> DataFrame:
     """(doc_id, lang, term, n): how often each term of a language occurs in each text.
 
-    ``terms``: distinct (term, lang). In languages with spaces whole words are matched, in
-    the others any place counts, without overlap. Both ways are one equi-join of the
-    texts' windows with the terms, so the work grows with the text and not with
-    text times terms.
+    ``terms``: (term, lang), of the given ``widths``. In languages with spaces whole words
+    are matched, in the others any place counts, without overlap. Both ways are one
+    equi-join of the texts' windows with the terms, so the work grows with the text
+    and not with text times terms.
     """
     terms = terms.select("term", "lang").distinct()
     if spaced:
-        keyed = terms.withColumn("_w", words(F.col("term"))).where(F.size("_w") > 0).select(
-            "term", "lang", F.array_join("_w", " ").alias("gram"), F.size("_w").alias("k")
-        )
-        widths = _widths(keyed, F.col("k"))
-        if not widths:
-            widths = [1]
+        keyed = terms.select("term", "lang", F.array_join(words(F.col("term")), " ").alias("gram"))
         tokens = texts.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), words(F.col(text)).alias("_w"))
         grams = tokens.select(
             "doc_id", "lang", F.explode(F.concat(*[shingles(F.col("_w"), k) for k in widths])).alias("gram")
         )
-        return grams.join(keyed.drop("k"), ["gram", "lang"]).groupBy("doc_id", "lang", "term").agg(
+        return grams.join(keyed, ["gram", "lang"]).groupBy("doc_id", "lang", "term").agg(
             F.count(F.lit(1)).alias("n")
         )
-    keyed = terms.where(F.length("term") > 0).withColumn("_loop", self_overlapping(F.col("term")))
-    widths = _widths(keyed, F.length("term"))
-    if not widths:
-        widths = [1]
+    keyed = terms.withColumn("_loop", self_overlapping(F.col("term")))
     # positions of different widths are shifted against each other, which does not matter:
     # only those of one term are compared
     windows = F.concat(*[char_windows(F.col(text), k) for k in widths])
@@ -159,11 +161,19 @@ def term_counts(
 
 
 def all_term_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """:func:`term_counts` with the way of matching chosen by language."""
-    spaced = F.col("lang").isin(*R.SPACED_LANGUAGES)
-    return term_counts(texts.where(spaced), terms.where(spaced), True).unionByName(
-        term_counts(texts.where(~spaced), terms.where(~spaced), False)
-    )
+    """:func:`term_counts` with the way of matching chosen by language; a way that no term
+    needs is not planned at all."""
+    shape = term_shape(terms)
+    parts = []
+    for spaced in (True, False):
+        langs = [code for code in shape if (code in R.SPACED_LANGUAGES) == spaced]
+        if langs:
+            widths = sorted({k for code in langs for k in shape[code]})
+            mine = F.col("lang").isin(*langs)
+            parts.append(term_counts(texts.where(mine), terms.where(mine), spaced, widths))
+    if not parts:
+        return term_counts(texts.where(F.lit(False)), terms.where(F.lit(False)), True, [1])
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def check_usage(pairs: DataFrame, texts: DataFrame, glossary: DataFrame) -> DataFrame:

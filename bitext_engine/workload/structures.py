@@ -67,17 +67,17 @@ FROM judged GROUP BY pair_id"""
 
 @query("verify_structure", _verify_sql("turns", "turn_pairs") + VERDICT)
 def _(t):
-    return S.verify_structure(t.turn_pairs, S.inventory(t.turns))
+    return S.verify_structure(t.turn_pairs, S.inventory_wide(t.turns))
 
 
 @query("verify_structure_legal", _verify_sql("legal_both", "legal_pairs") + VERDICT)
 def _(t):
-    return S.verify_structure(t.legal_pairs, S.inventory(t.legal_both))
+    return S.verify_structure(t.legal_pairs, S.inventory_wide(t.legal_both))
 
 
 @query("compare_counts", _verify_sql("legal_both", "legal_pairs") + "SELECT * FROM judged")
 def _(t):
-    return S.compare_counts(t.legal_pairs, S.inventory(t.legal_both))
+    return S.compare_counts(t.legal_pairs, S.inventory_wide(t.legal_both))
 
 
 def _articles(t):

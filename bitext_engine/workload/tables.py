@@ -12,9 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitext_engine.functions.text import words
+from bitext_engine.sources.files import spread
 from bitext_engine.sources.html import html_to_blocks
 
 TARGET_OFFSET = 1_000_000_000
+# tables of long texts: work on them is worth spreading over all cores
+TEXT_TABLES = ("documents", "pages", "conversations", "benchmark")
 HAN_DIGITS = "一二三四五六七八九"
 
 
@@ -74,7 +77,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(df) if name in TEXT_TABLES else df
 
     # ---- texts
 

@@ -142,7 +142,7 @@ def _(t):
     # a conversation locks the mappings whose target its user already wrote
     user = t.turns.where(F.col("role") == "user")
     targets = t.word_glossary.select(F.col("target_term").alias("term"), F.col("target_lang").alias("lang"))
-    written = M.term_counts(user, targets, True).withColumn("batch_id", F.floor(F.col("doc_id") / 1000))
+    written = M.term_counts(user, targets, True, [1]).withColumn("batch_id", F.floor(F.col("doc_id") / 1000))
     locks = written.select("batch_id", F.col("term").alias("target_term")).distinct().join(
         t.word_glossary.select("source_term", "target_term"), "target_term"
     ).withColumn("kind", F.lit("defined"))
