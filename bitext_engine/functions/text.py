@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WORD = r"[\p{L}\p{N}]+"
+# what stands between words; splitting at it is far cheaper than matching every word
+BETWEEN_WORDS = r"[^\p{L}\p{N}]+"
 
 # full-width forms run parallel to ASCII; the ideographic space stands for a blank
 _FULL_WIDTH = "".join(chr(0xFF01 + i) for i in range(94)) + "　"
@@ -20,7 +21,7 @@ def normalize_text(col: Column) -> Column:
 
 def words(col: Column) -> Column:
     """Lower-cased words in order."""
-    return F.regexp_extract_all(F.lower(col), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.lower(col), BETWEEN_WORDS), "")
 
 
 def shingles(tokens: Column, n: int) -> Column:
@@ -46,6 +47,19 @@ def char_windows(col: Column, width: int) -> Column:
     return F.regexp_extract_all(col, F.lit(f"(?s)(?=(.{{{int(width)}}}))"), F.lit(1))
 
 
+def heads(col: Column, width: int) -> Column:
+    """For every position the text from there on, ``width`` characters at most."""
+    return F.regexp_extract_all(col, F.lit(f"(?s)(?=(.{{1,{int(width)}}}))"), F.lit(1))
+
+
+def pieces(col: Column, size: int, overlap: int) -> Column:
+    """A text in pieces of ``size`` characters: (own, ahead), ahead being what follows, up to
+    ``overlap`` characters. So no array per position is ever as long as the text."""
+    cut = rf"(?s)\G(.{{1,{size}}})(?=(.{{0,{overlap}}}))"
+    part = lambda g: F.regexp_extract_all(col, F.lit(cut), F.lit(g))
+    return F.zip_with(part(1), part(2), lambda own, ahead: F.struct(own.alias("own"), ahead.alias("ahead")))
+
+
 def lines(col: Column) -> Column:
     """Non-blank lines in order."""
     return F.filter(F.split(col, "\n"), lambda line: F.trim(line) != "")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from bitext_engine import rules as R
 from bitext_engine.functions.blocks import BLOCK, previous_blocked, row_number_blocked
-from bitext_engine.functions.text import count_of
-from bitext_engine.operators.text import by_language
+from bitext_engine.functions.text import count_of, numeral_to_int
+from bitext_engine.operators.text import article_number, by_language
 from bitext_engine.session import cut_lineage
 
 KINDS = (
@@ -17,31 +17,37 @@ KINDS = (
 )
 
 
-def _counts(text: Column, lang: Column) -> dict[str, Column]:
-    marker = lambda part: by_language(lang, lambda c: count_of(text, R.LINE + R.MARKERS[c][part]))
-    bodies = count_of(text, r"(?:^|\n)" + R.FOOTNOTE_BODY)
-    without_headings = F.regexp_replace(text, R.LINE + R.ARTICLE_ANY + r"[^\n]*", "\n")
+PAD = "\n\n"
+AT_LINE = r"\n[ \t]*"
+
+
+def _counts(padded: Column, lang: Column) -> dict[str, Column]:
+    """Counts on a text with two line breaks in front. Patterns for line starts then begin
+    with a plain line break, which is about twice as fast as an alternative with ``^``."""
+    marker = lambda part: by_language(lang, lambda c: count_of(padded, AT_LINE + R.MARKERS[c][part]))
+    bodies = count_of(padded, r"\n" + R.FOOTNOTE_BODY)
+    without_headings = F.regexp_replace(padded, AT_LINE + R.ARTICLE_ANY + r"[^\n]*", "\n")
     return {
-        "article": count_of(text, R.LINE + R.ARTICLE_ANY),
+        "article": count_of(padded, AT_LINE + R.ARTICLE_ANY),
         "clause": marker("clause"),
         "item": marker("item"),
-        "list_item": count_of(text, R.LINE + R.LIST_ITEM),
-        "footnote_mark": count_of(text, R.FOOTNOTE) - bodies,
+        "list_item": count_of(padded, AT_LINE + R.LIST_ITEM),
+        "footnote_mark": count_of(padded, R.FOOTNOTE) - bodies,
         "footnote_body": bodies,
-        "heading": count_of(text, R.LINE + R.MD_HEADING),
-        "table_row": count_of(text, R.LINE + R.TABLE_ROW),
-        "paragraph": count_of(text, R.PARAGRAPH),
-        "sentence": count_of(without_headings, R.SENTENCE_END),
-        "defined_term": by_language(lang, lambda c: count_of(text, R.DEFINED_TERM[c])),
+        "heading": count_of(padded, AT_LINE + R.MD_HEADING),
+        "table_row": count_of(padded, AT_LINE + R.TABLE_ROW),
+        "paragraph": count_of(padded, r"\n[ \t]*\n\s*\S"),
+        "sentence": count_of(without_headings, R.SENTENCE_END_SPACED) + count_of(without_headings, R.SENTENCE_END_CJK),
+        "defined_term": by_language(lang, lambda c: count_of(padded, R.DEFINED_TERM[c])),
     }
 
 
 def inventory_wide(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per document, one column per kind: a map-only pass over the text."""
-    return docs.select(
-        F.col(doc_id).alias("doc_id"),
-        *[c.alias(k) for k, c in _counts(F.col(text), F.col(lang)).items()],
+    padded = docs.select(
+        F.col(doc_id).alias("doc_id"), F.col(lang).alias("_lang"), F.concat(F.lit(PAD), F.col(text)).alias("_p")
     )
+    return padded.select("doc_id", *[c.alias(k) for k, c in _counts(F.col("_p"), F.col("_lang")).items()])
 
 
 def to_long(wide: DataFrame) -> DataFrame:
@@ -112,8 +118,16 @@ def verify_structure(pairs: DataFrame, inv: DataFrame) -> DataFrame:
     )
 
 
+def article_headings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, num, pos) of each article heading, straight from the text; ``pos`` counts
+    headings. Where nothing else is wanted of the segments this is the cheaper way."""
+    found = F.regexp_extract_all(F.concat(F.lit("\n"), F.col(text)), F.lit(AT_LINE + R.ARTICLE_ANY), F.lit(0))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(found).alias("pos", "head"))
+    return rows.select("doc_id", numeral_to_int(article_number(F.replace("head", F.lit("\n"), F.lit("")))).alias("num"), "pos")
+
+
 def articles(headings: DataFrame) -> DataFrame:
-    """(doc_id, num, pos) of each article heading, from ``heading_numbers``."""
+    """The same from ``heading_numbers``; ``pos`` counts segments."""
     return headings.where(F.col("kind") == "article").select("doc_id", "num", F.col("seg_no").alias("pos"))
 
 

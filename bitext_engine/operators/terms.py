@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from bitext_engine import rules as R
-from bitext_engine.functions.text import char_windows, normalize_text, shingles, words
+from bitext_engine.functions.text import heads, normalize_text, pieces, shingles, words
 from bitext_engine.operators.text import by_language
 
 
@@ -49,12 +49,20 @@ def ngram_counts(
     return grams.groupBy("doc_id", *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def ngram_sets(
+    docs: DataFrame, n: int, doc_id: str = "doc_id", text: str = "text", keep: Sequence[str] = ()
+) -> DataFrame:
+    """(doc_id, term): the different runs of ``n`` words of each document, without a shuffle."""
+    tokens = docs.select(F.col(doc_id).alias("doc_id"), *keep, words(F.col(text)).alias("_w"))
+    return tokens.select("doc_id", *keep, F.explode(F.array_distinct(shingles(F.col("_w"), n))).alias("term"))
+
+
 def term_candidates(docs: DataFrame, n: int = 2, top: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The most frequent n-grams of each document, with the documents they occur in."""
     counted = ngram_counts(docs, n, doc_id, text)
     order = W.partitionBy("doc_id").orderBy(F.col("tf").desc(), F.col("term"))
     best = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    df = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = ngram_sets(docs, n, doc_id, text).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return best.join(df, "term").select(
         "doc_id", "term", F.lit("ngram").alias("kind"), "tf", F.col("rank").cast("long").alias("rank"), "df"
     )
@@ -89,6 +97,9 @@ def batch_review_members(candidates: DataFrame, min_docs: int = 2) -> DataFrame:
 # ---- occurrences --------------------------------------------------------------------
 
 
+PIECE = 4096
+
+
 def self_overlapping(term: Column) -> Column:
     """Whether a term can overlap itself, i.e. has a proper prefix that is also a suffix."""
     widths = F.sequence(F.lit(1), F.length(term) - 1)
@@ -133,20 +144,29 @@ def term_counts(
         return grams.join(keyed, ["gram", "lang"]).groupBy("doc_id", "lang", "term").agg(
             F.count(F.lit(1)).alias("n")
         )
-    keyed = terms.withColumn("_loop", self_overlapping(F.col("term")))
-    # positions of different widths are shifted against each other, which does not matter:
-    # only those of one term are compared
-    windows = F.concat(*[char_windows(F.col(text), k) for k in widths])
-    hits = texts.select(
-        F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.posexplode(windows).alias("pos", "term")
-    ).join(keyed, ["term", "lang"])
+    # From every position the next characters, as many as the longest term has. Positions at
+    # which no term begins are dropped by the terms' common shortest length first; what is
+    # left is compared with the terms of every length.
+    longest, shortest = max(widths), min(widths)
+    parts = texts.select(
+        F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"),
+        F.posexplode(pieces(F.col(text), PIECE, longest - 1)).alias("_no", "_p"),
+    )
+    ahead = F.slice(heads(F.concat("_p.own", "_p.ahead"), longest), F.lit(1), F.length("_p.own"))
+    places = parts.select("doc_id", "lang", "_no", F.posexplode(ahead).alias("_at", "_head"))
+    starts = terms.select("lang", F.left("term", F.lit(shortest)).alias("_start")).distinct()
+    begun = places.withColumn("_start", F.left("_head", F.lit(shortest))).join(starts, ["lang", "_start"], "left_semi")
+    lengths = F.array(*[F.when(F.length("_head") >= k, F.left("_head", F.lit(k))) for k in widths])
+    hits = begun.select(
+        "doc_id", "lang", (F.col("_no").cast("long") * PIECE + F.col("_at")).alias("pos"), F.explode(lengths).alias("term")
+    ).join(terms.withColumn("_loop", self_overlapping(F.col("term"))), ["term", "lang"])
     # Terms that cannot overlap themselves are simply counted. For the few others the
     # hits of one term in one text are walked through from left to right.
     counted = hits.groupBy("doc_id", "lang", "term").agg(
         F.count(F.lit(1)).alias("_hits"),
         F.collect_list(F.when(F.col("_loop"), F.col("pos"))).alias("_pos"),
     )
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("free"))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("free"))
     walked = F.aggregate(
         F.sort_array("_pos"), start,
         lambda acc, p: F.when(

@@ -14,41 +14,48 @@ from bitext_engine.functions.text import count_of, numeral_to_int
 # ---- injection material -------------------------------------------------------------
 
 
-def _any_rule(col: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
+Rule = tuple[str, str, str, Sequence[str]]
+
+
+def _hinted(lowered: Column, rule: Rule) -> Column:
     cond = F.lit(False)
-    for _, pattern, _ in rules:
-        cond = cond | col.rlike(pattern)
+    for hint in rule[3]:
+        cond = cond | F.contains(lowered, F.lit(hint))
     return cond
 
 
 def injection_hits(
-    docs: DataFrame, rules: Sequence[tuple[str, str, str]] = R.INJECTION_RULES,
-    key: Sequence[str] = ("doc_id",), text: str = "text",
+    docs: DataFrame, rules: Sequence[Rule] = R.INJECTION_RULES, key: Sequence[str] = ("doc_id",), text: str = "text"
 ) -> DataFrame:
     """One row per hit: rule, its running number within (document, rule), the matched text."""
+    low = docs.select(*key, F.col(text).alias("_t"), F.lower(text).alias("_low"))
+    suspect = F.lit(False)
+    for rule in rules:
+        suspect = suspect | _hinted(F.col("_low"), rule)
     per_rule = F.array(
         *[
             F.struct(
-                F.lit(name).alias("rule"),
-                F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias("found"),
+                F.lit(rule[0]).alias("rule"),
+                F.when(_hinted(F.col("_low"), rule), F.regexp_extract_all("_t", F.lit(rule[1]), F.lit(0))).alias("found"),
             )
-            for name, pattern, _ in rules
+            for rule in rules
         ]
     )
-    suspects = docs.where(_any_rule(F.col(text), rules)).select(*key, F.explode(per_rule).alias("r"))
-    return suspects.select(*key, F.col("r.rule").alias("rule"), F.posexplode("r.found").alias("hit_no", "match")).select(
+    rows = low.where(suspect).select(*key, F.explode(per_rule).alias("r"))
+    return rows.select(*key, F.col("r.rule").alias("rule"), F.posexplode("r.found").alias("hit_no", "match")).select(
         *key, "rule", "hit_no", F.trim(F.replace("match", F.lit("\n"), F.lit(""))).alias("match")
     )
 
 
-def neutralize(
-    docs: DataFrame, rules: Sequence[tuple[str, str, str]] = R.INJECTION_RULES, text: str = "text"
-) -> DataFrame:
+def neutralize(docs: DataFrame, rules: Sequence[Rule] = R.INJECTION_RULES, text: str = "text") -> DataFrame:
     """Replace every hit by a visible mark that leaves all structural counts as they were."""
-    out = F.col(text)
-    for _, pattern, replacement in rules:
-        out = F.regexp_replace(out, pattern, replacement)
-    return docs.withColumn(text, out)
+    low = docs.withColumn("_low", F.lower(text))
+    # each step names the step before twice: as columns of their own they are computed once
+    for rule in rules:
+        low = low.withColumn(
+            text, F.when(_hinted(F.col("_low"), rule), F.regexp_replace(text, rule[1], rule[2])).otherwise(F.col(text))
+        )
+    return low.drop("_low")
 
 
 # ---- language -----------------------------------------------------------------------
@@ -103,10 +110,16 @@ def by_language(lang: Column, choose) -> Column:
     return expr.otherwise(choose("en"))
 
 
+CUT = "\x01"
+# how any marked line begins; most lines are told from them by one look
+MARKED = r"^[ \t]*[A제第(0-9０-９\[#|*•①-⑳-]"
+
+
 def _line_kind(line: Column, lang: Column) -> Column:
     start = r"^[ \t]*"
     return (
-        F.when(line.rlike(start + R.ARTICLE_ANY), "article")
+        F.when(~line.rlike(MARKED), "sentence")
+        .when(line.rlike(start + R.ARTICLE_ANY), "article")
         .when(by_language(lang, lambda c: line.rlike(start + R.MARKERS[c]["clause"])), "clause")
         .when(by_language(lang, lambda c: line.rlike(start + R.MARKERS[c]["item"])), "item")
         .when(line.rlike(r"^" + R.FOOTNOTE_BODY), "footnote_body")
@@ -158,7 +171,8 @@ def segment(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
 
     # a marked line stays whole; any other is cut after each sentence
     def pieces_of(chunk: Column, line: Column) -> Column:
-        cut = F.when(line["kind"] == "sentence", F.split(line["line"], R.SENTENCE_CUT)).otherwise(F.array(line["line"]))
+        parted = F.split(F.regexp_replace(line["line"], R.SENTENCE_CUT, "$1" + CUT), CUT)
+        cut = F.when(line["kind"] == "sentence", parted).otherwise(F.array(line["line"]))
         return F.transform(
             cut, lambda s: F.struct(chunk["head"].alias("head"), line["kind"].alias("kind"), F.trim(s).alias("text"))
         )

@@ -57,8 +57,7 @@ def normal_checks(pairs: DataFrame, docs: DataFrame, glossary: DataFrame) -> Dat
     Every pair gets a row per item; problems found elsewhere only turn it to FAIL.
     """
     verified = S.verify_structure(pairs, S.inventory_wide(docs))
-    headings = X.heading_numbers(X.segment(docs))
-    art = S.articles(headings)
+    art = S.article_headings(docs)
     ids = pairs.select("pair_id")
 
     def flagged(problems: DataFrame, item: str) -> DataFrame:

@@ -55,8 +55,10 @@ MD_HEADING = r"#{1,6}[ \t]"
 TABLE_ROW = r"\|[^\n]*\|"
 PARAGRAPH = r"(?:^|\n[ \t]*\n)\s*\S"
 SENTENCE_END = r"(?:[.!?](?:\[[0-9]+\])*(?:\s|\z)|[。！？])"
-# where a line is cut into sentences (keeps the terminator with its sentence)
-SENTENCE_CUT = r"(?<=[.!?]|[.!?]\[[0-9]{1,4}\])\s+|(?<=[。！？])"
+SENTENCE_END_SPACED = r"[.!?](?:\[[0-9]+\])*(?:\s|\z)"
+SENTENCE_END_CJK = r"[。！？]"
+# where a line is cut into sentences: group 1 stays with the sentence before
+SENTENCE_CUT = r"([.!?。！？](?:\[[0-9]{1,4}\])?)(?:\s+|(?<=[。！？]))"
 
 # fixed values: a quoted term followed by the verb that defines it
 DEFINED_TERM = {
@@ -81,16 +83,17 @@ SIMPLIFIED = "条项约签订当义务责书证权让对应关产业专经营违
 TRADITIONAL = "條項約簽訂當義務責書證權讓對應關產業專經營違規則為實現時間"
 
 # text that looks like an instruction to a reader that is a program:
-# (rule, pattern, replacement). The replacement keeps line breaks and pipes, so that
-# no structural count changes.
+# (rule, pattern, replacement, hints). The replacement keeps line breaks and pipes, so that
+# no structural count changes. Every match contains one of the hints in lower case: a plain
+# search for them spares most texts the pattern.
 INJECTION_RULES = (
-    ("role_marker", r"(?i)((?:^|\n)[ \t]*)(?:system|assistant|developer)[ \t]*:", "$1‹neutralized›"),
-    ("chat_tag", r"(?i)</?(?:system|assistant|user|instructions?)>", "‹neutralized›"),
-    ("template_token", r"<\|[A-Za-z_]{1,30}\|>", "‹|neutralized|›"),
-    ("ignore_previous", r"(?i)(?:ignore|disregard|forget) +(?:all +)?(?:the +)?(?:previous|prior|above) +instructions?", "‹neutralized›"),
-    ("act_as", r"(?i)you +are +now +(?:a|an|the)", "‹neutralized›"),
-    ("reveal_prompt", r"(?i)(?:reveal|print|show) +(?:your|the) +(?:system +)?prompt", "‹neutralized›"),
-    ("ignore_previous_ko", r"(?:이전|위)의? *(?:모든 *)?지시(?:사항)?를? *무시", "‹neutralized›"),
+    ("role_marker", r"(?i)((?:^|\n)[ \t]*)(?:system|assistant|developer)[ \t]*:", "$1‹neutralized›", ("system", "assistant", "developer")),
+    ("chat_tag", r"(?i)</?(?:system|assistant|user|instructions?)>", "‹neutralized›", ("system>", "assistant>", "user>", "instruction>", "instructions>")),
+    ("template_token", r"<\|[A-Za-z_]{1,30}\|>", "‹|neutralized|›", ("<|",)),
+    ("ignore_previous", r"(?i)(?:ignore|disregard|forget) +(?:all +)?(?:the +)?(?:previous|prior|above) +instructions?", "‹neutralized›", (" instruction",)),
+    ("act_as", r"(?i)you +are +now +(?:a|an|the)", "‹neutralized›", (" now ",)),
+    ("reveal_prompt", r"(?i)(?:reveal|print|show) +(?:your|the) +(?:system +)?prompt", "‹neutralized›", (" prompt",)),
+    ("ignore_previous_ko", r"(?:이전|위)의? *(?:모든 *)?지시(?:사항)?를? *무시", "‹neutralized›", ("무시",)),
 )
 
 # regional forms: (language, class, pattern)

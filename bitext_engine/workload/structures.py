@@ -80,10 +80,6 @@ def _(t):
     return S.compare_counts(t.legal_pairs, S.inventory_wide(t.legal_both))
 
 
-def _articles(t):
-    return S.articles(X.heading_numbers(X.segment(t.legal_both)))
-
-
 @query("missing_articles", """
 SELECT p.pair_id, n AS num, 'missing' AS problem FROM legal_pairs p JOIN legal_articles a ON a.doc_id = p.source_doc_id
 WHERE NOT EXISTS (SELECT 1 FROM legal_articles b WHERE b.doc_id = p.target_doc_id AND b.n = a.n)
@@ -91,7 +87,7 @@ UNION ALL
 SELECT p.pair_id, n, 'extra' FROM legal_pairs p JOIN legal_articles a ON a.doc_id = p.target_doc_id
 WHERE NOT EXISTS (SELECT 1 FROM legal_articles b WHERE b.doc_id = p.source_doc_id AND b.n = a.n)""")
 def _(t):
-    return S.missing_articles(t.legal_pairs, _articles(t))
+    return S.missing_articles(t.legal_pairs, S.article_headings(t.legal_both))
 
 
 @query("missing_articles_turns", """
@@ -116,7 +112,7 @@ ranked AS (SELECT pair_id, num, row_number() OVER (PARTITION BY pair_id ORDER BY
   row_number() OVER (PARTITION BY pair_id ORDER BY tp) AS target_rank FROM common)
 SELECT * FROM ranked WHERE source_rank <> target_rank""")
 def _(t):
-    return S.shifted_sections(t.legal_pairs, _articles(t))
+    return S.shifted_sections(t.legal_pairs, S.article_headings(t.legal_both))
 
 
 @query("numbering_gaps", """

@@ -58,7 +58,7 @@ def _(t):
 
 def _batch_candidates(t):
     """All two-word terms of all documents, by source."""
-    return M.ngram_counts(t.docs, 2, keep=("batch_id",)).select("batch_id", "doc_id", "term", F.lit("ngram").alias("kind"))
+    return M.ngram_sets(t.docs, 2, keep=("batch_id",)).select("batch_id", "doc_id", "term", F.lit("ngram").alias("kind"))
 
 
 @query("batch_review", "WITH" + NGRAMS + """

@@ -113,13 +113,13 @@ SELECT doc_id, rule, CAST(i - 1 AS BIGINT) AS hit_no, trim(replace(m, chr(10), '
 """ + "\nUNION ALL ".join(
     f"SELECT doc_id, {q(name)} AS rule, unnest(regexp_extract_all(text, {q(rx)})) AS m,"
     f" generate_subscripts(regexp_extract_all(text, {q(rx)}), 1) AS i FROM suspect"
-    for name, rx, _ in R.INJECTION_RULES) + ")")
+    for name, rx, *_ in R.INJECTION_RULES) + ")")
 def _(t):
     return X.injection_hits(suspect_texts(t))
 
 
 def _neutralized(expr: str) -> str:
-    for _, rx, repl in R.INJECTION_RULES:
+    for _, rx, repl, _ in R.INJECTION_RULES:
         expr = f"regexp_replace({expr}, {q(rx)}, {q(repl.replace('$1', chr(92) + '1'))}, 'g')"
     return expr
 
