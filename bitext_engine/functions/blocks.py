@@ -32,12 +32,10 @@ def block_of(df: DataFrame, name: str, size: int = BLOCK) -> Column:
     return col
 
 
-def _eq(names: Sequence[str], left: str, right: str) -> Column:
-    cond = None
-    for n in names:
-        c = F.col(f"{left}.{n}").eqNullSafe(F.col(f"{right}.{n}"))
-        cond = c if cond is None else cond & c
-    return cond
+def _key(group: Sequence[str], blocks: Sequence[Column]) -> Column:
+    """Group and blocks as one struct. Structs compare null-safely under plain equality, so
+    window and join share one partitioning and the rows are shuffled once."""
+    return F.struct(*[F.col(g) for g in group], *[b.alias(f"_b{i}") for i, b in enumerate(blocks)])
 
 
 def row_number_blocked(
@@ -48,22 +46,20 @@ def row_number_blocked(
 
     ``blocks`` are the leading terms of ``order`` made coarser, each ascending.
     """
-    names = [f"_b{i}" for i in range(len(blocks))]
-    keyed = df.select("*", *[b.alias(n) for b, n in zip(blocks, names)])
-    group = list(group)
-    sizes = keyed.groupBy(*group, *names).agg(F.count(F.lit(1)).alias("_n"))
-    along = W.partitionBy(*group).orderBy(*[F.col(n).asc_nulls_first() for n in names])
+    keyed = df.select("*", _key(group, blocks).alias("_key"))
+    sizes = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    whole = W.partitionBy(*[F.col("_key")[g] for g in group])
+    along = whole.orderBy(*[F.col("_key")[f"_b{i}"].asc_nulls_first() for i in range(len(blocks))])
     offsets = sizes.select(
-        *group, *names,
+        "_key",
         F.coalesce(F.sum("_n").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        *([F.sum("_n").over(W.partitionBy(*group)).alias(total)] if total else []),
+        *([F.sum("_n").over(whole).alias(total)] if total else []),
     )
-    inside = keyed.withColumn("_rn", F.row_number().over(W.partitionBy(*group, *names).orderBy(*order)))
-    joined = inside.alias("l").join(offsets.alias("r"), _eq([*group, *names], "l", "r"))
-    return joined.select(
-        *[F.col(f"l.{c}") for c in df.columns],
+    inside = keyed.withColumn("_rn", F.row_number().over(W.partitionBy("_key").orderBy(*order)))
+    return inside.join(offsets, "_key").select(
+        *df.columns,
         (F.col("_before") + F.col("_rn")).cast("long").alias(out),
-        *([F.col(f"r.{total}").cast("long").alias(total)] if total else []),
+        *([F.col(total).cast("long").alias(total)] if total else []),
     )
 
 
@@ -76,26 +72,17 @@ def previous_blocked(
     With ``include_current`` this carries a value forward; without, it is ``lag`` over
     a column that has no nulls.
     """
-    group = list(group)
-    keyed = df.select("*", block.alias("_b"), value.alias("_v"))
-    last = (
-        keyed.where(F.col("_v").isNotNull())
-        .select(*group, "_b", order.alias("_o"), "_v")
-        .groupBy(*group, "_b").agg(F.max_by("_v", "_o").alias("_last"))
+    keyed = df.select("*", _key(group, [block]).alias("_key"), value.alias("_v"), order.alias("_o"))
+    # the last value of each block, null where it has none
+    last = keyed.groupBy("_key").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("_o"))).alias("_last"))
+    before = W.partitionBy(*[F.col("_key")[g] for g in group]).orderBy(F.col("_key")["_b0"])
+    carried = last.select(
+        "_key", F.last("_last", ignorenulls=True).over(before.rowsBetween(W.unboundedPreceding, -1)).alias("_carry")
     )
-    every = keyed.select(*group, "_b").distinct()
-    carried = every.alias("l").join(last.alias("r"), _eq([*group, "_b"], "l", "r"), "left").select(
-        *[F.col(f"l.{c}") for c in (*group, "_b")],
-        F.last("_last", ignorenulls=True).over(
-            W.partitionBy(*[F.col(f"l.{g}") for g in group]).orderBy(F.col("l._b")).rowsBetween(W.unboundedPreceding, -1)
-        ).alias("_carry"),
-    )
-    stop = 0 if include_current else -1
     inside = keyed.withColumn(
         "_in",
         F.last("_v", ignorenulls=True).over(
-            W.partitionBy(*group, "_b").orderBy(order).rowsBetween(W.unboundedPreceding, stop)
+            W.partitionBy("_key").orderBy("_o").rowsBetween(W.unboundedPreceding, 0 if include_current else -1)
         ),
     )
-    joined = inside.alias("l").join(carried.alias("r"), _eq([*group, "_b"], "l", "r"))
-    return joined.select(*[F.col(f"l.{c}") for c in df.columns], F.coalesce("_in", "_carry").alias(out))
+    return inside.join(carried, "_key").select(*df.columns, F.coalesce("_in", "_carry").alias(out))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -27,36 +27,39 @@ def batch_plan(docs: DataFrame, limit: int) -> DataFrame:
 # ---- modes --------------------------------------------------------------------------
 
 
-def mode_steps(spark: SparkSession) -> DataFrame:
-    """The fixed plan table: 22 rows."""
-    rows = [
-        (mode, no, name, agent, calls)
-        for mode, steps in R.MODE_STEPS.items()
-        for no, name, agent, calls in steps
-    ]
-    return spark.createDataFrame(rows, "mode string, step_no int, step_name string, agent string, invocations int")
+def _by_mode(choose) -> Column:
+    expr = None
+    for mode in R.MODE_STEPS:
+        expr = (F if expr is None else expr).when(F.col("mode") == mode, choose(mode))
+    return expr
 
 
 def mode_plan(jobs: DataFrame) -> DataFrame:
-    """Steps of every job under its mode. Keyed by (mode, step_no, step_name)."""
-    return jobs.join(mode_steps(jobs.sparkSession), "mode")
+    """Steps of every job under its mode, keyed by (mode, step_no, step_name).
+
+    The plan table is a constant of 22 rows, so each job unfolds its own steps in place: a
+    join would bring all jobs together under three keys.
+    """
+    steps = _by_mode(lambda mode: F.array(*[
+        F.struct(
+            F.lit(no).alias("step_no"), F.lit(name).alias("step_name"), F.lit(agent).alias("agent"),
+            F.lit(calls).alias("invocations"),
+        )
+        for no, name, agent, calls in R.MODE_STEPS[mode]
+    ]))
+    return jobs.select("*", F.inline(steps))
 
 
 def mode_cost(jobs: DataFrame) -> DataFrame:
     """Jobs, translator calls and relative cost per mode, with a total row."""
-    counted = jobs.groupBy("mode").agg(F.count(F.lit(1)).alias("_n"))
-    fixed = jobs.sparkSession.createDataFrame(
-        [
-            (m, sum(s[3] for s in steps if s[2] == "translator"), *R.MODE_COST[m])
-            for m, steps in R.MODE_STEPS.items()
-        ],
-        "mode string, calls int, lo double, hi double",
-    )
-    return counted.join(fixed, "mode").rollup("mode").agg(
-        F.sum("_n").cast("long").alias("n_jobs"),
-        F.sum(F.col("_n") * F.col("calls")).cast("long").alias("translator_calls"),
-        F.sum(F.col("_n") * F.col("lo")).alias("cost_lo"),
-        F.sum(F.col("_n") * F.col("hi")).alias("cost_hi"),
+    calls = {m: sum(n for _, _, agent, n in steps if agent == "translator") for m, steps in R.MODE_STEPS.items()}
+    n = F.col("_n")
+    counted = jobs.where(F.col("mode").isin(*R.MODE_STEPS)).groupBy("mode").agg(F.count(F.lit(1)).alias("_n"))
+    return counted.rollup("mode").agg(
+        F.sum(n).cast("long").alias("n_jobs"),
+        F.sum(n * _by_mode(lambda m: F.lit(calls[m]))).cast("long").alias("translator_calls"),
+        F.sum(n * _by_mode(lambda m: F.lit(R.MODE_COST[m][0]))).alias("cost_lo"),
+        F.sum(n * _by_mode(lambda m: F.lit(R.MODE_COST[m][1]))).alias("cost_hi"),
     )
 
 
