@@ -7,7 +7,7 @@ named by its id and replaces only that folder, so a repeated micro-batch changes
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,6 +18,10 @@ from bitext_engine.operators.text import detect_language, neutralize
 from bitext_engine.sources.files import file_stem
 
 
+def _file_time() -> Column:
+    return F.col("_metadata.file_modification_time").alias("file_time")
+
+
 def stream_inbox(spark: SparkSession, path: str, watermark: str = "1 day", max_files: int = 10_000) -> DataFrame:
     """New text files, equal contents only once.
 
@@ -31,16 +35,37 @@ def stream_inbox(spark: SparkSession, path: str, watermark: str = "1 day", max_f
         .text(path, wholetext=True)
     )
     where = F.col("_metadata.file_path")
+    return _once(raw.select(file_stem(where).alias("doc_id"), where.alias("path"), F.col("value").alias("text"), _file_time()), watermark)
+
+
+def stream_table(
+    spark: SparkSession, path: str, glob: str, schema: str, doc_id: str, watermark: str = "1 day", max_files: int = 10_000
+) -> DataFrame:
+    """The same for texts that arrive as rows of Parquet files."""
+    raw = (
+        spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", max_files).parquet(path)
+    )
+    return _once(
+        raw.select(F.col(doc_id).alias("doc_id"), F.col("_metadata.file_path").alias("path"), "text", _file_time()), watermark
+    )
+
+
+def _once(texts: DataFrame, watermark: str) -> DataFrame:
     return (
-        raw.select(
-            file_stem(where).alias("doc_id"), where.alias("path"), F.col("value").alias("text"),
-            F.sha2("value", 256).alias("sha256"), F.col("_metadata.file_modification_time").alias("file_time"),
-        )
+        texts.withColumn("sha256", F.sha2("text", 256))
         .withWatermark("file_time", watermark)
         .dropDuplicatesWithinWatermark(["sha256"])
     )
 
 
+def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write what is there to a Parquet folder, exactly once, then stop."""
+    return (
+        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+        .outputMode("append").trigger(availableNow=True).start()
+    )
+
+
 def folder(root: str, name: str, batch_id: int) -> str:
     return f"{root}/{name}/batch={batch_id}"
 
@@ -49,7 +74,7 @@ def verify_batch(batch: DataFrame, batch_id: int, out: str, base_glossary: str,
     """One micro-batch: sanitise, detect language, write inventory and defined terms, and a
     new glossary snapshot made of the previous one and the batch's terms."""
     spark = batch.sparkSession
-    docs = detect_language(neutralize(batch), out="lang")
+    docs = detect_language(neutralize(batch), out="lang").select("doc_id", "lang", "text").persist()  # read twice
     inventory(docs).write.mode("overwrite").parquet(folder(out, "inventory", batch_id))
     terms = defined_terms(docs)
     terms.write.mode("overwrite").parquet(folder(out, "terms", batch_id))
@@ -65,6 +90,7 @@ def verify_batch(batch: DataFrame, batch_id: int, out: str, base_glossary: str,
         )
     )
     merge_glossary(base, new).write.mode("overwrite").parquet(folder(out, "glossary", batch_id))
+    docs.unpersist()
 
 
 def stream_verify(

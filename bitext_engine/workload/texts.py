@@ -118,13 +118,13 @@ def _(t):
     return X.injection_hits(suspect_texts(t))
 
 
-def _neutralized(expr: str) -> str:
+def neutralized_sql(expr: str) -> str:
     for _, rx, repl, _ in R.INJECTION_RULES:
         expr = f"regexp_replace({expr}, {q(rx)}, {q(repl.replace('$1', chr(92) + '1'))}, 'g')"
     return expr
 
 
-@query("neutralize", f"WITH suspect AS ({SUSPECT}) SELECT doc_id, {_neutralized('text')} AS text FROM suspect")
+@query("neutralize", f"WITH suspect AS ({SUSPECT}) SELECT doc_id, {neutralized_sql('text')} AS text FROM suspect")
 def _(t):
     return X.neutralize(suspect_texts(t))
 
