@@ -98,6 +98,7 @@ def batch_review_members(candidates: DataFrame, min_docs: int = 2) -> DataFrame:
 
 
 PIECE = 4096
+PREFIX = 3
 
 
 def self_overlapping(term: Column) -> Column:
@@ -144,21 +145,27 @@ def term_counts(
         return grams.join(keyed, ["gram", "lang"]).groupBy("doc_id", "lang", "term").agg(
             F.count(F.lit(1)).alias("n")
         )
-    # From every position the next characters, as many as the longest term has. Positions at
-    # which no term begins are dropped by the terms' common shortest length first; what is
-    # left is compared with the terms of every length.
-    longest, shortest = max(widths), min(widths)
+    # From every position the next characters, as many as the longest term has. Terms of
+    # PREFIX characters and more are looked for only where one of them may begin.
+    longest = max(widths)
     parts = texts.select(
         F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"),
         F.posexplode(pieces(F.col(text), PIECE, longest - 1)).alias("_no", "_p"),
     )
     ahead = F.slice(heads(F.concat("_p.own", "_p.ahead"), longest), F.lit(1), F.length("_p.own"))
     places = parts.select("doc_id", "lang", "_no", F.posexplode(ahead).alias("_at", "_head"))
-    starts = terms.select("lang", F.left("term", F.lit(shortest)).alias("_start")).distinct()
-    begun = places.withColumn("_start", F.left("_head", F.lit(shortest))).join(starts, ["lang", "_start"], "left_semi")
-    lengths = F.array(*[F.when(F.length("_head") >= k, F.left("_head", F.lit(k))) for k in widths])
+    starts = terms.where(F.length("term") >= PREFIX).select(
+        "lang", F.left("term", F.lit(PREFIX)).alias("_start"), F.lit(True).alias("_begun")
+    ).distinct()
+    begun = places.withColumn("_start", F.left("_head", F.lit(PREFIX))).join(starts, ["lang", "_start"], "left")
+    if min(widths) >= PREFIX:
+        begun = begun.where("_begun")
+    lengths = [
+        F.when((F.length("_head") >= k) & (F.lit(k < PREFIX) | F.col("_begun")), F.left("_head", F.lit(k))) for k in widths
+    ]
     hits = begun.select(
-        "doc_id", "lang", (F.col("_no").cast("long") * PIECE + F.col("_at")).alias("pos"), F.explode(lengths).alias("term")
+        "doc_id", "lang", (F.col("_no").cast("long") * PIECE + F.col("_at")).alias("pos"),
+        F.explode(F.array_compact(F.array(*lengths))).alias("term"),
     ).join(terms.withColumn("_loop", self_overlapping(F.col("term"))), ["term", "lang"])
     # Terms that cannot overlap themselves are simply counted. For the few others the
     # hits of one term in one text are walked through from left to right.

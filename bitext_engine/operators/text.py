@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitext_engine import rules as R
-from bitext_engine.functions.text import count_of, numeral_to_int
+from bitext_engine.functions.text import count_of, numeral_to_int, words
 
 
 # ---- injection material -------------------------------------------------------------
@@ -63,17 +63,21 @@ def neutralize(docs: DataFrame, rules: Sequence[Rule] = R.INJECTION_RULES, text:
 LATIN_ENGLISH_SHARE = 0.12
 
 
-def script_counts(text: Column) -> dict[str, Column]:
-    english = "(?<![\\p{L}\\p{N}])(?:" + "|".join(R.ENGLISH_WORDS) + ")(?![\\p{L}\\p{N}])"
+# holds for every text with Han, kana or Hangul (all lie above U+10FF) and for few others
+MAY_BE_CJK = "[^\\x{0}-\\x{10FF}]"
+
+
+def script_counts(text: Column, tokens: Column, has_cjk: Column) -> dict[str, Column]:
+    in_cjk = lambda pattern: F.when(has_cjk, count_of(text, pattern)).otherwise(0)
     return {
-        "n_letters": count_of(text, r"\p{L}"),
-        "n_kana": count_of(text, r"[\p{IsHiragana}\p{IsKatakana}]"),
-        "n_hangul": count_of(text, r"\p{IsHangul}"),
-        "n_han": count_of(text, r"\p{IsHan}"),
-        "n_simplified": count_of(text, f"[{R.SIMPLIFIED}]"),
-        "n_traditional": count_of(text, f"[{R.TRADITIONAL}]"),
-        "n_words": count_of(text, r"[\p{L}\p{N}]+"),
-        "n_english": count_of(F.lower(text), english),
+        "n_letters": F.length(F.regexp_replace(text, r"\P{L}+", "")).cast("long"),
+        "n_kana": in_cjk(r"[\p{IsHiragana}\p{IsKatakana}]"),
+        "n_hangul": in_cjk(r"\p{IsHangul}"),
+        "n_han": in_cjk(r"\p{IsHan}"),
+        "n_simplified": in_cjk(f"[{R.SIMPLIFIED}]"),
+        "n_traditional": in_cjk(f"[{R.TRADITIONAL}]"),
+        "n_words": F.size(tokens),
+        "n_english": F.size(F.filter(tokens, lambda w: w.isin(*R.ENGLISH_WORDS))),
     }
 
 
@@ -83,7 +87,9 @@ def detect_language(docs: DataFrame, text: str = "text", out: str = "detected")
     Kana tells Japanese, Hangul Korean; Han without kana is split by characters that
     have two forms; Latin text is English where enough words are English function words.
     """
-    counted = docs.select("*", *[c.alias(n) for n, c in script_counts(F.col(text)).items()])
+    looked = docs.select("*", words(F.col(text)).alias("_w"), F.col(text).rlike(MAY_BE_CJK).alias("_cjk"))
+    counts = script_counts(F.col(text), F.col("_w"), F.col("_cjk"))
+    counted = looked.select(*docs.columns, *[c.alias(n) for n, c in counts.items()])
     share = lambda n: F.col(n) / F.col("n_letters")
     language = (
         F.when(F.col("n_letters") == 0, "und")
@@ -112,7 +118,8 @@ def by_language(lang: Column, choose) -> Column:
 
 CUT = "\x01"
 # how any marked line begins; most lines are told from them by one look
-MARKED = r"^[ \t]*[A제第(0-9０-９\[#|*•①-⑳-]"
+MARKED_START = r"[A제第(0-9０-９\[#|*•①-⑳-]"
+MARKED = r"^[ \t]*" + MARKED_START
 
 
 def _line_kind(line: Column, lang: Column) -> Column:
