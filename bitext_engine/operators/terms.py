@@ -163,28 +163,32 @@ def term_counts(
     lengths = [
         F.when((F.length("_head") >= k) & (F.lit(k < PREFIX) | F.col("_begun")), F.left("_head", F.lit(k))) for k in widths
     ]
-    hits = begun.select(
+    # lengths that do not fit give nulls, which the join drops
+    found = begun.select(
         "doc_id", "lang", (F.col("_no").cast("long") * PIECE + F.col("_at")).alias("pos"),
-        F.explode(F.array_compact(F.array(*lengths))).alias("term"),
-    ).join(terms.withColumn("_loop", self_overlapping(F.col("term"))), ["term", "lang"])
-    # Terms that cannot overlap themselves are simply counted. For the few others the
-    # hits of one term in one text are walked through from left to right.
-    counted = hits.groupBy("doc_id", "lang", "term").agg(
-        F.count(F.lit(1)).alias("_hits"),
-        F.collect_list(F.when(F.col("_loop"), F.col("pos"))).alias("_pos"),
-    )
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("free"))
-    walked = F.aggregate(
-        F.sort_array("_pos"), start,
-        lambda acc, p: F.when(
-            p >= acc["free"],
-            F.struct((acc["n"] + 1).alias("n"), (p + F.length("term")).alias("free")),
-        ).otherwise(acc),
-        lambda acc: acc["n"],
-    )
-    return counted.select(
-        "doc_id", "lang", "term", F.when(F.size("_pos") > 0, walked).otherwise(F.col("_hits")).alias("n")
+        F.explode(F.array(*lengths)).alias("term"),
     )
+    # as an aggregate, so that the filter on it is not inferred for the hits as well
+    flagged = terms.groupBy("term", "lang").agg(F.bool_or(self_overlapping(F.col("term"))).alias("_loop"))
+    by = ["doc_id", "lang", "term"]
+    # Terms that cannot overlap themselves are simply counted. Hits of the others, in one
+    # text, are walked through from left to right. Which kinds there are is two rows at most.
+    counted = []
+    for (loops,) in flagged.select("_loop").distinct().orderBy("_loop").collect():
+        hits = found.join(flagged.where(F.col("_loop") == loops).drop("_loop"), ["term", "lang"])
+        if loops:
+            start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("free"))
+            walked = F.aggregate(
+                F.sort_array("_pos"), start,
+                lambda acc, p: F.when(
+                    p >= acc["free"], F.struct((acc["n"] + 1).alias("n"), (p + F.length("term")).alias("free"))
+                ).otherwise(acc),
+                lambda acc: acc["n"],
+            )
+            counted.append(hits.groupBy(*by).agg(F.collect_list("pos").alias("_pos")).select(*by, walked.alias("n")))
+        else:
+            counted.append(hits.groupBy(*by).agg(F.count(F.lit(1)).alias("n")))
+    return counted[0] if len(counted) == 1 else counted[0].unionByName(counted[1])
 
 
 def all_term_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
