@@ -171,7 +171,7 @@ def pack_documents(
         from pyspark import TaskContext
 
         encode, base = encoder(path), TaskContext.get().partitionId() * PER_PARTITION
-        held: dict[int, tuple[object, bytes]] = {}  # document number -> doc_id, ids
+        held: dict[int, tuple] = {}  # document number -> doc_id, ids
         pieces: list[Piece] = []
         waiting = docs_seen = sequences = steps_seen = 0
 
@@ -182,9 +182,9 @@ def pack_documents(
                 offset = 0
                 for length, doc, start in inside:
                     doc_id, coded = held[doc]
-                    cut = coded[4 * start : 4 * (start + length)]
-                    row = (doc_id, start, length, zlib.crc32(cut), len(coded) // 4, base + sequences, offset, size, base + steps_seen + step)
-                    out.append(row + ((np.frombuffer(cut, "<u4").astype("i4"),) if ids else ()))
+                    cut = coded[start : start + length]
+                    row = (doc_id, start, length, zlib.crc32(cut), len(coded), base + sequences, offset, size, base + steps_seen + step)
+                    out.append(row + ((cut.astype("i4"),) if ids else ()))
                     offset += length
                 sequences += 1
             steps_seen += max(steps, default=-1) + 1
@@ -195,17 +195,18 @@ def pack_documents(
                 )
 
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for at in range(0, len(texts), 64):
-                for doc_id, coded in zip(doc_ids[at : at + 64], encode(texts[at : at + 64], end_id), strict=True):
-                    held[docs_seen] = (doc_id, coded)
-                    pieces.append((len(coded) // 4, docs_seen, 0))
-                    waiting += len(coded) // 4
+            doc_ids = batch.column("doc_id").to_pylist()
+            for at, flat, sizes in encode.column(batch.column("text"), end_id):
+                ends = np.cumsum(sizes)
+                for i, (size, end) in enumerate(zip(sizes.tolist(), ends.tolist(), strict=True)):
+                    held[docs_seen] = (doc_ids[at + i], flat[end - size : end])
+                    pieces.append((size, docs_seen, 0))
                     docs_seen += 1
+                waiting += int(ends[-1])
                 if waiting >= buffer_tokens:
                     windows, pieces = pack(pieces, tiers)
                     yield from rows(windows)
-                    held = {doc: held[doc] for _, doc, _ in pieces}
+                    held = {doc: (held[doc][0], held[doc][1].copy()) for _, doc, _ in pieces}
                     waiting = sum(p[0] for p in pieces)
         windows, rest = pack(pieces, tiers)
         yield from rows(windows + last_windows(rest, tiers))

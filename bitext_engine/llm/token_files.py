@@ -34,7 +34,7 @@ ORC = {
 }
 
 
-def encode(docs: DataFrame, path: str | None = None, end_id: int | None = END_ID, n_parts: int | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, end_id: int = END_ID, n_parts: int | None = None) -> DataFrame:
     """Rows of SCHEMA, in ascending doc_id order over the partitions. `path`: of the tokenizer's file."""
     path = path or tokenizer_path()
 
@@ -45,23 +45,12 @@ def encode(docs: DataFrame, path: str | None = None, end_id: int | None = END_ID
 
         encode_all, part, start = encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for at in range(0, len(texts), 256):
-                coded = encode_all(texts[at : at + 256], end_id)
-                sizes = np.fromiter((len(c) // 4 for c in coded), "i8", len(coded))
+            doc_ids = batch.column("doc_id").cast(pa.int64())
+            for at, ids, sizes in encode_all.column(batch.column("text"), end_id):
                 ends = np.cumsum(sizes)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(at, len(coded)).cast(pa.int64()),
-                        pa.array(np.full(len(coded), part, "i4")),
-                        pa.array(start + ends - sizes),
-                        pa.array(sizes),
-                        pa.ListArray.from_arrays(
-                            pa.array(np.concatenate([[0], ends]).astype("i4")), pa.array(np.frombuffer(b"".join(coded), "<u4").astype("i4"))
-                        ),
-                    ],
-                    ["doc_id", "part", "part_start", "n_tokens", "token_ids"],
-                )
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype("i4")), pa.array(ids.view("<i4")))
+                columns = [doc_ids.slice(at, len(sizes)), pa.array(np.full(len(sizes), part, "i4")), pa.array(start + ends - sizes), pa.array(sizes), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "part_start", "n_tokens", "token_ids"])
                 start += int(ends[-1])
 
     n_parts = n_parts or partitions(docs.sparkSession)
