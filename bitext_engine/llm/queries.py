@@ -1,12 +1,13 @@
 """The queries of this subpackage and the SQL that must give the same rows."""
 
-from bitext_engine.llm import minhash, mixing, packing, token_files
+from bitext_engine.llm import minhash, mixing, packing, suffix, token_files
 
 QUERIES = {
     "op2_token_files": token_files.query,
     "op5_packing": packing.query,
     "op6_minhash": minhash.query,
     "op9_mixing": mixing.query,
+    "op10_suffix": suffix.query,
 }
 SQL = {
     "op6_minhash": minhash.SQL,
