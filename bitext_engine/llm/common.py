@@ -1,10 +1,11 @@
-"""Shared helpers: tables, folders for intermediate data, connected components, quantile blocks."""
+"""Shared helpers: tables, folders for intermediate data, connected components, followers in order."""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bitext_engine.session import checkpoint_dir, cut_lineage
@@ -71,21 +72,20 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-def quantile_blocks(df: DataFrame, key: str, blocks: int) -> list:
-    """Ascending, distinct inner boundaries that cut `key` into about `blocks` equal parts.
+def followers(ids: DataFrame, key: str) -> DataFrame:
+    """(key, next_key): the next larger distinct key of every distinct key; after the largest, the smallest.
 
-    At most `blocks` numbers reach the driver, whatever the ids look like.
+    Keys are dealt by ranges, written down with the number of their range, and followed inside ranges; one
+    row a range connects them. A null key has no row.
     """
-    if blocks < 2:
-        return []
-    points = [i / blocks for i in range(1, blocks)]
-    found = df.agg(F.percentile_approx(key, points, 10_000).alias("q")).first()["q"] or []
-    return sorted(set(found))
-
-
-def block_number(key: str, bounds: list):
-    """Number of boundaries not above the key: equal keys fall into one block, blocks ascend with the key."""
-    if not bounds:
-        return F.lit(0)
-    array = F.array(*[F.lit(b) for b in bounds])
-    return F.size(F.filter(array, lambda b: b <= F.col(key)))
+    spark = ids.sparkSession
+    keys = ids.where(F.col(key).isNotNull()).select(key).distinct().repartitionByRange(partitions(spark), key)
+    keys = saved(keys.withColumn("_range", F.spark_partition_id()), "ranges")
+    ranges = keys.groupBy("_range").agg(F.min(key).alias("_first"))
+    order = W.orderBy("_range")
+    ranges = ranges.select(
+        "_range",
+        F.coalesce(F.lead("_first").over(order), F.first("_first").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("_then"),
+    )
+    inside = keys.withColumn("_next", F.lead(key).over(W.partitionBy("_range").orderBy(key)))
+    return inside.join(ranges, "_range").select(key, F.coalesce("_next", "_then").alias(f"next_{key}"))

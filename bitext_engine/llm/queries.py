@@ -1,8 +1,9 @@
 """The queries of this subpackage and the SQL that must give the same rows."""
 
-from bitext_engine.llm import minhash, mixing, packing, suffix, token_files
+from bitext_engine.llm import fingerprints, minhash, mixing, packing, suffix, token_files
 
 QUERIES = {
+    "op1_fingerprints": fingerprints.query,
     "op2_token_files": token_files.query,
     "op5_packing": packing.query,
     "op6_minhash": minhash.query,
@@ -10,6 +11,7 @@ QUERIES = {
     "op10_suffix": suffix.query,
 }
 SQL = {
+    "op1_fingerprints": fingerprints.SQL,
     "op6_minhash": minhash.SQL,
     "op9_mixing": mixing.SQL,
 }
