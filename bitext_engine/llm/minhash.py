@@ -2,17 +2,16 @@
 
 1. Every text gives its shingle set, 512 minima, 32 band keys of four whole minima each, and a signature of the four
    low bits of every minimum (256 bytes). Texts with equal sets are one class, shown by its smallest doc_id.
-2. Classes that share a band key are candidates. A pair with similarity 0.85 shares none of the 32 keys with
-   probability 5e-11 (0.8: 5e-8).
-3. The similarity of candidates is estimated by equal low bits, less those equal by chance. Pairs whose estimate lies
-   more than `SIGMAS` standard errors under the threshold are no links.
-4. The others are confirmed on full shingle sets.
-
-Groups of copies are not spelled out into all their pairs. In every round, a class asks only for its `top` best
-estimated candidates among classes that no confirmed link has joined to it yet (per bucket); confirmed links
-join classes; then it asks for eight times as many. When nobody has more candidates than were asked for, every
-candidate pair has been confirmed, refused, or lies inside one component. So components are exact, and hot
-buckets come down to about a few pairs a class. A bucket is compared in slices of at most `SLICE` asking classes.
+2. Classes that share a band key are compared by their signatures: the similarity is estimated by equal low bits,
+   less those equal by chance. A pair is a candidate unless its estimate lies more than `SIGMAS` standard errors under
+   the threshold. A pair with similarity 0.85 shares none of the 32 keys with probability 5e-11 (0.8: 5e-8).
+3. Classes that candidate pairs connect, directly or not, are a cluster. Inside a cluster, the pairs that
+   are near by signature are confirmed on full shingle sets.
+
+Groups of copies are not spelled out into pairs. Both comparisons give spanning links only: a pair inside what is
+already connected is not looked at, so a group of m classes gives at most m - 1 links. A group is compared in slices of
+at most `SLICE` asking classes; they are held, and all classes of the group stream past them, so memory is
+bounded by a slice and a hot group is many tasks.
 
 Defined cases: null text, empty text and text without words have no shingles and are linked with nothing; rows
 that repeat a doc_id are one node; a null doc_id is a row without component that is kept; an empty table gives
@@ -30,8 +29,7 @@ from bitext_engine.llm.common import components, saved, table
 
 HASHES, BANDS, ROWS, BITS, SEED = 512, 32, 4, 4, 20
 SIGMAS = 5.0
-SLICE = 4096
-FIRST_TOP = 2
+SLICE = 1024
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
@@ -85,13 +83,80 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, "node long, shingles array<long>")
 
 
-def candidates(rows: DataFrame, threshold: float, top: int) -> DataFrame:
-    """(u, v, more) with u > v: for every asking class of a bucket its `top` best candidates of other components.
+class Group:
+    """The asking classes of a slice, what is connected so far, and the links that connect it."""
+
+    def __init__(self, least: float, percent: int | None):
+        self.least, self.percent, self.links = least, percent, []
+        self.parent: dict[int, int] = {}
+
+    def root(self, node: int) -> int:
+        parent = self.parent
+        while (up := parent.get(node, node)) != node:
+            parent[node] = node = parent.get(up, up)
+        return node
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+            self.links.append((max(a, b), min(a, b)))
+
+    def hold(self, node, sig, sets=None) -> None:
+        import numpy as np
+
+        self.node, self.sig, self.n = node, sig, sets[1] if sets else None
+        if sets:
+            flat, sizes = sets
+            self.known, codes = np.unique(flat, return_inverse=True)
+            ends = np.cumsum(sizes)
+            self.codes = [codes[e - s : e] for e, s in zip(ends, sizes, strict=True)]
+
+    def meet(self, node, sig, sets=None) -> None:
+        """Compare rows with the asking classes."""
+        import numpy as np
+
+        from bitext_engine.llm.shingles import similarity
+
+        mine = np.fromiter((self.root(a) for a in self.node.tolist()), np.int64, len(self.node))
+        ends = np.cumsum(sets[1]) if sets else None
+        for at in range(0, len(node), 128):
+            like = similarity(sig[at : at + 128], self.sig, HASHES, BITS) >= self.least
+            like &= node[at : at + 128, None] != self.node
+            for i in np.flatnonzero(like.any(axis=1)):
+                x = int(node[at + i])
+                was = self.root(x)
+                near = like[i] & (mine != was)
+                if self.percent is not None and near.any():
+                    near = np.flatnonzero(near)
+                    size = int(sets[1][at + i])
+                    own = sets[0][ends[at + i] - size : ends[at + i]]
+                    place = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
+                    mark = np.zeros(len(self.known), np.int32)
+                    mark[place[self.known[place] == own]] = 1
+                    near = near[self.n[near] > 0]
+                    starts = np.cumsum(self.n[near]) - self.n[near]
+                    shared = np.add.reduceat(mark[np.concatenate([self.codes[j] for j in near])], starts)
+                    near = near[100 * shared.astype(np.int64) >= self.percent * (size + self.n[near] - shared)]
+                else:
+                    near = np.flatnonzero(near)
+                for root in np.unique(mine[near]).tolist():
+                    self.join(x, int(self.node[near[mine[near] == root][0]]))
+                if len(near):
+                    mine[np.isin(mine, np.append(mine[near], was))] = self.root(x)
+
 
-    `rows`: key, slice, asks, node, n_shingles, component, sig; rows of one (key, slice) are compared.
+def spanning_links(rows: DataFrame, threshold: float, percent: int | None = None) -> DataFrame:
+    """(u, v): links that connect what is near inside every `key`; with `percent`, confirmed on full sets.
+
+    `rows`: key, members (of the key), node, sig and, with `percent`, shingles.
     """
     error = math.sqrt(threshold * (1 - threshold) / HASHES) * (1 + 2.0**-BITS)
     least = threshold - SIGMAS * error
+    names = ["key", "slice", "asks", "node", "sig"] + (["shingles"] if percent is not None else [])
+    slices = F.ceil(F.col("members") / SLICE).cast("int")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node", "key"), slices).cast("int"))
+    rows = rows.withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1))).withColumn("asks", F.col("mine") == F.col("slice"))
 
     def work(batches):
         import numpy as np
@@ -99,111 +164,113 @@ def candidates(rows: DataFrame, threshold: float, top: int) -> DataFrame:
 
         from bitext_engine.llm.shingles import similarity
 
-        def group(node, n, component, asks, sig):
-            out = []
-            order = np.argsort(node)
-            node, n, component, asks, sig = (x[order] for x in (node, n, component, asks, sig))
-            for at in range(0, len(node), 128):
-                mine = np.flatnonzero(asks[at : at + 128]) + at
-                if not len(mine):
-                    continue
-                like = similarity(sig[mine], sig, HASHES, BITS)
-                small, large = np.minimum(n[mine, None], n), np.maximum(n[mine, None], n)
-                like[(component[mine, None] == component) | (small < threshold * large - 1e-9)] = -1
-                like[like < least] = -1
-                enough = np.count_nonzero(like >= 0, axis=1)
-                for i in np.flatnonzero(enough):
-                    best = np.argsort(-like[i], kind="stable")[: min(top, enough[i])]
-                    out.append((np.maximum(node[mine[i]], node[best]), np.minimum(node[mine[i]], node[best]), np.full(len(best), enough[i] > top)))
+        width = HASHES * BITS // 8
+        found_u, found_v = [], []
+        state: dict = {"at": None, "group": None, "held": []}
+
+        def columns(t):
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, width)
+            sets = None
+            if percent is not None:
+                lists = t.column("shingles")
+                sizes = np.diff(np.asarray(lists.offsets)).astype(np.int64)
+                sets = (np.asarray(lists.flatten()), sizes)
+            return np.asarray(t.column("node")), sig, sets
+
+        def begin():
+            """All asking rows are here: hold them and compare them with each other."""
+            if state["held"]:
+                t = pa.Table.from_batches(state["held"]).combine_chunks().to_batches()[0]
+                state["held"] = []
+                if t.num_rows > 1 or not state["alone"]:
+                    group = state["group"] = Group(least, percent)
+                    parts = columns(t)
+                    group.hold(*parts)
+                    group.meet(*parts)
+
+        def end():
+            begin()
+            if state["group"] is not None:
+                for u, v in state["group"].links:
+                    found_u.append(u), found_v.append(v)
+            state["group"] = None
+
+        def take(part, at, alone):
+            if state["at"] != at:
+                end()
+                state["at"], state["alone"] = at, alone
+            asks = np.asarray(part.column("asks"))
+            n = int(np.count_nonzero(asks))  # asking rows come first
+            if n:
+                state["held"].append(part.slice(0, n))
+            if n < len(asks):
+                begin()
+                if state["group"] is not None:
+                    state["group"].meet(*columns(part.slice(n)))
+
+        def flush():
+            nonlocal found_u, found_v
+            out = pa.RecordBatch.from_arrays([pa.array(found_u, pa.int64()), pa.array(found_v, pa.int64())], ["u", "v"])
+            found_u, found_v = [], []
             return out
 
-        def groups(t):
-            key, part = np.asarray(t["key"]), np.asarray(t["slice"])
-            cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(part) != 0)) + 1
-            node, n, component, asks = (np.asarray(t[c]) for c in ("node", "n_shingles", "component", "asks"))
-            width = HASHES * BITS // 8
-            sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(-1, width)
-            found = []
-            for a, b in zip([0, *cuts], [*cuts, len(key)], strict=True):
-                if b - a > 1:
-                    found += group(node[a:b], n[a:b], component[a:b], asks[a:b], sig[a:b])
-            if found:
-                u, v, more = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(more)], ["u", "v", "more"])
-
-        held = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, part = batch.column("key"), batch.column("slice")
-            last = batch.num_rows - 1
-            ks, ps = np.asarray(key), np.asarray(part)
-            begun = np.flatnonzero((ks != ks[last]) | (ps != ps[last]))
-            cut = begun[-1] + 1 if len(begun) else 0
-            if held and (held[0].column("key")[0].as_py(), held[0].column("slice")[0].as_py()) != (ks[0], ps[0]):
-                yield from groups(pa.Table.from_batches(held).combine_chunks())
-                held = []
-            if cut:
-                yield from groups(pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks())
-                held = []
-            held.append(batch.slice(cut))
-        if held:
-            yield from groups(pa.Table.from_batches(held).combine_chunks())
-
-    dealt = rows.repartition("key", "slice").sortWithinPartitions("key", "slice")
-    found = dealt.mapInArrow(work, "u long, v long, more boolean")
-    return found.groupBy("u", "v").agg(F.max("more").alias("more"))
-
-
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) with 100 * intersection >= percent * union of their full sets."""
-    left = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u")
-    both = left.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v")
-    shared = F.size(F.array_intersect("su", "sv")).cast("long")
-    return both.select("u", "v", shared.alias("s"), (F.size("su") + F.size("sv")).alias("t")).where(
-        F.expr(f"100 * s >= {percent} * (t - s)")
-    ).select("u", "v")
+            key, part = np.asarray(batch.column("key")), np.asarray(batch.column("slice"))
+            cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(part) != 0)) + 1
+            first, last = np.append(0, cuts), np.append(cuts, len(key))
+            pairs = np.zeros(len(first), bool)
+            if percent is None:  # many groups are a single pair: all of them at once
+                pairs = last - first == 2
+                pairs[[0, -1]] = False
+                pairs &= np.asarray(batch.column("asks"))[first]
+                if pairs.any():
+                    a = first[pairs]
+                    node = np.asarray(batch.column("node"))
+                    sigs = batch.column("sig")
+                    both = [np.frombuffer(b"".join(sigs.take(pa.array(a + i)).to_pylist()), np.uint8).reshape(-1, width) for i in (0, 1)]
+                    like = similarity(both[0], both[1], HASHES, BITS, paired=True) >= least
+                    u, v = node[a][like], node[a + 1][like]
+                    found_u += np.maximum(u, v).tolist()
+                    found_v += np.minimum(u, v).tolist()
+            for i in np.flatnonzero(~pairs):
+                whole = 0 < i < len(first) - 1
+                if whole and last[i] - first[i] == 1:
+                    continue
+                take(batch.slice(first[i], last[i] - first[i]), (key[first[i]], part[first[i]]), whole and last[i] - first[i] == 1)
+            if found_u:
+                yield flush()
+        end()
+        yield flush()
+
+    order = ["key", "slice", F.col("asks").desc(), "node"]
+    dealt = rows.select(*names).repartition("key", "slice").sortWithinPartitions(*order)
+    return dealt.mapInArrow(work, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) a row of `docs`: links at `percent` similarity of k-word shingles."""
-    spark, threshold = docs.sparkSession, percent / 100
+    threshold = percent / 100
     signed = saved(signatures(docs, k), "minhash-signatures")
     full = signed.where("set_key is not null and doc_id is not null")
     classes = full.groupBy("set_key").agg(F.min("doc_id").alias("node"))
     shown = full.join(classes.select("set_key", F.col("node").alias("doc_id")), ["set_key", "doc_id"]).dropDuplicates(["doc_id"])
-    banded = shown.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node")).distinct()
+    shown = saved(shown.select(F.col("doc_id").alias("node"), "sig", "bands"), "minhash-classes")
+    banded = shown.select(F.explode("bands").alias("key"), "node").distinct()
     shared = banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    buckets = saved(banded.join(shared, "key").select("key", "node", "members"), "minhash-buckets")
-    nodes = buckets.select("node").distinct()
-    sets = saved(shingle_sets(docs.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), k).dropDuplicates(["node"]), "minhash-sets")
-    sigs = shown.select(F.col("doc_id").alias("node"), "n_shingles", "sig").join(nodes, "node", "left_semi")
-
-    joined, links, tested, top = None, None, None, FIRST_TOP
-    while True:
-        rows = buckets.join(sigs, "node")
-        rows = rows.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")) if joined is not None else rows.withColumn("component", F.col("node"))
-        if joined is not None:
-            open_keys = rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-            rows = rows.join(open_keys, "key", "left_semi")
-        slices = F.ceil(F.col("members") / SLICE).cast("int")
-        mine = F.pmod(F.xxhash64("node"), slices).cast("int")
-        rows = rows.withColumn("mine", mine).withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1))).withColumn("asks", F.col("mine") == F.col("slice"))
-        rows = rows.select("key", "slice", "asks", "node", "n_shingles", "component", "sig")
-        asked = saved(candidates(rows, threshold, top), "minhash-candidates")
-        more = asked.where("more").limit(1).count() > 0
-        fresh = asked.select("u", "v")
-        if tested is not None:
-            fresh = fresh.join(tested, ["u", "v"], "left_anti")
-        new_links = saved(confirm(fresh, sets, percent), "minhash-links")
-        tested = fresh if tested is None else tested.unionByName(fresh)
-        links = new_links if links is None else links.unionByName(new_links)
-        joined = components(links)
-        if not more:
-            break
-        top *= 8
+    buckets = banded.join(shared, "key").join(shown.select("node", "sig"), "node")
+    near = spanning_links(buckets.select("key", "members", "node", "sig"), threshold)
+
+    clusters = components(near)
+    sizes = clusters.groupBy("component").agg(F.count("*").alias("members"))
+    clusters = clusters.join(sizes, "component").select("node", F.col("component").alias("key"), "members")
+    sets = shingle_sets(docs.join(clusters.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), k).dropDuplicates(["node"])
+    rows = clusters.join(shown.select("node", "sig"), "node").join(sets, "node")
+    joined = components(spanning_links(rows, threshold, percent))
+
     nodes_of = classes.join(joined, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
-    out = signed.join(nodes_of, "set_key", "left")
+    out = signed.select("doc_id", "n_shingles", "set_key").join(nodes_of, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))

@@ -69,19 +69,22 @@ class Signer:
         return keys.view(np.int64)
 
 
-def similarity(ones: np.ndarray, many: np.ndarray, hashes: int, bits: int) -> np.ndarray:
+def similarity(ones: np.ndarray, many: np.ndarray, hashes: int, bits: int, paired: bool = False) -> np.ndarray:
     """Estimated Jaccard similarity of every row of `ones` with every row of `many` (packed rows as uint8).
 
-    Two minima agree in `bits` low bits by chance with probability 2^-bits, which is taken off.
+    `paired`: of rows at equal places only. Two minima agree in `bits` low bits by chance with probability
+    2^-bits, which is taken off.
     """
     wide = hashes // 64
     a = np.ascontiguousarray(ones).view(np.uint64).reshape(len(ones), bits, wide)
     b = np.ascontiguousarray(many).view(np.uint64).reshape(len(many), bits, wide)
-    equal = np.zeros((len(a), len(b)), np.int32)
+    if not paired:
+        a, b = a[:, None], b[None]
+    equal = 0
     for w in range(wide):
-        differ = np.zeros((len(a), len(b)), np.uint64)
-        for j in range(bits):
-            differ |= a[:, None, j, w] ^ b[None, :, j, w]
-        equal += 64 - np.bitwise_count(differ).astype(np.int32)
+        differ = a[..., 0, w] ^ b[..., 0, w]
+        for j in range(1, bits):
+            differ |= a[..., j, w] ^ b[..., j, w]
+        equal = equal + (64 - np.bitwise_count(differ).astype(np.int32))
     chance = 2.0**-bits
     return (equal / hashes - chance) / (1 - chance)
