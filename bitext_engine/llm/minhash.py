@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitext_engine.llm.common import components, saved, table
+from bitext_engine.llm.spanning import Links, runs
 
 HASHES, BANDS, ROWS, BITS, SEED = 512, 32, 4, 4, 20
 SIGMAS = 5.0
@@ -83,24 +84,12 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, "node long, shingles array<long>")
 
 
-class Group:
-    """The asking classes of a slice, what is connected so far, and the links that connect it."""
+class Group(Links):
+    """The asking classes of a slice."""
 
     def __init__(self, least: float, percent: int | None):
-        self.least, self.percent, self.links = least, percent, []
-        self.parent: dict[int, int] = {}
-
-    def root(self, node: int) -> int:
-        parent = self.parent
-        while (up := parent.get(node, node)) != node:
-            parent[node] = node = parent.get(up, up)
-        return node
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-            self.links.append((max(a, b), min(a, b)))
+        super().__init__()
+        self.least, self.percent = least, percent
 
     def hold(self, node, sig, sets=None) -> None:
         import numpy as np
@@ -118,15 +107,14 @@ class Group:
 
         from bitext_engine.llm.shingles import similarity
 
-        mine = np.fromiter((self.root(a) for a in self.node.tolist()), np.int64, len(self.node))
+        mine = self.roots(self.node)
         ends = np.cumsum(sets[1]) if sets else None
         for at in range(0, len(node), 128):
             like = similarity(sig[at : at + 128], self.sig, HASHES, BITS) >= self.least
             like &= node[at : at + 128, None] != self.node
             for i in np.flatnonzero(like.any(axis=1)):
                 x = int(node[at + i])
-                was = self.root(x)
-                near = like[i] & (mine != was)
+                near = like[i] & (mine != self.root(x))
                 if self.percent is not None and near.any():
                     near = np.flatnonzero(near)
                     size = int(sets[1][at + i])
@@ -140,10 +128,7 @@ class Group:
                     near = near[100 * shared.astype(np.int64) >= self.percent * (size + self.n[near] - shared)]
                 else:
                     near = np.flatnonzero(near)
-                for root in np.unique(mine[near]).tolist():
-                    self.join(x, int(self.node[near[mine[near] == root][0]]))
-                if len(near):
-                    mine[np.isin(mine, np.append(mine[near], was))] = self.root(x)
+                self.connect(x, self.node, mine, near)
 
 
 def spanning_links(rows: DataFrame, threshold: float, percent: int | None = None) -> DataFrame:
@@ -182,11 +167,10 @@ def spanning_links(rows: DataFrame, threshold: float, percent: int | None = None
             if state["held"]:
                 t = pa.Table.from_batches(state["held"]).combine_chunks().to_batches()[0]
                 state["held"] = []
-                if t.num_rows > 1 or not state["alone"]:
-                    group = state["group"] = Group(least, percent)
-                    parts = columns(t)
-                    group.hold(*parts)
-                    group.meet(*parts)
+                group = state["group"] = Group(least, percent)
+                parts = columns(t)
+                group.hold(*parts)
+                group.meet(*parts)
 
         def end():
             begin()
@@ -195,10 +179,10 @@ def spanning_links(rows: DataFrame, threshold: float, percent: int | None = None
                     found_u.append(u), found_v.append(v)
             state["group"] = None
 
-        def take(part, at, alone):
+        def take(part, at):
             if state["at"] != at:
                 end()
-                state["at"], state["alone"] = at, alone
+                state["at"] = at
             asks = np.asarray(part.column("asks"))
             n = int(np.count_nonzero(asks))  # asking rows come first
             if n:
@@ -214,31 +198,20 @@ def spanning_links(rows: DataFrame, threshold: float, percent: int | None = None
             found_u, found_v = [], []
             return out
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, part = np.asarray(batch.column("key")), np.asarray(batch.column("slice"))
-            cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(part) != 0)) + 1
-            first, last = np.append(0, cuts), np.append(cuts, len(key))
-            pairs = np.zeros(len(first), bool)
-            if percent is None:  # many groups are a single pair: all of them at once
-                pairs = last - first == 2
-                pairs[[0, -1]] = False
-                pairs &= np.asarray(batch.column("asks"))[first]
-                if pairs.any():
-                    a = first[pairs]
-                    node = np.asarray(batch.column("node"))
-                    sigs = batch.column("sig")
-                    both = [np.frombuffer(b"".join(sigs.take(pa.array(a + i)).to_pylist()), np.uint8).reshape(-1, width) for i in (0, 1)]
-                    like = similarity(both[0], both[1], HASHES, BITS, paired=True) >= least
-                    u, v = node[a][like], node[a + 1][like]
-                    found_u += np.maximum(u, v).tolist()
-                    found_v += np.minimum(u, v).tolist()
-            for i in np.flatnonzero(~pairs):
-                whole = 0 < i < len(first) - 1
-                if whole and last[i] - first[i] == 1:
-                    continue
-                take(batch.slice(first[i], last[i] - first[i]), (key[first[i]], part[first[i]]), whole and last[i] - first[i] == 1)
+        for batch, found in runs(batches, ["key", "slice"]):
+            pairs = [a for _, a, b, whole in found if whole and b - a == 2] if percent is None else []
+            pairs = np.array(pairs, int)[np.asarray(batch.column("asks"))[pairs]] if pairs else []
+            if len(pairs):  # many groups are a single pair: all of them at once
+                node, sigs = np.asarray(batch.column("node")), batch.column("sig")
+                both = [np.frombuffer(b"".join(sigs.take(pa.array(pairs + i)).to_pylist()), np.uint8).reshape(-1, width) for i in (0, 1)]
+                like = similarity(both[0], both[1], HASHES, BITS, paired=True) >= least
+                u, v = node[pairs][like], node[pairs + 1][like]
+                found_u += np.maximum(u, v).tolist()
+                found_v += np.minimum(u, v).tolist()
+            done = set(pairs.tolist()) if len(pairs) else ()
+            for at, a, b, whole in found:
+                if a not in done and not (whole and b - a == 1):
+                    take(batch.slice(a, b - a), at)
             if found_u:
                 yield flush()
         end()

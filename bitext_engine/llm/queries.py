@@ -1,10 +1,11 @@
 """The queries of this subpackage and the SQL that must give the same rows."""
 
-from bitext_engine.llm import fingerprints, minhash, mixing, packing, suffix, token_files
+from bitext_engine.llm import embeddings, fingerprints, minhash, mixing, packing, suffix, token_files
 
 QUERIES = {
     "op1_fingerprints": fingerprints.query,
     "op2_token_files": token_files.query,
+    "op3_embeddings": embeddings.query,
     "op5_packing": packing.query,
     "op6_minhash": minhash.query,
     "op9_mixing": mixing.query,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 SQL = {
     "op1_fingerprints": fingerprints.SQL,
+    "op3_embeddings": embeddings.SQL,
     "op6_minhash": minhash.SQL,
     "op9_mixing": mixing.SQL,
 }
