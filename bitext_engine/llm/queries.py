@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that must give the same rows."""
 
-from bitext_engine.llm import embeddings, fingerprints, minhash, mixing, packing, suffix, token_files
+from bitext_engine.llm import embeddings, fingerprints, minhash, mixing, packing, quality, suffix, token_files
 
 QUERIES = {
     "op1_fingerprints": fingerprints.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_embeddings": embeddings.query,
     "op5_packing": packing.query,
     "op6_minhash": minhash.query,
+    "op7_quality": quality.query,
     "op9_mixing": mixing.query,
     "op10_suffix": suffix.query,
 }
