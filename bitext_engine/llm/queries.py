@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that must give the same rows."""
 
-from bitext_engine.llm import embeddings, fingerprints, minhash, mixing, packing, quality, suffix, token_files
+from bitext_engine.llm import embeddings, fingerprints, minhash, mixing, packing, preference, quality, suffix, token_files
 
 QUERIES = {
     "op1_fingerprints": fingerprints.query,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_packing": packing.query,
     "op6_minhash": minhash.query,
     "op7_quality": quality.query,
+    "op8_preference": preference.query,
     "op9_mixing": mixing.query,
     "op10_suffix": suffix.query,
 }
@@ -16,5 +17,6 @@ SQL = {
     "op1_fingerprints": fingerprints.SQL,
     "op3_embeddings": embeddings.SQL,
     "op6_minhash": minhash.SQL,
+    "op8_preference": preference.SQL,
     "op9_mixing": mixing.SQL,
 }
