@@ -1,11 +1,12 @@
 """The queries of this subpackage and the SQL that must give the same rows."""
 
-from bitext_engine.llm import embeddings, fingerprints, minhash, mixing, packing, preference, quality, suffix, token_files
+from bitext_engine.llm import embeddings, fingerprints, licenses, minhash, mixing, packing, preference, quality, suffix, token_files
 
 QUERIES = {
     "op1_fingerprints": fingerprints.query,
     "op2_token_files": token_files.query,
     "op3_embeddings": embeddings.query,
+    "op4_licenses": licenses.query,
     "op5_packing": packing.query,
     "op6_minhash": minhash.query,
     "op7_quality": quality.query,
