@@ -80,6 +80,31 @@ def occurrences(text: Column, term: Column) -> Column:
     return ((F.length(text) - F.length(F.replace(text, term, F.lit("")))) / F.length(term)).cast("long")
 
 
+ROMAN = (("i", 1), ("v", 5), ("x", 10), ("l", 50), ("c", 100), ("d", 500), ("m", 1000))
+
+
+def marker_to_int(col: Column) -> Column:
+    """Value of a list marker: digits of any kind, a letter (a = 1), or a roman numeral. The single letters i, v and x
+    are taken as roman, c, d, l and m as letters."""
+    low = F.lower(col)
+    worth = lambda ch: F.coalesce(*[F.when(ch == letter, n) for letter, n in ROMAN], F.lit(0))
+    start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("last"))
+    roman = F.aggregate(
+        F.reverse(F.split(low, "")), start,
+        lambda acc, ch: F.struct(
+            F.when(worth(ch) < acc["last"], acc["total"] - worth(ch)).otherwise(acc["total"] + worth(ch)).cast("long").alias("total"),
+            F.greatest(acc["last"], worth(ch)).cast("long").alias("last"),
+        ),
+        lambda acc: acc["total"],
+    )
+    return (
+        F.when(low.rlike("^[a-hj-uwyz]$"), (F.ascii(low) - 96).cast("long"))
+        .when(low.rlike("^[ivxlcdm]+$"), roman)
+        .when(low.rlike("[a-z]"), F.lit(None).cast("long"))
+        .otherwise(numeral_to_int(col))
+    )
+
+
 def numeral_to_int(col: Column) -> Column:
     """Value of a number written in ASCII, full-width or Han digits (up to 万)."""
     plain = F.translate(col, "０１２３４５６７８９〇零一二三四五六七八九", "01234567890" + "0123456789")

@@ -154,14 +154,37 @@ def glossary_stats(glossary: DataFrame) -> DataFrame:
     )
 
 
+def bound_locks(locks: DataFrame) -> DataFrame:
+    """Locks with their pair of languages; null where they carry none."""
+    absent = [c for c in PAIR if c not in locks.columns]
+    return locks.withColumns({c: F.lit(None).cast("string") for c in absent}) if absent else locks
+
+
+def batch_glossary(applied: DataFrame, batch) -> DataFrame:
+    """The whole glossary of one batch, from :func:`apply_locks`: locked entries over the unlocked rest."""
+    mine = applied.where(F.col("batch_id") == batch)
+    rest = applied.where(F.col("batch_id").isNull()).join(mine.select(*TERM_KEY), list(TERM_KEY), "left_anti")
+    return mine.unionByName(rest.select(*mine.columns))
+
+
 def apply_locks(resolved: DataFrame, locks: DataFrame) -> DataFrame:
-    """Resolved entries under a batch's locks: per (batch, entry) the target in force.
+    """Resolved entries under a batch's locks: what a lock names per (batch, entry), and every entry as it is.
 
-    ``locks`` are approved rows (batch_id, source_term, target_term, kind); each batch sees
-    every entry its locks name, and ``overridden`` tells where the lock changed the target.
+    ``locks`` are approved rows (batch_id, source_term, target_term, kind) and bind the pair of languages they
+    carry (source_lang, target_lang; a null or absent one binds all). Rows of a batch are the entries its locks
+    name, ``overridden`` where the lock changed the target; rows with a null batch are the whole resolved glossary.
+    A batch's glossary is the latter with the former put over it, see :func:`batch_glossary`, so that entries
+    without a lock are not multiplied by batches.
     """
-    one = locks.groupBy("batch_id", "source_term").agg(F.max("target_term").alias("locked_target"))
-    joined = resolved.join(one, "source_term", "left")
+    one = bound_locks(locks).groupBy("batch_id", *TERM_KEY).agg(F.max("target_term").alias("locked_target"))
+    hit = (
+        F.col("l.source_term").eqNullSafe(F.col("r.source_term"))
+        & F.coalesce(F.col("l.source_lang") == F.col("r.source_lang"), F.col("l.source_lang").isNull())
+        & F.coalesce(F.col("l.target_lang") == F.col("r.target_lang"), F.col("l.target_lang").isNull())
+    )
+    locked = resolved.alias("r").join(one.alias("l"), hit).select("batch_id", "locked_target", *[F.col(f"r.{c}").alias(c) for c in resolved.columns])
+    none = resolved.select(F.lit(None).cast(one.schema["batch_id"].dataType).alias("batch_id"), F.lit(None).cast("string").alias("locked_target"), *resolved.columns)
+    joined = locked.unionByName(none)
     return joined.select(
         "batch_id", *[c for c in resolved.columns if c != "target_term"],
         F.coalesce("locked_target", "target_term").alias("target_term"),

@@ -22,21 +22,21 @@ def _tokens(col: Column, spaced: bool) -> Column:
     return words(col) if spaced else char_windows(F.lower(col), 2)
 
 
-def similarity(aligned: DataFrame, max_edits: int, spaced: bool = True) -> DataFrame:
-    """Adds token Jaccard and the edit distance (-1 beyond ``max_edits``)."""
+def similarity(aligned: DataFrame, spaced: bool = True) -> DataFrame:
+    """Adds the share of common tokens, which is the measure here: edit distances of whole segments
+    take time by the product of their lengths, and no class depends on them."""
     tokens = aligned.select(
         "*", _tokens(F.col("text_a"), spaced).alias("_a"), _tokens(F.col("text_b"), spaced).alias("_b")
     )
     return tokens.select(
         *[F.col(c) for c in aligned.columns],
         jaccard(F.col("_a"), F.col("_b")).alias("jaccard"),
-        F.levenshtein("text_a", "text_b", max_edits).alias("edits"),
     )
 
 
-def pass_divergence(aligned: DataFrame, max_edits: int = 64, spaced: bool = True) -> DataFrame:
+def pass_divergence(aligned: DataFrame, spaced: bool = True) -> DataFrame:
     """How far two passes are apart, per segment."""
-    measured = similarity(aligned, max_edits, spaced)
+    measured = similarity(aligned, spaced)
     cls = (
         F.when(F.col("text_a").isNull() | F.col("text_b").isNull(), "one_sided")
         .when(F.col("text_a") == F.col("text_b"), "identical")
@@ -94,7 +94,7 @@ DRIFT_BOUNDS = (("none", 0.9), ("minor", 0.7), ("moderate", 0.4))
 
 
 def backtranslation_drift(
-    source: DataFrame, back: DataFrame, max_edits: int = 64, spaced: bool = True,
+    source: DataFrame, back: DataFrame, spaced: bool = True,
     bounds: tuple[tuple[str, float], ...] = DRIFT_BOUNDS,
 ) -> DataFrame:
     """Each back-translated segment against its source, classed by token Jaccard."""
@@ -104,8 +104,8 @@ def backtranslation_drift(
     cls = F.when(F.col("text_a").isNull(), "no_source")
     for name, least in bounds:
         cls = cls.when(F.col("jaccard") >= least, name)
-    return similarity(aligned, max_edits, spaced).withColumn("drift", cls.otherwise("critical")).select(
-        *SEGMENT, "jaccard", "edits", "drift"
+    return similarity(aligned, spaced).withColumn("drift", cls.otherwise("critical")).select(
+        *SEGMENT, "jaccard", "drift"
     )
 
 

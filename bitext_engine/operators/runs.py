@@ -108,9 +108,16 @@ def citation_mix(docs: DataFrame) -> DataFrame:
 # ---- gates --------------------------------------------------------------------------
 
 
-def quality_gate(checks: DataFrame, mode: str) -> DataFrame:
+def quality_gate(checks: DataFrame, mode: str, docs: DataFrame | None = None) -> DataFrame:
     """PASS if every item of the mode's gate was checked and none failed; skipped items do
-    not fail. One conditional aggregate per item, so no list is gathered."""
+    not fail. One conditional aggregate per item, so no list is gathered.
+
+    ``docs``: (doc_id) of all documents of the gate; one without any check fails.
+    """
+    checks = checks.select("doc_id", "item", "status")
+    if docs is not None:
+        none = F.lit(None).cast("string")
+        checks = checks.unionByName(docs.select("doc_id", none.alias("item"), none.alias("status")))
     items = R.GATE_ITEMS[mode]
     flags = []
     for item in items:
@@ -144,9 +151,14 @@ def latest_checkpoint(checkpoints: DataFrame) -> DataFrame:
 
 
 def pending_steps(plan: DataFrame, checkpoints: DataFrame) -> DataFrame:
-    """Planned steps without a completed checkpoint."""
-    done = checkpoints.where(F.col("status") == "completed").select("job_id", "step_no").distinct()
-    return plan.join(done, ["job_id", "step_no"], "left_anti")
+    """Planned steps without a completed checkpoint.
+
+    A step is done if one of its name was completed, whatever the mode it ran under: modes number
+    their steps alike, but under one number do different work.
+    """
+    names = _by_mode(lambda mode: F.create_map(*[x for no, name, *_ in R.MODE_STEPS[mode] for x in (F.lit(no), F.lit(name))]))
+    done = checkpoints.where(F.col("status") == "completed").select("job_id", names[F.col("step_no")].alias("step_name"))
+    return plan.join(done.where("step_name is not null").distinct(), ["job_id", "step_name"], "left_anti").select(*plan.columns)
 
 
 def next_steps(plan: DataFrame, checkpoints: DataFrame) -> DataFrame:
@@ -164,19 +176,33 @@ def validate_manifest(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
     return validate_records(manifest, schemas.MANIFEST_REQUIRED)
 
 
-def freshness(manifest: DataFrame, files: DataFrame) -> DataFrame:
-    """Latest version of each output: fresh, stale (its source changed) or missing (it is gone)."""
+def freshness(manifest: DataFrame, files: DataFrame, glossaries: DataFrame | None = None) -> DataFrame:
+    """Latest version of each output: fresh, stale (its source or its glossary changed) or missing (its source is gone).
+
+    ``glossary_sha256`` of the manifest is compared with ``glossaries`` (glossary_path, sha256) by ``glossary_path``,
+    where both are there. A path listed more than once has changed unless one of its rows is unchanged.
+    """
+    known = [c for c in ("glossary_path", "glossary_sha256") if c in manifest.columns]
     latest = manifest.groupBy("output_path").agg(
-        F.max(F.struct("version", "source_path", "source_sha256")).alias("_l")
+        F.max(F.struct("version", "source_path", "source_sha256", *known)).alias("_l")
     ).select("output_path", "_l.*")
-    now = files.select(F.col("path").alias("source_path"), F.col("sha256").alias("present_sha256"))
+    now = files.select(F.col("path").alias("source_path"), F.col("sha256").alias("present_sha256")).distinct()
     status = (
         F.when(F.col("present_sha256").isNull(), "missing")
         .when(F.col("present_sha256") == F.col("source_sha256"), "fresh")
         .otherwise("stale")
     )
-    return latest.join(now, "source_path", "left").select(
-        "output_path", "source_path", "version", status.alias("status")
+    joined = latest.join(now, "source_path", "left")
+    if glossaries is not None and len(known) == 2:
+        terms = glossaries.select("glossary_path", F.col("sha256").alias("_terms")).distinct()
+        joined = joined.join(terms, "glossary_path", "left")
+        changed = F.col("glossary_sha256").isNotNull() & ~F.col("glossary_sha256").eqNullSafe(F.col("_terms"))
+        status = F.when((status == "fresh") & changed, "stale").otherwise(status)
+    # of several rows of a path the best counts
+    rank = F.when(status == "fresh", 2).when(status == "stale", 1).otherwise(0)
+    best = joined.groupBy("output_path", "source_path", "version").agg(F.max(rank).alias("_r"))
+    return best.select(
+        "output_path", "source_path", "version", F.when(F.col("_r") == 2, "fresh").when(F.col("_r") == 1, "stale").otherwise("missing").alias("status")
     )
 
 

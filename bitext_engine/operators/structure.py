@@ -17,6 +17,7 @@ KINDS = (
 )
 
 
+DOCUMENT = "document"
 PAD = "\n\n"
 AT_LINE = r"\n[ \t]*"
 # a whole line that begins as a marked line may begin
@@ -66,11 +67,11 @@ def inventory(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     return to_long(inventory_wide(docs, doc_id, text, lang))
 
 
-def by_side(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+def by_side(pairs: DataFrame, rows: DataFrame, how: str = "inner") -> DataFrame:
     """Rows of documents under the pairs they belong to, with ``side`` source or target.
 
     Both sides come from one join, so what computes ``rows`` runs once, and an aggregate
-    by pair takes the place of a full outer join.
+    by pair takes the place of a full outer join. ``how="left"`` keeps sides without a document.
     """
     sides = pairs.select(
         "pair_id",
@@ -81,7 +82,7 @@ def by_side(pairs: DataFrame, rows: DataFrame) -> DataFrame:
             )
         ).alias("_s"),
     ).select("pair_id", "_s.*")
-    return sides.join(rows, "doc_id").drop("doc_id")
+    return sides.join(rows, "doc_id", how).drop("doc_id")
 
 
 def _on(side: str, value: Column) -> Column:
@@ -89,12 +90,20 @@ def _on(side: str, value: Column) -> Column:
 
 
 def _paired_counts(pairs: DataFrame, inv: DataFrame) -> DataFrame:
-    """One row per pair: ``c``, an array of (kind, n_source, n_target, status)."""
+    """One row per pair, whether its documents exist or not: ``c``, an array of (kind, n_source, n_target, status).
+
+    The kind ``document`` counts the documents themselves and fails where a side has none.
+    """
     sums = [
         F.coalesce(F.sum(_on(side, F.col(k))), F.lit(0)).cast("long").alias(f"{side}_{k}")
-        for k in KINDS for side in ("source", "target")
+        for k in (DOCUMENT, *KINDS) for side in ("source", "target")
     ]
-    both = by_side(pairs, inv).groupBy("pair_id").agg(*sums)
+    both = by_side(pairs, inv.withColumn(DOCUMENT, F.lit(1)), "left").groupBy("pair_id").agg(*sums)
+    n, m = F.col(f"source_{DOCUMENT}"), F.col(f"target_{DOCUMENT}")
+    present = F.struct(
+        F.lit(DOCUMENT).alias("kind"), n.alias("n_source"), m.alias("n_target"),
+        F.when((n > 0) & (m > 0), "PASS").otherwise("FAIL").alias("status"),
+    )
 
     def judged(kind: str) -> Column:
         n, m = F.col(f"source_{kind}"), F.col(f"target_{kind}")
@@ -104,7 +113,7 @@ def _paired_counts(pairs: DataFrame, inv: DataFrame) -> DataFrame:
             F.when(n == m, "PASS").otherwise(unequal).alias("status"),
         )
 
-    return both.select("pair_id", F.array(*[judged(k) for k in KINDS]).alias("c"))
+    return both.select("pair_id", F.array(present, *[judged(k) for k in KINDS]).alias("c"))
 
 
 def compare_counts(pairs: DataFrame, inv: DataFrame) -> DataFrame:
@@ -168,9 +177,14 @@ def shifted_sections(pairs: DataFrame, art: DataFrame) -> DataFrame:
     )
 
 
-def numbering_gaps(numbers: DataFrame, group: tuple[str, ...] = ("doc_id", "level"), num: str = "num") -> DataFrame:
-    """Repeated numbers, and numbers whose forerunner is not the next smaller integer."""
-    once = numbers.groupBy(*group, num).agg(F.count(F.lit(1)).alias("n"))
+def numbering_gaps(numbers: DataFrame, group: tuple[str, ...] | None = None, num: str = "num") -> DataFrame:
+    """Repeated numbers, and numbers whose forerunner is not the next smaller integer.
+
+    ``group``: by default those of doc_id, article and level that there are. Clauses and items count within their article; articles themselves need a null ``article``, as
+    :func:`numbered_headings` gives it. Headings whose number has no known form are left out.
+    """
+    group = group or tuple(c for c in ("doc_id", "article", "level") if c in numbers.columns)
+    once = numbers.where(F.col(num).isNotNull()).groupBy(*group, num).agg(F.count(F.lit(1)).alias("n"))
     stepped = previous_blocked(once, group, F.col(num), F.floor(F.col(num) / BLOCK), F.col(num), "previous")
     expected = F.coalesce(F.col("previous"), F.lit(0)) + 1
     found = stepped.select(
@@ -182,6 +196,11 @@ def numbering_gaps(numbers: DataFrame, group: tuple[str, ...] = ("doc_id", "leve
     )
 
 
+def numbered_headings(headings: DataFrame) -> DataFrame:
+    """``heading_numbers`` as :func:`numbering_gaps` wants them: an article lies in no article."""
+    return headings.withColumn("article", F.when(F.col("kind") != "article", F.col("article")))
+
+
 def footnote_orphans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Footnote marks without a body and bodies without a mark.
 

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from bitext_engine import rules as R
 from bitext_engine.functions.text import heads, normalize_text, pieces, shingles, words
+from bitext_engine.operators.glossary import bound_locks
 from bitext_engine.operators.text import by_language
 
 
@@ -272,19 +273,20 @@ def alternatives_used(targets: DataFrame, glossary: DataFrame) -> DataFrame:
 def lock_violations(pairs: DataFrame, texts: DataFrame, locks: DataFrame) -> DataFrame:
     """Delivered pairs in which a locked mapping is not kept.
 
-    ``pairs`` carry ``batch_id``; a lock binds only the pairs of its own batch. Text is
-    searched once for all locks, and usage is compared per batch afterwards.
+    ``pairs`` carry ``batch_id``; a lock binds only the pairs of its own batch and of its own pair of languages
+    (source_lang, target_lang; a null or absent one binds all). Text is searched once for all locks, and usage is
+    compared per batch afterwards.
     """
     langs = pairs.select("src_lang", "tgt_lang", "batch_id").distinct()
-    bound = locks.join(langs, "batch_id").select(
+    of_pair = lambda lock, pair: F.col(lock).isNull() | (F.col(lock) == F.col(pair))
+    bound = bound_locks(locks).join(langs, "batch_id").where(of_pair("source_lang", "src_lang") & of_pair("target_lang", "tgt_lang")).select(
         "batch_id", "source_term", "target_term",
         F.col("src_lang").alias("source_lang"), F.col("tgt_lang").alias("target_lang"),
     ).distinct()
     usage = check_usage(pairs, texts, bound.drop("batch_id").distinct())
-    batch = pairs.select("pair_id", "batch_id").distinct()
+    batch = pairs.select("pair_id", "batch_id", F.col("src_lang").alias("source_lang"), F.col("tgt_lang").alias("target_lang")).distinct()
     kept = usage.join(batch, "pair_id").join(
-        bound.select("batch_id", "source_term", "target_term").distinct(),
-        ["batch_id", "source_term", "target_term"], "left_semi",
+        bound, ["batch_id", "source_term", "target_term", "source_lang", "target_lang"], "left_semi",
     )
     return kept.where(F.col("status") != "ok").select(
         "batch_id", "pair_id", "source_term", "target_term", "n_source", "n_target", "status"

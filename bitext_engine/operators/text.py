@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitext_engine import rules as R
-from bitext_engine.functions.text import count_of, numeral_to_int, words
+from bitext_engine.functions.text import count_of, marker_to_int, words
 
 
 # ---- injection material -------------------------------------------------------------
@@ -171,14 +171,15 @@ def segment(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     chunks = F.transform(
         F.split(F.col("_text"), r"(?:^|\n)(?=[ \t]*" + R.ARTICLE_ANY + ")"),
         lambda c: F.struct(
-            F.substring(c, 1, 80).alias("head"),
+            # the heading is the line a chunk begins with, however far it is indented
+            F.substring_index(c, "\n", 1).alias("head"),
             F.transform(F.split(c, "\n"), lambda s: F.struct(_line_kind(s, owner).alias("kind"), s.alias("line"))).alias("lines"),
         ),
     )
 
     # a marked line stays whole; any other is cut after each sentence
     def pieces_of(chunk: Column, line: Column) -> Column:
-        parted = F.split(F.regexp_replace(line["line"], R.SENTENCE_CUT, "$1" + CUT), CUT)
+        parted = F.split(F.regexp_replace(line["line"], R.SENTENCE_CUT, "$1$2" + CUT), CUT)
         cut = F.when(line["kind"] == "sentence", parted).otherwise(F.array(line["line"]))
         return F.transform(
             cut, lambda s: F.struct(chunk["head"].alias("head"), line["kind"].alias("kind"), F.trim(s).alias("text"))
@@ -203,22 +204,31 @@ def segment(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
 
 
 def heading_numbers(segments: DataFrame) -> DataFrame:
-    """Headings only, with level by (language, marker) and the number as an integer."""
+    """Headings only, with their article, the level by (language, marker) and the number as an integer.
+
+    Letters and roman numerals count as well; a number in no known form is null.
+    """
     return (
         segments.where(F.col("kind").isin(*R.LEVELS))
-        .withColumn("num", numeral_to_int(F.regexp_extract("number", r"([^.]+)$", 1)))
-        .select("doc_id", "lang", "seg_no", "kind", "level", "number", "num")
+        .withColumn("num", marker_to_int(F.regexp_extract("number", r"([^.]+)$", 1)))
+        .select("doc_id", "lang", "seg_no", "article", "kind", "level", "number", "num")
     )
 
 
 # ---- blocks -------------------------------------------------------------------------
 
 
-def low_density(blocks: DataFrame, min_chars: int = 200) -> DataFrame:
-    """Pages whose extracted text is so short that they may need OCR."""
+def low_density(blocks: DataFrame, min_chars: int = 200, pages: DataFrame | None = None) -> DataFrame:
+    """Pages whose extracted text is so short that they may need OCR; a page without any text has 0 characters.
+
+    ``pages``: (doc_id, page_no) of all pages, for those of which no block came out at all.
+    """
+    rows = blocks.select("doc_id", "page_no", F.coalesce(F.length("text"), F.lit(0)).alias("n"), F.lit(1).alias("b"))
+    if pages is not None:
+        rows = rows.unionByName(pages.select("doc_id", "page_no", F.lit(0).alias("n"), F.lit(0).alias("b")))
     return (
-        blocks.groupBy("doc_id", "page_no")
-        .agg(F.sum(F.length("text")).cast("long").alias("n_chars"), F.count(F.lit(1)).alias("n_blocks"))
+        rows.groupBy("doc_id", "page_no")
+        .agg(F.sum("n").cast("long").alias("n_chars"), F.sum("b").cast("long").alias("n_blocks"))
         .where(F.col("n_chars") < min_chars)
     )
 

@@ -48,7 +48,7 @@ LEVELS = {"article": 1, "clause": 2, "item": 3}
 # an article heading in any of the languages; group 1, 2 or 3 holds its number
 ARTICLE_ANY = rf"(?:Article[ \t]+([0-9]+)|제[ \t]*({NUMERAL})[ \t]*조|第[ \t]*({NUMERAL})[ \t]*[条條])"
 
-LIST_ITEM = r"(?:[-*•]|[0-9]{1,3}[.)]|[①-⑳])[ \t]+"
+LIST_ITEM = r"(?:[-*•]|[0-9]+[.)]|[①-⑳])[ \t]+"
 FOOTNOTE = r"\[([0-9]+)\]"
 FOOTNOTE_BODY = r"\[([0-9]+)\][ \t]"
 MD_HEADING = r"#{1,6}[ \t]"
@@ -57,8 +57,8 @@ PARAGRAPH = r"(?:^|\n[ \t]*\n)\s*\S"
 SENTENCE_END = r"(?:[.!?](?:\[[0-9]+\])*(?:\s|\z)|[。！？])"
 SENTENCE_END_SPACED = r"[.!?](?:\[[0-9]+\])*(?:\s|\z)"
 SENTENCE_END_CJK = r"[。！？]"
-# where a line is cut into sentences: group 1 stays with the sentence before
-SENTENCE_CUT = r"([.!?。！？](?:\[[0-9]{1,4}\])?)(?:\s+|(?<=[。！？]))"
+# where a line is cut into sentences: groups 1 and 2 stay with the sentence before
+SENTENCE_CUT = r"([.!?](?:\[[0-9]+\])*)\s+|([。！？](?:\[[0-9]+\])*)\s*"
 
 # fixed values: a quoted term followed by the verb that defines it
 DEFINED_TERM = {
@@ -70,7 +70,7 @@ DEFINED_TERM = {
 }
 
 # quoted label in brackets after a party's name: (the "Supplier"), (이하 "공급자")
-PARTY_LABEL = r"[(（](?:the[ \t]+|이하[ \t]*|以下[ \t]*(?:简称|簡稱)?[ \t]*)?[\"“「]([^\"“”「」\n]+)[\"”」](?:[ \t]*(?:이라|라|という|といいます)[^)）\n]{0,10})?[)）]"
+PARTY_LABEL = r"[(（](?:the[ \t]+|이하[ \t]*|以下[ \t]*(?:简称|簡稱)?[ \t]*)?[\"“「]([^\"“”「」\n]+)[\"”」](?:[ \t]*(?:이라|라|という|といいます)[^)）\n]*)?[)）]"
 
 # function words that tell English from other languages in Latin script
 ENGLISH_WORDS = (
@@ -89,7 +89,7 @@ TRADITIONAL = "條項約簽訂當義務責書證權讓對應關產業專經營
 INJECTION_RULES = (
     ("role_marker", r"(?i)((?:^|\n)[ \t]*)(?:system|assistant|developer)[ \t]*:", "$1‹neutralized›", ("system", "assistant", "developer")),
     ("chat_tag", r"(?i)</?(?:system|assistant|user|instructions?)>", "‹neutralized›", ("system>", "assistant>", "user>", "instruction>", "instructions>")),
-    ("template_token", r"<\|[A-Za-z_]{1,30}\|>", "‹|neutralized|›", ("<|",)),
+    ("template_token", r"<\|[A-Za-z_]+\|>", "‹|neutralized|›", ("<|",)),
     ("ignore_previous", r"(?i)(?:ignore|disregard|forget) +(?:all +)?(?:the +)?(?:previous|prior|above) +instructions?", "‹neutralized›", (" instruction",)),
     ("act_as", r"(?i)you +are +now +(?:a|an|the)", "‹neutralized›", (" now ",)),
     ("reveal_prompt", r"(?i)(?:reveal|print|show) +(?:your|the) +(?:system +)?prompt", "‹neutralized›", (" prompt",)),

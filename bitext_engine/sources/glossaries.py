@@ -69,8 +69,9 @@ def import_glossary(
             columns.append(defaults.get(field, F.lit(None).cast("string")).alias(field))
     shaped = incoming.select(*columns)
     accepted, rejected = validate_glossary(shaped)
-    mine = accepted.where((F.col("source_lang") == pair[0]) & (F.col("target_lang") == pair[1]))
-    return merge_glossary(base, mine), rejected
+    ours = (F.col("source_lang") == pair[0]) & (F.col("target_lang") == pair[1])
+    other = accepted.where(~F.coalesce(ours, F.lit(False))).withColumn("reasons", F.lit("other pair"))
+    return merge_glossary(base, accepted.where(ours)), rejected.unionByName(other.select(*rejected.columns))
 
 
 def pair_rows(glossary: DataFrame, pair: tuple[str, str]) -> DataFrame:

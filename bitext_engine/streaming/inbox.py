@@ -15,7 +15,11 @@ from bitext_engine.operators.glossary import merge_glossary
 from bitext_engine.operators.structure import inventory
 from bitext_engine.operators.terms import defined_terms
 from bitext_engine.operators.text import detect_language, neutralize
-from bitext_engine.sources.files import file_stem
+from bitext_engine.sources.files import relative_id
+
+
+#: A file's own time says nothing about whether it is new here, so none is too old.
+MAX_FILE_AGE = "36500d"
 
 
 def _file_time() -> Column:
@@ -25,17 +29,17 @@ def _file_time() -> Column:
 def stream_inbox(spark: SparkSession, path: str, watermark: str = "1 day", max_files: int = 10_000) -> DataFrame:
     """New text files, equal contents only once.
 
-    The state holds content hashes of files younger than the watermark; an older duplicate
-    is caught by the ingest's comparison with the manifest.
+    The state holds content hashes of files that arrived within the watermark; a later duplicate is caught by the
+    ingest's comparison with the manifest. Time is that of arrival, so a file with an old time is new all the same.
     """
     raw = (
         spark.readStream.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.{md,txt}")
-        .option("maxFilesPerTrigger", max_files)
+        .option("maxFilesPerTrigger", max_files).option("maxFileAge", MAX_FILE_AGE)
         .text(path, wholetext=True)
     )
     where = F.col("_metadata.file_path")
-    return _once(raw.select(file_stem(where).alias("doc_id"), where.alias("path"), F.col("value").alias("text"), _file_time()), watermark)
+    return _once(raw.select(relative_id(where, path).alias("doc_id"), where.alias("path"), F.col("value").alias("text"), _file_time()), watermark)
 
 
 def stream_table(
@@ -43,7 +47,8 @@ def stream_table(
 ) -> DataFrame:
     """The same for texts that arrive as rows of Parquet files."""
     raw = (
-        spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", max_files).parquet(path)
+        spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", max_files)
+        .option("maxFileAge", MAX_FILE_AGE).parquet(path)
     )
     return _once(
         raw.select(F.col(doc_id).alias("doc_id"), F.col("_metadata.file_path").alias("path"), "text", _file_time()), watermark
@@ -53,7 +58,8 @@ def stream_table(
 def _once(texts: DataFrame, watermark: str) -> DataFrame:
     return (
         texts.withColumn("sha256", F.sha2("text", 256))
-        .withWatermark("file_time", watermark)
+        .withColumn("arrived", F.current_timestamp())
+        .withWatermark("arrived", watermark)
         .dropDuplicatesWithinWatermark(["sha256"])
     )
 

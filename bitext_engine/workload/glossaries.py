@@ -163,7 +163,8 @@ def part_locks(t):
 @query("apply_locks", LOCKS + """
 SELECT batch_id, source_term, source_lang, target_lang, coalesce(locked_target, target_term) AS target_term,
   locked_target IS NOT NULL AND locked_target <> target_term AS overridden
-FROM resolved LEFT JOIN locks USING (source_term)""")
+FROM resolved JOIN locks USING (source_term)
+UNION ALL SELECT NULL, source_term, source_lang, target_lang, target_term, FALSE FROM resolved""")
 def _(t):
     return G.apply_locks(resolved_parts(t), part_locks(t))
 

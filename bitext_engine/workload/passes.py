@@ -1,4 +1,4 @@
-"""Queries over passes and back-translations: user and assistant turns stand for them."""
+"""Queries over passes and back-translations: turns stand for them, one by one."""
 
 from pyspark.sql import functions as F
 
@@ -7,21 +7,17 @@ from bitext_engine.workload.registry import query
 
 
 def passes(t):
-    """User turns as pass A, assistant turns as pass B, numbered by two turns."""
-    rows = t.conversations.where(F.col("role") != "system").select(
-        F.col("conv_id").alias("doc_id"), F.floor((F.col("turn") + (F.col("conv_id") % 4 == 0).cast("int")) / 2).cast("long").alias("seg_no"), "role", "text"
-    )
-    # a conversation may hold two turns of one role in a row: the longer text stands
-    one = rows.groupBy("doc_id", "seg_no", "role").agg(F.max(F.struct(F.length("text").alias("n"), "text"))["text"].alias("text"))
-    return [one.where(F.col("role") == r).select("doc_id", "seg_no", "text") for r in ("user", "assistant")]
+    """Every other turn as pass A, the turns after them as pass B; some conversations begin with B."""
+    place = F.col("turn") + (F.col("conv_id") % 4 == 0).cast("int")
+    rows = t.conversations.select(F.col("conv_id").alias("doc_id"), F.floor(place / 2).cast("long").alias("seg_no"), (place % 2).alias("p"), "text")
+    return [rows.where(F.col("p") == p).select("doc_id", "seg_no", "text") for p in (0, 1)]
 
 
 ALIGNED = """
-WITH rows_of AS (SELECT conv_id AS doc_id, (turn + CASE WHEN conv_id % 4 = 0 THEN 1 ELSE 0 END) // 2 AS seg_no, role, text
-  FROM conversations WHERE role <> 'system'),
-one AS (SELECT doc_id, seg_no, role, max({'n': length(text), 't': text}).t AS text FROM rows_of GROUP BY ALL),
-aligned AS (SELECT * FROM (SELECT doc_id, seg_no, text AS text_a FROM one WHERE role = 'user')
-  FULL JOIN (SELECT doc_id, seg_no, text AS text_b FROM one WHERE role = 'assistant') USING (doc_id, seg_no)),
+WITH one AS (SELECT conv_id AS doc_id, (turn + CASE WHEN conv_id % 4 = 0 THEN 1 ELSE 0 END) // 2 AS seg_no,
+  (turn + CASE WHEN conv_id % 4 = 0 THEN 1 ELSE 0 END) % 2 AS p, text FROM conversations),
+aligned AS (SELECT * FROM (SELECT doc_id, seg_no, text AS text_a FROM one WHERE p = 0)
+  FULL JOIN (SELECT doc_id, seg_no, text AS text_b FROM one WHERE p = 1) USING (doc_id, seg_no)),
 measured AS (SELECT *, CASE WHEN text_a IS NULL OR text_b IS NULL THEN NULL WHEN len(list_distinct(a || b)) = 0 THEN 1.0
     ELSE len(list_intersect(list_distinct(a), list_distinct(b))) / len(list_distinct(a || b)) END AS j
   FROM (SELECT *, regexp_extract_all(lower(text_a), '[\\p{L}\\p{N}]+') AS a, regexp_extract_all(lower(text_b), '[\\p{L}\\p{N}]+') AS b FROM aligned))
@@ -37,7 +33,6 @@ def _(t):
 SELECT doc_id, seg_no, round(j, 6) AS jaccard, CASE WHEN text_a IS NULL OR text_b IS NULL THEN 'one_sided' WHEN text_a = text_b THEN 'identical'
   WHEN j >= 0.8 THEN 'minor' WHEN j >= 0.5 THEN 'moderate' ELSE 'major' END AS divergence FROM measured""")
 def _(t):
-    # edit distances are left to the tests: SQL engines count bytes where Spark counts characters
     return P.pass_divergence(P.align_passes(*passes(t))).select("doc_id", "seg_no", F.round("jaccard", 6).alias("jaccard"), "divergence")
 
 

@@ -27,7 +27,7 @@ def expand(sql: str) -> str:
             if name not in wanted and re.search(rf"\b{name}\b", text):
                 wanted.add(name)
                 queue.append(body)
-    parts = [f"{n} AS ({CTES[n].strip()})" for n in CTES if n in wanted]
+    parts = [f"{n} AS MATERIALIZED ({CTES[n].strip()})" for n in CTES if n in wanted]
     sql = sql.strip()
     if not parts:
         return sql

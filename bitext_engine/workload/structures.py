@@ -49,12 +49,15 @@ def _(t):
 
 def _verify_sql(texts: str, pairs: str) -> str:
     decisive = ", ".join(q(k) for k in R.DECISIVE_KINDS)
+    kinds = ", ".join(f"('{k}')" for k in ("document", *_COUNT_SQL))
     return f"""
-WITH inv AS ({inventory_sql(texts)}),
+WITH inv AS MATERIALIZED ({inventory_sql(texts)} UNION ALL SELECT doc_id, 'document', 1 FROM {texts}),
 both_sides AS (
-  SELECT p.pair_id, a.kind, a.n AS n_source, b.n AS n_target
-  FROM {pairs} p JOIN inv a ON p.source_doc_id = a.doc_id JOIN inv b ON p.target_doc_id = b.doc_id AND a.kind = b.kind),
-judged AS (SELECT *, CASE WHEN n_source = n_target THEN 'PASS' WHEN kind IN ({decisive}) THEN 'FAIL' ELSE 'WARN' END AS status FROM both_sides)
+  SELECT p.pair_id, k.kind, coalesce(a.n, 0) AS n_source, coalesce(b.n, 0) AS n_target
+  FROM {pairs} p CROSS JOIN (VALUES {kinds}) k(kind)
+  LEFT JOIN inv a ON p.source_doc_id = a.doc_id AND a.kind = k.kind LEFT JOIN inv b ON p.target_doc_id = b.doc_id AND b.kind = k.kind),
+judged AS (SELECT *, CASE WHEN kind = 'document' THEN CASE WHEN n_source > 0 AND n_target > 0 THEN 'PASS' ELSE 'FAIL' END
+  WHEN n_source = n_target THEN 'PASS' WHEN kind IN ({decisive}) THEN 'FAIL' ELSE 'WARN' END AS status FROM both_sides)
 """
 
 
@@ -65,9 +68,14 @@ SELECT pair_id, CASE WHEN bool_or(status = 'FAIL') THEN 'FAIL' ELSE 'PASS' END A
 FROM judged GROUP BY pair_id"""
 
 
-@query("verify_structure", _verify_sql("turns", "turn_pairs") + VERDICT)
+ALL_TURN_PAIRS = "(SELECT doc_id AS pair_id, doc_id AS source_doc_id, doc_id + 1 AS target_doc_id FROM turns)"
+
+
+@query("verify_structure", _verify_sql("turns", ALL_TURN_PAIRS) + VERDICT)
 def _(t):
-    return S.verify_structure(t.turn_pairs, S.inventory_wide(t.turns))
+    # every turn and the one after it, which the last of a conversation does not have
+    pairs = t.turns.select(F.col("doc_id").alias("pair_id"), F.col("doc_id").alias("source_doc_id"), (F.col("doc_id") + 1).alias("target_doc_id"))
+    return S.verify_structure(pairs, S.inventory_wide(t.turns))
 
 
 @query("verify_structure_legal", _verify_sql("legal_both", "legal_pairs") + VERDICT)

@@ -231,7 +231,7 @@ class Tables:
     def checkpoints(self) -> DataFrame:
         step = F.array_position(F.array(*[F.lit(e) for e in ("view", "click", "signup", "purchase", "error")]), F.col("event_type"))
         return self.events.select(
-            F.col("user_id").alias("job_id"), F.lit("fast").alias("mode"), step.cast("int").alias("step_no"),
+            (F.col("user_id") * 1000 + F.dayofyear("ts")).alias("job_id"), F.lit("fast").alias("mode"), step.cast("int").alias("step_no"),
             F.when(F.col("value") >= 25, "completed").otherwise("started").alias("status"), "ts",
         )
 
@@ -317,7 +317,7 @@ CTES = {
                CASE o_orderpriority WHEN '1-URGENT' THEN 'fast' WHEN '2-HIGH' THEN 'hard' ELSE 'normal' END AS mode, 'md' AS ext
         FROM orders""",
     "checkpoints": """
-        SELECT user_id AS job_id, 'fast' AS mode,
+        SELECT user_id * 1000 + dayofyear(ts) AS job_id, 'fast' AS mode,
                CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'signup' THEN 3 WHEN 'purchase' THEN 4
                     WHEN 'error' THEN 5 ELSE 0 END AS step_no,
                CASE WHEN value >= 25 THEN 'completed' ELSE 'started' END AS status, ts

@@ -83,7 +83,7 @@ SPACED = """
 tok AS (SELECT doc_id, role_of, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM texts),
 gram AS (SELECT doc_id, role_of, unnest(w) AS g FROM tok
   UNION ALL SELECT doc_id, role_of, w[i] || ' ' || w[i + 1] FROM (SELECT *, unnest(range(1, len(w))) AS i FROM tok WHERE len(w) >= 2)),
-n AS (SELECT doc_id, role_of, g, count(*) AS n FROM gram GROUP BY ALL)
+n AS MATERIALIZED (SELECT doc_id, role_of, g, count(*) AS n FROM gram GROUP BY ALL)
 """
 USAGE_TAIL = """
 SELECT pair_id, source_term, target_term, n_source, n_target,
@@ -100,7 +100,7 @@ def _(t):
 
 SUBSTRING = """
 WITH terms AS (SELECT source_term AS term FROM word_glossary UNION SELECT target_term FROM word_glossary),
-n AS (SELECT doc_id, term AS g, CAST((length(text) - length(replace(text, term, ''))) // length(term) AS BIGINT) AS n
+n AS MATERIALIZED (SELECT doc_id, term AS g, CAST((length(text) - length(replace(text, term, ''))) // length(term) AS BIGINT) AS n
   FROM turns JOIN terms ON contains(text, term))
 """
 
@@ -134,8 +134,9 @@ SELECT * FROM (
 SELECT p.batch_id, p.pair_id, g.source_term, g.target_term, s.n AS n_source, coalesce(x.n, 0) AS n_target,
   CASE WHEN coalesce(x.n, 0) = 0 THEN 'absent' WHEN x.n < s.n THEN 'under' ELSE 'ok' END AS status
 FROM turn_pairs p JOIN n s ON s.doc_id = p.source_doc_id
-JOIN (SELECT DISTINCT conv_id, source_term, target_term FROM word_glossary, conversations
-      WHERE list_contains(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), target_term) AND role = 'user') g
+JOIN (SELECT DISTINCT conv_id, source_term, target_term FROM word_glossary
+      JOIN (SELECT DISTINCT conv_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM conversations WHERE role = 'user')
+        ON w = target_term) g
   ON g.source_term = s.g AND g.conv_id = p.batch_id
 LEFT JOIN n x ON x.doc_id = p.target_doc_id AND x.g = g.target_term) WHERE status <> 'ok'""")
 def _(t):

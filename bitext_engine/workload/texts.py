@@ -179,7 +179,7 @@ kinds AS (
     WHEN regexp_matches(line, '^\[([0-9]+)\][ \t]') THEN 'footnote_body'
     WHEN regexp_matches(line, '^[ \t]*#{{1,6}}[ \t]') THEN 'heading'
     WHEN regexp_matches(line, '^[ \t]*\|[^\n]*\|') THEN 'table_row'
-    WHEN regexp_matches(line, '^[ \t]*(?:[-*•]|[0-9]{{1,3}}[.)]|[①-⑳])[ \t]+') THEN 'list_item'
+    WHEN regexp_matches(line, '^[ \t]*(?:[-*•]|[0-9]+[.)]|[①-⑳])[ \t]+') THEN 'list_item'
     ELSE 'sentence' END AS line_kind,
     CASE WHEN regexp_matches(line, {q(ARTICLE_HEAD)}) THEN regexp_extract(line, {q(ARTICLE_HEAD)}, 1)
       || regexp_extract(line, {q(ARTICLE_HEAD)}, 2) || regexp_extract(line, {q(ARTICLE_HEAD)}, 3) END AS art
@@ -189,7 +189,7 @@ owned AS (
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS article FROM kinds),
 cut AS (
   SELECT *, CASE WHEN line_kind <> 'sentence' THEN [line] ELSE string_split(regexp_replace(regexp_replace(line,
-    '([.!?](?:\[[0-9]{{1,4}}\])?)\s+', '\1' || chr(1), 'g'), '([。！？])', '\1' || chr(1), 'g'), chr(1)) END AS parts FROM owned),
+    '([.!?](?:\[[0-9]+\])*)\s+', '\1' || chr(1), 'g'), '([。！？](?:\[[0-9]+\])*)\s*', '\1' || chr(1), 'g'), chr(1)) END AS parts FROM owned),
 sentences AS (
   SELECT doc_id, lang, line_no, article, line_kind AS kind, art, trim(unnest(parts)) AS text,
          generate_subscripts(parts, 1) AS k FROM cut),

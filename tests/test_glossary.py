@@ -51,6 +51,9 @@ def test_import(spark, glossary):
     assert collect(merged, "source_term", "usage_count", "last_used") == [
         ("Licence", 0, "2026-02-01"), ("Recipient", 1, "2026-02-01"), ("Trade Secret", 1, "2026-01-05")]
     assert collect(rejected, "target_term", "reasons") == [("빈말", "source_term")]
+    mixed = spark.createDataFrame([("Licence", "허락", "en", "ko"), ("Licence", "許諾", "en", "ja")], "source_term string, target_term string, source_lang string, target_lang string")
+    merged, rejected = files.import_glossary(mixed, ("en", "ko"), glossary, "2026-02-01")
+    assert merged.count() == 3 and collect(rejected, "target_term", "reasons") == [("許諾", "other pair")]
 
 
 def test_resolution_prefers_library_then_persistent(spark):
@@ -102,4 +105,15 @@ def test_conflicts_and_locks(spark, glossary):
     assert len(got) == 2 and {n for _, n in got} == {2}
     locks = spark.createDataFrame([("b1", "Recipient", "수령인", "party")], "batch_id string, source_term string, target_term string, kind string")
     assert collect(G.apply_locks(glossary, locks), "source_term", "target_term", "overridden") == [
-        ("Recipient", "수령인", True), ("Trade Secret", "영업비밀", False)]
+        ("Recipient", "수령인", True), ("Recipient", "수취인", False), ("Trade Secret", "영업비밀", False)]
+    applied = G.apply_locks(glossary, locks)
+    assert collect(G.batch_glossary(applied, "b1"), "source_term", "target_term") == [("Recipient", "수령인"), ("Trade Secret", "영업비밀")]
+    assert collect(G.batch_glossary(applied, "b2"), "source_term", "target_term") == [("Recipient", "수취인"), ("Trade Secret", "영업비밀")]
+
+
+def test_locks_bind_their_own_languages(spark, glossary):
+    both = glossary.unionByName(glossary.withColumn("target_lang", F.lit("ja")).withColumn("target_term", F.concat(F.lit("ja-"), "target_term")))
+    locks = spark.createDataFrame([("b1", "Recipient", "수령인", "party", "en", "ko")], "batch_id string, source_term string, target_term string, kind string, source_lang string, target_lang string")
+    mine = G.batch_glossary(G.apply_locks(both, locks), "b1")
+    assert collect(mine, "target_lang", "source_term", "target_term") == [
+        ("ja", "Recipient", "ja-수취인"), ("ja", "Trade Secret", "ja-영업비밀"), ("ko", "Recipient", "수령인"), ("ko", "Trade Secret", "영업비밀")]

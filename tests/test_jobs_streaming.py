@@ -1,3 +1,5 @@
+import os
+
 from pyspark.sql import functions as F
 
 from bitext_engine.operators import structure as S
@@ -18,6 +20,13 @@ def test_from_files_to_verdict(spark, texts, tmp_path):
     assert collect(S.verify_structure(pairs, S.inventory_wide(docs)), "pair_id", "status") == [("p", "PASS"), ("q", "FAIL")]
 
 
+def test_names_in_two_folders(spark, tmp_path):
+    for side in ("source", "target"):
+        (tmp_path / side).mkdir()
+        (tmp_path / side / "nda.md").write_text(side)
+    assert collect(scan_documents(spark, str(tmp_path)), "doc_id", "text") == [("source/nda", "source"), ("target/nda", "target")]
+
+
 def test_normal_job(docs, pairs, glossary):
     made = J.prepare(docs.drop("lang"), glossary)
     assert made.hits.count() == 0
@@ -86,10 +95,12 @@ def test_stream_equals_batch_and_restarts(spark, texts, glossary, tmp_path):
     run()                                                        # nothing new: nothing changes
     drop("late_copy", texts["en"])                               # known content after a restart
     drop("ko_short", texts["ko_short"])
+    drop("old", "Text of an older file.")
+    os.utime(tmp_path / "inbox" / "old.md", (1_000_000_000, 1_000_000_000))   # new here, whatever its time
     run()
     streamed = spark.read.parquet(out + "/inventory")
     kept = {r["doc_id"] for r in streamed.select("doc_id").distinct().collect()}
-    assert "ko" in kept and "ko_short" in kept and len(kept & {"en", "en_copy", "late_copy"}) == 1 and len(kept) == 3
+    assert "ko" in kept and "ko_short" in kept and len(kept & {"en", "en_copy", "late_copy"}) == 1 and "old" in kept and len(kept) == 4
     docs = X.detect_language(X.neutralize(scan_documents(spark, inbox)), out="lang").where(F.col("doc_id").isin(*kept))
     assert collect(streamed, "doc_id", "kind", "n") == collect(S.inventory(docs), "doc_id", "kind", "n")
     last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out" / "glossary").iterdir())

@@ -88,6 +88,28 @@ def test_resume(spark):
     assert collect(B.next_steps(plan, cp), "job_id", "next_step_no", "n_pending") == [("a", 2, 4), ("b", 1, 4)]
 
 
+def test_a_fast_job_goes_on_as_hard(spark):
+    """Steps of one number do different work under another mode."""
+    cp = _cp(spark, [("a", s, "completed", s) for s in range(1, 6)])
+    plan = B.mode_plan(spark.createDataFrame([("a", "hard")], "job_id string, mode string"))
+    assert collect(B.pending_steps(plan, cp), "step_no") == [(n,) for n in range(3, 11)]
+    assert collect(B.next_steps(plan, cp), "next_step_no", "n_pending") == [(3, 8)]
+
+
+def test_gate_without_checks(spark):
+    checks = spark.createDataFrame([(1, i, "PASS") for i in R.GATE_ITEMS["normal"]], "doc_id int, item string, status string")
+    docs = spark.createDataFrame([(1,), (2,)], "doc_id int")
+    assert collect(B.quality_gate(checks, "normal", docs), "doc_id", "status") == [(1, "PASS"), (2, "FAIL")]
+
+
+def test_freshness_of_glossaries(spark):
+    manifest = spark.createDataFrame([("o1", "a", "x", 1, "g", "old"), ("o2", "a", "x", 1, "h", "same"), ("o3", "a", "x", 1, None, None)],
+                                     "output_path string, source_path string, source_sha256 string, version int, glossary_path string, glossary_sha256 string")
+    files = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "y")], "path string, sha256 string")
+    glossaries = spark.createDataFrame([("g", "new"), ("h", "same")], "glossary_path string, sha256 string")
+    assert collect(B.freshness(manifest, files, glossaries), "output_path", "status") == [("o1", "stale"), ("o2", "fresh"), ("o3", "fresh")]
+
+
 def test_records(spark):
     cp = _cp(spark, [("a", 1, "completed", 1), (None, 1, "", 1)])
     ok, bad = B.validate_checkpoints(cp)

@@ -23,6 +23,25 @@ def test_verify(docs, pairs):
     assert "defined_term" in got["bad"]["warned_kinds"]
 
 
+def test_absent_documents_fail(spark, docs):
+    pairs = spark.createDataFrame([("t", "en", "nowhere"), ("s", "nowhere", "ko"), ("n", "nowhere", "neither"), ("p", "plain", "nowhere")],
+                                  "pair_id string, source_doc_id string, target_doc_id string")
+    plain = docs.unionByName(spark.createDataFrame([("plain", "Just prose.", "en")], docs.schema))
+    got = S.verify_structure(pairs, S.inventory_wide(plain))
+    assert collect(got, "pair_id", "status") == [("n", "FAIL"), ("p", "FAIL"), ("s", "FAIL"), ("t", "FAIL")]
+    assert {r["failed_kinds"] for r in got.where("pair_id in ('n', 'p')").collect()} == {"document"}
+
+
+def test_gaps_within_articles(spark):
+    text = "Article 1. A\n1.1 x\n1.2 x\n(a) one\n(b) two\n(d) four\nArticle 2. B\n2.1 x\n2.3 x\n(i) one\n(ii) two"
+    docs = spark.createDataFrame([("d", text, "en")], "doc_id string, text string, lang string")
+    headings = X.heading_numbers(X.segment(docs))
+    assert [n for (_, n) in collect(headings.where("kind = 'item'"), "seg_no", "num")] == [1, 2, 4, 1, 2]
+    got = S.numbering_gaps(S.numbered_headings(headings))
+    assert collect(got.where("level = 2"), "article", "num", "gap_from") == [("2", 3, 2)]
+    assert collect(got.where("level = 3 and article = '1'"), "num", "gap_from") == [(4, 3)]
+
+
 def test_document_with_itself_passes(docs):
     same = docs.select(F.col("doc_id").alias("pair_id"), F.col("doc_id").alias("source_doc_id"), F.col("doc_id").alias("target_doc_id"))
     assert {r["status"] for r in S.verify_structure(same, S.inventory_wide(docs)).collect()} == {"PASS"}

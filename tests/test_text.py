@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from bitext_engine import rules as R
-from bitext_engine.functions.text import char_windows, normalize_text, numeral_to_int, shingles
+from bitext_engine.functions.text import char_windows, marker_to_int, normalize_text, numeral_to_int, shingles
 from bitext_engine.operators import structure as S
 from bitext_engine.operators import text as X
 from tests.conftest import collect
@@ -19,6 +19,19 @@ def test_numerals(spark, text, value):
     assert df.first()["v"] == value
 
 
+def test_markers(spark):
+    rows = spark.createDataFrame([("a",), ("C",), ("i",), ("iv",), ("xii",), ("12",), ("３",), ("十二",), ("zz",), ("",)], "m string")
+    assert [r["n"] for r in rows.select(marker_to_int(F.col("m")).alias("n")).collect()] == [1, 3, 1, 4, 12, 12, 3, 12, None, None]
+
+
+def test_long_indents_and_numbers(spark):
+    text = "x" * 5 + "\n" + " " * 200 + "Article 7. Far\nBody.\n1000. item"
+    rows = X.segment(spark.createDataFrame([("d", text, "en")], "doc_id string, text string, lang string"))
+    assert collect(rows.where("kind in ('article', 'list_item')"), "kind", "article") == [("article", "7"), ("list_item", "7")]
+    cut = X.segment(spark.createDataFrame([("d", "One.[1][2] Two! Three", "en"), ("k", "一。[1]二。", "zh-cn")], "doc_id string, text string, lang string"))
+    assert collect(cut, "text") == [("One.[1][2]",), ("Three",), ("Two!",), ("一。[1]",), ("二。",)]
+
+
 def test_normalize_and_windows(spark):
     df = spark.createDataFrame([("  ＡＢＣ　Def\t1 ", "가나다라")], "a string, b string")
     row = df.select(normalize_text(F.col("a")).alias("a"), char_windows(F.col("b"), 3).alias("b")).first()
@@ -111,6 +124,9 @@ def test_density_and_revisions(spark):
          ("d", 2, 1, "paragraph", "deleted", "old"), ("d", 2, 2, "table_row", None, "| a |")],
         "doc_id string, page_no int, block_no int, block_kind string, change_kind string, text string")
     assert collect(X.low_density(blocks, 200), "doc_id", "page_no", "n_chars") == [("d", 2, 11)]
+    scanned = blocks.select("doc_id", "page_no", "block_no", "block_kind", "change_kind", "text").withColumn("text", F.lit(None).cast("string"))
+    pages = blocks.select("doc_id", (F.col("page_no") + 7).alias("page_no")).distinct()
+    assert collect(X.low_density(scanned, 200, pages), "page_no", "n_chars", "n_blocks") == [(1, 0, 1), (2, 0, 3), (8, 0, 0), (9, 0, 0)]
     view = lambda v: [r["view_text"] for r in X.revision_view(blocks, v).where("page_no = 2").orderBy("block_no").collect()]
     assert view("accepted") == ["new", "| a |"]
     assert view("rejected") == ["old", "| a |"]
