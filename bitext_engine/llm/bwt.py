@@ -1,4 +1,6 @@
-"""Column-wise construction of the Burrows-Wheeler transform and common prefixes of a collection of byte strings.
+"""Column-wise construction of the Burrows-Wheeler transform and common prefixes of a collection of strings.
+
+A string is an array of symbols, numbers under 65535 (bytes, or the ranks of longer words of bytes).
 
 Every round puts one more symbol of every string, from the right, into the transform: the suffixes that are now
 one symbol longer find their places by the last-to-first mapping of the transform as it is, old entries are
@@ -10,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 
-END = np.uint8(255)  # behind all bytes of UTF-8; stands before the first symbol of a finished string
+END = np.uint16(65535)  # behind all symbols; stands before the first symbol of a finished string
 
 
 def _places(bwt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -30,15 +32,14 @@ def _least(prefixes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndar
     return np.minimum.reduceat(prefixes, edges)[::2]
 
 
-def build(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def build(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(transform, common prefixes with the entry before) of all suffixes, the empty ones first.
 
-    Equal suffixes come in the order of their strings. No string may be empty or hold the byte 255.
+    `flat`: the symbols of all strings, one after the other. Equal suffixes come in the order of their strings.
     """
-    n, lengths = len(strings), np.fromiter(map(len, strings), np.int64, len(strings))
-    width = int(lengths.max())
-    symbols = np.full((width + 1, n), END, np.uint8)  # row j: the symbol in front of the suffix of length j
-    flat, ends = np.frombuffer(b"".join(strings), np.uint8), np.cumsum(lengths)
+    n, width = len(lengths), int(lengths.max())
+    symbols = np.full((width + 1, n), END, np.uint16)  # row j: the symbol in front of the suffix of length j
+    ends = np.cumsum(lengths)
     for j in range(width):
         some = np.flatnonzero(lengths > j)
         symbols[j, some] = flat[ends[some] - 1 - j]
@@ -62,7 +63,7 @@ def build(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         own[b] = _least(prefixes, before[b] + 1, x[b]) + 1
         old = np.ones(len(bwt) + len(x), bool)
         old[new] = False
-        grown, grown_prefixes = np.empty(len(old), np.uint8), np.zeros(len(old) + 1, np.uint16)
+        grown, grown_prefixes = np.empty(len(old), np.uint16), np.zeros(len(old) + 1, np.uint16)
         grown[old], grown[new] = bwt, symbols[j, active]
         grown_prefixes[:-1][old] = prefixes[:-1]
         grown_prefixes[new + 1] = following

@@ -4,14 +4,16 @@ A byte is removed if a string of `LENGTH` bytes covers it that also starts anywh
 transform of a whole corpus by columns would take as many rounds over everything as the longest document has
 bytes. So the corpus is first cut down to windows, without losing a repeat:
 
-1. Anchors. In every run of LENGTH bytes, the place whose GRAM bytes have the least hash is an anchor. Which
-   place that is depends on those LENGTH bytes alone, so two equal strings have equal anchors at equal places.
-   All strings an anchor stands for lie in its window: LENGTH - GRAM bytes before it and LENGTH bytes from it.
+1. Anchors. In every run of LENGTH bytes, the place whose GRAM bytes have the least hash (the first of several) is
+   its anchor. Which place that is depends on those LENGTH bytes alone, so two equal strings have equal anchors at
+   equal places. The strings of one anchor follow each other; together they are the anchor's window.
 2. Anchors whose hash occurs once are dropped (one aggregation by hash, combined before the shuffle). Where
    all windows of a hash are equal, all their strings repeat.
 3. Other windows are built into transforms, distinct windows once, with their numbers as weights. All windows
    of a hash come to one collection; several hashes share one. A string repeats if equal suffixes (common prefix of
-   LENGTH or more) begin at the same distance from anchors of one hash with a total weight of two or more.
+   LENGTH or more) begin at the same distance from anchors of one hash with a total weight of two or more. A symbol
+   is a word of WORD bytes, and the windows are read in WORD alignments, counted from their anchors, so that every start
+   is covered in a WORD-th of the rounds.
 4. A hash with more than `CROWD` distinct windows (such as the edges of a passage that many documents share) is
    dealt again: each window is cut into windows of fewer starts, which are grouped by the bytes all their
    strings have in common. Equal ones merge. At the last level a window is one string. So no collection is
@@ -38,10 +40,13 @@ from bitext_engine.llm.common import saved, table
 
 LENGTH = 200
 GRAM = 100
-CROWD = 2048  # distinct windows of one hash in one collection
-TOGETHER = 2048  # windows in one collection of several hashes
+WORD = 8  # bytes of a symbol; divides LENGTH
+CROWD = 512  # distinct windows of one hash in one collection
+TOGETHER = 1600  # windows in one collection of several hashes; their words are fewer than 65535
 LEVELS = (13, 1)  # starts a window, after the first level
-SEGMENT = 1 << 20  # bytes of a long text looked at together
+SEGMENT = 1 << 19  # starts of a long text looked at together
+PLACE = (1 << 20) - 1  # a place in a segment fits these bits
+SHAPE = 1 << 8  # a window's shape is (anchor's distance from its first byte) * SHAPE + number of its strings
 
 
 def _powers(n: int):
@@ -78,40 +83,39 @@ class Rolling:
         return mix((self.sums[last] - self.sums[first]) * self.down[first])
 
 
-def _slide(values, width: int, least: bool):
-    """Minimum (or maximum) of every `width` neighbours."""
+def _least(values, width: int):
+    """Minimum of every `width` neighbours."""
     import numpy as np
 
-    best, done, f = values, 1, np.minimum if least else np.maximum
+    best, done = values, 1
     while done * 2 <= width:
-        best = f(best[:-done], best[done:])
+        best = np.minimum(best[:-done], best[done:])
         done *= 2
-    return f(best[: len(best) - (width - done)], best[width - done :]) if done < width else best
+    return np.minimum(best[: len(best) - (width - done)], best[width - done :]) if done < width else best
 
 
 def anchors_of(data, rolling: Rolling):
-    """(place, hash, window hash) of all anchors of a byte string (array of uint8)."""
+    """(first byte of the window, its shape, hash, window hash) of all anchors of a byte string (array of uint8)."""
     import numpy as np
 
     from bitext_engine.llm.shingles import mix
 
-    reach, n = LENGTH - GRAM + 1, len(data)
     out = []
-    for at in range(0, max(0, n - LENGTH + 1) and n - GRAM + 1, SEGMENT):
-        low, high = max(0, at - reach + 1), min(n, at + SEGMENT + LENGTH)
-        part = data[low:high]
-        if len(part) < LENGTH:
-            continue
+    for at in range(0, len(data) - LENGTH + 1, SEGMENT):
+        part = data[at : at + SEGMENT + LENGTH - 1]
         rolling.start(part)
         grams = rolling.of(slice(0, len(part) - GRAM + 1), slice(GRAM, len(part) + 1))
-        lows = np.pad(_slide(grams, reach, True), reach - 1)
-        own = np.flatnonzero(_slide(lows, reach, False) == grams)
-        own = own[(own + low >= at) & (own + low < at + SEGMENT)]
-        first, last = np.maximum(own - reach + 1, 0), np.minimum(own + LENGTH, len(part))
-        window = rolling.of(first, last) ^ mix((own - first).astype(np.uint64) * np.uint64(1000) + (last - own).astype(np.uint64))
-        out.append((own + low, grams[own], window))
+        # the least hash by its upper bits, the first place where several are equal
+        ranked = (grams & ~np.uint64(PLACE)) | np.arange(len(grams), dtype=np.uint64)
+        anchor = (_least(ranked, LENGTH - GRAM + 1) & np.uint64(PLACE)).astype(np.int64)
+        first = np.append(0, np.flatnonzero(np.diff(anchor)) + 1)
+        starts = np.diff(first, append=len(anchor))
+        place = anchor[first]
+        shape = (place - first) * SHAPE + starts
+        window = rolling.of(first, first + starts - 1 + LENGTH) ^ mix(shape.astype(np.uint64))
+        out.append((first + at, shape, grams[place], window))
     if not out:
-        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -141,7 +145,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """(key, place, h, w): anchors, with the hash of their grams and that of their windows."""
+    """(key, first, shape, h, w): anchors, with the hash of their grams and that of their windows."""
 
     def work(batches):
         import numpy as np
@@ -157,18 +161,18 @@ def anchors(docs: DataFrame) -> DataFrame:
                     parts.append(found)
                     keys.append(np.full(len(found[0]), _row_key(doc_id.as_py(), raw)))
             if parts:
-                place, h, w = (np.concatenate(x) for x in zip(*parts, strict=True))
+                first, shape, h, w = (np.concatenate(x) for x in zip(*parts, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys)), pa.array(place.astype("i4")), pa.array(h.view(np.int64)), pa.array(w.view(np.int64))],
-                    ["key", "place", "h", "w"],
+                    [pa.array(np.concatenate(keys)), pa.array(first.astype("i4")), pa.array(shape.astype("i4")), pa.array(h.view(np.int64)), pa.array(w.view(np.int64))],
+                    ["key", "first", "shape", "h", "w"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(work, "key long, place int, h long, w long")
+    return docs.select("doc_id", "text").mapInArrow(work, "key long, first int, shape int, h long, w long")
 
 
 def windows(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h, w, n, ahead, bytes) for the windows shown by (key, place, h, w, n)."""
-    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("place", "h", "w", "n")).alias("wanted"))
+    """(h, w, n, ahead, bytes) for the windows shown by (key, first, shape, h, w, n)."""
+    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("first", "shape", "h", "w", "n")).alias("wanted"))
 
     def work(batches):
         import pyarrow as pa
@@ -180,8 +184,8 @@ def windows(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             for z, items in zip(batch.column("_z"), batch.column("wanted").to_pylist(), strict=True):
                 raw = tool.decompress(z.as_py())
                 for x in items:
-                    first = max(0, x["place"] - (LENGTH - GRAM))
-                    rows.append((x["h"], x["w"], x["n"], x["place"] - first, raw[first : x["place"] + LENGTH]))
+                    ahead, starts = divmod(x["shape"], SHAPE)
+                    rows.append((x["h"], x["w"], x["n"], ahead, raw[x["first"] : x["first"] + starts - 1 + LENGTH]))
             if rows:
                 h, w, n, ahead, data = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
@@ -194,46 +198,71 @@ def windows(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def repeated_starts(strings: list[bytes], group, ahead, weight):
-    """For every string, a mask of the starts of LENGTH bytes that repeat inside its group at equal places."""
+    """(string, start) of all strings of LENGTH bytes that repeat inside their group at equal distances from the anchor."""
     import numpy as np
 
     from bitext_engine.llm.bwt import build, suffix_rows
 
-    lengths = np.fromiter(map(len, strings), np.int64, len(strings))
-    bwt, prefixes = build(strings)
-    run = np.cumsum(prefixes < LENGTH)
-    owner, start, runs = [], [], []
-    for j, some, rows in suffix_rows(bwt, len(strings), lengths):
-        if j >= LENGTH:
-            owner.append(some), start.append(lengths[some] - j), runs.append(run[rows])
-    owner, start, runs = (np.concatenate(x) for x in (owner, start, runs))
-    order = np.lexsort((start - ahead[owner], group[owner], runs))
-    owner, start, runs = owner[order], start[order], runs[order]
-    new = np.ones(len(owner), bool)
-    new[1:] = (np.diff(runs) != 0) | (np.diff(group[owner]) != 0) | (np.diff(start - ahead[owner]) != 0)
-    which = np.cumsum(new) - 1
-    total = np.bincount(which, weights=weight[owner])
-    masks = [np.zeros(max(0, n - LENGTH + 1), bool) for n in lengths]
-    for o, s in zip(*(x[total[which] >= 2] for x in (owner, start)), strict=True):
-        masks[o][s] = True
-    return masks
+    flat, sizes = np.frombuffer(b"".join(strings), np.uint8), np.fromiter(map(len, strings), np.int64, len(strings))
+    offsets = np.cumsum(sizes) - sizes
+    found = []
+    for residue in range(WORD):
+        skip = (ahead + residue) % WORD  # starts lie a whole number of words from here
+        words = (sizes - skip) // WORD
+        some = np.flatnonzero(words * WORD >= LENGTH)
+        if len(some) < 2:
+            continue
+        lengths = words[some]
+        places = np.repeat(offsets[some] + skip[some], lengths) + WORD * (np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths))
+        symbols = np.unique(flat[places[:, None] + np.arange(WORD)].view(f"u{WORD}").ravel(), return_inverse=True)[1].astype(np.uint16)
+        bwt, prefixes = build(symbols, lengths)
+        run = np.cumsum(prefixes < LENGTH // WORD)
+        owner, start, runs = [], [], []
+        for j, which, rows in suffix_rows(bwt, len(some), lengths):
+            if j * WORD >= LENGTH:
+                owner.append(some[which]), start.append(skip[some[which]] + WORD * (lengths[which] - j)), runs.append(run[rows])
+        owner, start, runs = (np.concatenate(x) for x in (owner, start, runs))
+        distance = start - ahead[owner]
+        order = np.lexsort((distance, group[owner], runs))
+        owner, start, runs, distance = owner[order], start[order], runs[order], distance[order]
+        new = np.ones(len(owner), bool)
+        new[1:] = (np.diff(runs) != 0) | (group[owner][1:] != group[owner][:-1]) | (np.diff(distance) != 0)
+        which = np.cumsum(new) - 1
+        often = np.bincount(which, weights=weight[owner])[which] >= 2
+        found.append((owner[often], start[often]))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+SPANS = "array<struct<a:int,b:int>>"
 
 
 def transformed(rows: DataFrame) -> DataFrame:
-    """(h, w, spans): pairs of first and last + 1 removed byte, from the window's start, of (h, w, n, ahead, bytes)."""
+    """(h, w, spans): first and last + 1 removed bytes, from the window's first, of (h, w, n, ahead, bytes)."""
 
     def solve(t):
         import numpy as np
         import pyarrow as pa
 
-        h, w = np.asarray(t["h"]), np.asarray(t["w"])
-        masks = repeated_starts(t["bytes"].to_pylist(), h, np.asarray(t["ahead"]).astype(np.int64), np.asarray(t["n"]))
-        spans = []
-        for mask in masks:
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
-            firsts, lasts = edge[::2], edge[1::2] + LENGTH - 1
-            spans.append(np.stack([firsts, lasts], axis=1).ravel().astype("i4"))
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(w), pa.array(spans, pa.list_(pa.int32()))], ["h", "w", "spans"])
+        h, n, strings = np.asarray(t["h"]), np.asarray(t["n"]), t["bytes"].to_pylist()
+        starts = np.fromiter((max(0, len(x) - LENGTH + 1) for x in strings), np.int64, len(strings))
+        offsets = np.cumsum(starts) - starts
+        # a window without another one in its group needs no order: its strings repeat if it occurs again
+        alone = np.append(True, h[1:] != h[:-1]) & np.append(h[1:] != h[:-1], True)
+        mask = np.repeat(alone & (n > 1), starts)
+        many = np.flatnonzero(~alone)
+        if len(many):
+            owner, start = repeated_starts([strings[i] for i in many], h[many], np.asarray(t["ahead"]).astype(np.int64)[many], n[many])
+            mask[offsets[many[owner]] + start] = True
+        # runs of starts, which end where their window ends
+        edge = np.flatnonzero(mask & ~(np.append(False, mask[:-1]) & ~np.isin(np.arange(len(mask)), offsets)))
+        last = np.flatnonzero(mask & ~(np.append(mask[1:], False) & ~np.isin(np.arange(1, len(mask) + 1), offsets)))
+        window = np.searchsorted(offsets + starts, edge, "right")
+        first, end = edge - offsets[window], last - offsets[window] + LENGTH
+        cuts = np.searchsorted(window, np.arange(len(strings) + 1)).astype("i4")
+        pairs = pa.StructArray.from_arrays([pa.array(first.astype("i4")), pa.array(end.astype("i4"))], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.asarray(t["w"])), pa.ListArray.from_arrays(pa.array(cuts), pairs)], ["h", "w", "spans"])
 
     def work(batches):
         import numpy as np
@@ -266,7 +295,7 @@ def transformed(rows: DataFrame) -> DataFrame:
             yield from whole(True)
 
     dealt = rows.repartition("h").sortWithinPartitions("h")
-    return dealt.mapInArrow(work, "h long, w long, spans array<int>")
+    return dealt.mapInArrow(work, f"h long, w long, spans {SPANS}")
 
 
 def finer(rows: DataFrame, starts: int) -> DataFrame:
@@ -306,6 +335,10 @@ def finer(rows: DataFrame, starts: int) -> DataFrame:
     )
 
 
+def _moved(spans: str, by):
+    return F.transform(spans, lambda x: F.struct((x["a"] + by).alias("a"), (x["b"] + by).alias("b")))
+
+
 def _solved(rows: DataFrame, levels: tuple[int, ...]) -> DataFrame:
     """(h, w, spans) of all windows; crowded groups go through finer windows."""
     if not levels:
@@ -320,7 +353,7 @@ def _solved(rows: DataFrame, levels: tuple[int, ...]) -> DataFrame:
     merged = saved(merged.select(F.col("h2").alias("h"), F.col("w2").alias("w"), "n", "ahead", "bytes"), "suffix-merged")
     found = _solved(merged, levels[1:]).where(F.size("spans") > 0).select(F.col("h").alias("h2"), F.col("w").alias("w2"), "spans")
     back = cut.select("h", "w", "h2", "w2", "first").join(found, ["h2", "w2"])
-    moved = F.transform("spans", lambda x: x + F.col("first"))
+    moved = _moved("spans", F.col("first"))
     back = back.groupBy("h", "w").agg(F.flatten(F.collect_list(moved)).alias("spans"))
     return few.unionByName(back)
 
@@ -330,16 +363,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     texts = packed(docs)
     found = saved(anchors(docs), "suffix-anchors")
     repeats = found.groupBy("h").agg(F.count("*").alias("n"), F.min("w").alias("a"), F.max("w").alias("b")).where("n > 1")
-    repeats = repeats.selectExpr("h", "a <> b as mixed")
+    repeats = saved(repeats.selectExpr("h", "a <> b as mixed"), "suffix-repeats")
     places = saved(found.join(repeats, "h"), "suffix-places")
     mixed = places.where("mixed")
-    wanted = mixed.groupBy("h", "w").agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("at"))
-    rows = saved(windows(texts, wanted.select("at.key", "at.place", "h", "w", "n")), "suffix-windows")
+    wanted = mixed.groupBy("h", "w").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "shape")).alias("at"))
+    rows = saved(windows(texts, wanted.select("at.key", "at.first", "at.shape", "h", "w", "n")), "suffix-windows")
     solved = saved(_solved(rows, LEVELS).where(F.size("spans") > 0), "suffix-spans")
-    hits = places.where("not mixed").select("key", "place", F.lit(None).cast("array<int>").alias("spans")).unionByName(
-        mixed.join(solved, ["h", "w"]).select("key", "place", "spans")
+    whole = F.array(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("shape") % SHAPE - 1 + LENGTH).cast("int").alias("b")))
+    hits = places.where("not mixed").select("key", whole.alias("spans")).unionByName(
+        mixed.join(solved, ["h", "w"]).select("key", _moved("spans", F.col("first")).alias("spans"))
     )
-    hits = hits.groupBy(F.col("key").alias("_hit")).agg(F.collect_set(F.struct("place", "spans")).alias("_hits"))
+    hits = hits.groupBy(F.col("key").alias("_hit")).agg(F.flatten(F.collect_list("spans")).alias("_hits"))
 
     others = [f for f in texts.schema.fields if f.name not in ("_key", "_z")]
     results = {"text": T.StringType(), "n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), "kept_sha256": T.StringType()}
@@ -354,17 +388,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         tool = zstandard.ZstdDecompressor()
         for batch in batches:
             columns = {n: [] for n in results}
-            for z, hits in zip(batch.column("_z"), batch.column("_hits").to_pylist(), strict=True):
+            hits = batch.column("_hits")
+            cuts, pairs = np.asarray(hits.offsets), hits.values
+            first, last = np.asarray(pairs.field("a")), np.asarray(pairs.field("b"))
+            for i, z in enumerate(batch.column("_z")):
                 raw = tool.decompress(z.as_py())
                 edges = np.zeros(len(raw) + 1, np.int32)
-                for hit in hits or ():
-                    first = max(0, hit["place"] - (LENGTH - GRAM))
-                    pairs = hit["spans"] if hit["spans"] is not None else (0, min(len(raw), hit["place"] + LENGTH) - first)
-                    for a, b in zip(pairs[::2], pairs[1::2], strict=True):
-                        edges[first + a] += 1
-                        edges[first + b] -= 1
+                some = slice(cuts[i], cuts[i + 1])
+                np.add.at(edges, first[some], 1)
+                np.add.at(edges, last[some], -1)
                 gone = np.cumsum(edges[:-1]) > 0
-                left = np.frombuffer(raw, np.uint8)[~gone].tobytes() if hits else raw
+                left = np.frombuffer(raw, np.uint8)[~gone].tobytes() if cuts[i] < cuts[i + 1] else raw
                 columns["text"].append(left.decode("utf-8", "ignore"))
                 columns["n_bytes"].append(len(raw))
                 columns["n_removed"].append(len(raw) - len(left))

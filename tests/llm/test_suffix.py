@@ -4,9 +4,11 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from bitext_engine.llm import suffix
+from bitext_engine.llm.bwt import END, build, suffix_rows
 
 
 def brute(texts, length):
@@ -59,15 +61,29 @@ def test_given_documents(spark):
 
 def test_long_texts_in_segments(spark, monkeypatch):
     monkeypatch.setattr(suffix, "SEGMENT", 300)
-    import numpy as np
-
-    for text in corpus():
-        data = np.frombuffer((text or "").encode(), np.uint8)
-        cut = suffix.anchors_of(data, suffix.Rolling())
-        monkeypatch.setattr(suffix, "SEGMENT", 1 << 20)
-        whole = suffix.anchors_of(data, suffix.Rolling())
-        monkeypatch.setattr(suffix, "SEGMENT", 300)
-        assert cut[0].tolist() == whole[0].tolist() and cut[2].tolist() == whole[2].tolist()
+    check(spark, corpus())
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_transform_and_prefixes(seed):
+    r = random.Random(seed)
+    strings = [[r.randrange(2 + seed % 5) for _ in range(r.randint(1, 12))] for _ in range(r.randint(1, 8))]
+    suffixes = sorted((s[i:], k) for k, s in enumerate(strings) for i in range(len(s) + 1))
+    lengths = np.array([len(s) for s in strings])
+    bwt, prefixes = build(np.array([x for s in strings for x in s], np.uint16), lengths)
+    before = [strings[k][len(strings[k]) - len(x) - 1] if len(x) < len(strings[k]) else int(END) for x, k in suffixes]
+    assert bwt.tolist() == before
+
+    def common(a, b):
+        n = 0
+        while n < min(len(a), len(b)) and a[n] == b[n]:
+            n += 1
+        return n
+
+    assert prefixes.tolist() == [0] + [common(a[0], b[0]) for a, b in zip(suffixes, suffixes[1:], strict=False)]
+    for j, some, rows in suffix_rows(bwt, len(strings), lengths):
+        for k, row in zip(some, rows, strict=True):
+            assert suffixes[row] == (strings[k][len(strings[k]) - j :], k)
 
 
 def test_empty_table(spark):
