@@ -13,23 +13,27 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from bitext_engine.session import cut_lineage
+
 BLOCK = 65_536
 
 
-def block_of(df: DataFrame, name: str, size: int = BLOCK) -> Column:
-    """A monotone block expression for a column: ranges of integers, days, string heads."""
-    kind = df.schema[name].dataType
-    col = F.col(name)
-    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return F.floor(col / size)
-    if isinstance(kind, T.TimestampType):
-        return F.date_trunc("hour", col)
-    if isinstance(kind, T.StringType):
-        return F.substring(col, 1, 12)
-    return col
+def row_number_ranged(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], out: str, total: str | None = None
+) -> DataFrame:
+    """``row_number()`` over ``group`` by ``order``, whatever the order's values look like.
+
+    Rows are dealt by ranges of (group, order) and written down with the number of their range,
+    so there are as many blocks as shuffle partitions, all of about one size, for integers,
+    hashed ids and ids with one prefix alike.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(n, *group, *order).withColumn("_range", F.spark_partition_id())
+    return row_number_blocked(
+        cut_lineage(placed), group, [F.col(c) for c in order], [F.col("_range")], out, total
+    ).drop("_range")
 
 
 def _key(group: Sequence[str], blocks: Sequence[Column]) -> Column:

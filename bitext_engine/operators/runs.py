@@ -10,18 +10,18 @@ from pyspark.sql.window import Window as W
 
 from bitext_engine import rules as R
 from bitext_engine import schemas
-from bitext_engine.functions.blocks import block_of, row_number_blocked
+from bitext_engine.functions.blocks import row_number_ranged
 from bitext_engine.functions.text import count_of
 from bitext_engine.operators.glossary import validate_records
 from bitext_engine.operators.terms import normalized_key
 
 
-def batch_plan(docs: DataFrame, limit: int) -> DataFrame:
-    """Documents of each batch in waves of at most ``limit``."""
-    ranked = row_number_blocked(
-        docs.select("batch_id", "doc_id"), ["batch_id"], [F.col("doc_id")], [block_of(docs, "doc_id")], "position"
-    )
-    return ranked.withColumn("wave", F.floor((F.col("position") - 1) / limit).cast("long"))
+def batch_plan(docs: DataFrame, limit: int, call_limit: int | None = None) -> DataFrame:
+    """Documents of each batch in waves of at most ``limit`` for local scripts and, in ``call_wave``,
+    of at most ``call_limit`` for model calls (``limit`` where none is given)."""
+    ranked = row_number_ranged(docs.select("batch_id", "doc_id"), ["batch_id"], ["doc_id"], "position")
+    wave = lambda n: F.floor((F.col("position") - 1) / n).cast("long")
+    return ranked.withColumn("wave", wave(limit)).withColumn("call_wave", wave(call_limit or limit))
 
 
 # ---- modes --------------------------------------------------------------------------

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitext_engine.functions.blocks import block_of, row_number_blocked
+from bitext_engine.functions.blocks import row_number_ranged
 
 NAMING_KEY = ("date", "doctype", "src", "tgt", "mode", "ext")
 
 
 def output_name() -> Column:
+    # fixed value: the pattern of output names
     return F.format_string(
         "%s_%s_%s-to-%s_%s_v%d.%s",
         F.date_format("date", "yyyyMMdd"), F.col("doctype"), F.col("src"), F.col("tgt"),
@@ -21,9 +22,7 @@ def output_name() -> Column:
 def assign_output_names(jobs: DataFrame, existing: DataFrame, order: str = "job_id") -> DataFrame:
     """``{date}_{doctype}_{src}-to-{tgt}_{mode}_v{N}.{ext}``, N counting on from the highest
     version that exists for the same name."""
-    numbered = row_number_blocked(
-        jobs, NAMING_KEY, [F.col(order)], [block_of(jobs, order)], "_nth"
-    )
+    numbered = row_number_ranged(jobs, NAMING_KEY, [order], "_nth")
     highest = existing.groupBy(*NAMING_KEY).agg(F.max("version").alias("_highest"))
     versioned = numbered.join(highest, list(NAMING_KEY), "left").withColumn(
         "version", F.coalesce(F.col("_highest"), F.lit(0)).cast("long") + F.col("_nth")

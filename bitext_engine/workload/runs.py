@@ -10,10 +10,10 @@ from bitext_engine.workload.texts import q
 
 
 @query("batch_plan", """
-SELECT batch_id, doc_id, position, CAST((position - 1) // 8 AS BIGINT) AS wave
+SELECT batch_id, doc_id, position, CAST((position - 1) // 8 AS BIGINT) AS wave, CAST((position - 1) // 3 AS BIGINT) AS call_wave
 FROM (SELECT batch_id, doc_id, row_number() OVER (PARTITION BY batch_id ORDER BY doc_id) AS position FROM docs)""")
 def _(t):
-    return B.batch_plan(t.docs, 8)
+    return B.batch_plan(t.docs, 8, 3)
 
 
 _STEPS = ", ".join(

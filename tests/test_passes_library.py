@@ -124,7 +124,7 @@ def brute_topk(docs, refs, k, n):
     rv = {i: grams(t) for i, t in refs}
     df = Counter(g for v in rv.values() for g in v)
     idf = {g: round(1000 * math.log(1 + len(refs) / c)) for g, c in df.items()}
-    weigh = lambda v: {g: c * idf[g] for g, c in v.items() if g in idf}
+    weigh = lambda v: {g: int((1 + math.log(c)) * 16 + 0.5) * idf[g] for g, c in v.items() if g in idf}
     rw = {i: weigh(v) for i, v in rv.items()}
     out = []
     for d, text in docs:
@@ -156,6 +156,20 @@ def test_topk_is_exact_however_many_tokens_are_heavy(spark, pair_limit):
     assert rows == brute_topk(docs, refs, 4, 1)
 
 
+def test_topk_of_a_text_that_repeats_itself(spark):
+    docs = spark.createDataFrame([("d", "word " * 1_500_000 + "other")], "doc_id string, text string")
+    refs = spark.createDataFrame([("r", "word other"), ("s", "else")], "ref_id string, text string")
+    assert collect(L.topk_references(docs, refs, 2), "ref_id", "rank") == [("r", 1)]
+
+
+def test_topk_within_a_scope(spark):
+    cols = "text string, profile string, src_lang string, tgt_lang string"
+    docs = spark.createDataFrame([("d", "a b", "p", "en", "ko"), ("e", "a b", "q", "en", "ko"), ("f", "a b", "p", "en", "ja")], "doc_id string, " + cols)
+    refs = spark.createDataFrame([("r", "a b c", "p", "en", "ko"), ("s", "a b", "q", "en", "ko"), ("t", "a", "q", "en", "ko")], "ref_id string, " + cols)
+    got = L.topk_references(docs, refs, 5, scope=("profile", "src_lang", "tgt_lang"))
+    assert collect(got, "doc_id", "ref_id", "rank") == [("d", "r", 1), ("e", "s", 1), ("e", "t", 2)]
+
+
 def test_reference_comparison(spark, tree, glossary):
     refs = lib.scan_library(spark, tree).where("role = 'target'").select(
         F.col("name").alias("doc_id"), F.col("tgt_lang").alias("lang"), "text")

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from bitext_engine.functions.blocks import previous_blocked, row_number_blocked
+from bitext_engine.functions.blocks import previous_blocked, row_number_blocked, row_number_ranged
 from bitext_engine.operators import structure as S
 from bitext_engine.operators import text as X
 from bitext_engine.plans.jobs import article_segments
@@ -81,6 +81,16 @@ def test_remediation(spark):
     assert collect(S.remediation_queue(seg, checks), "doc_id") == [("a",)]
 
 
+def test_ranges_do_not_depend_on_the_form_of_ids(spark):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for make in (F.md5(F.col("id").cast("string")), F.concat(F.lit("contract-2026-"), F.col("id").cast("string")), F.xxhash64("id")):
+        df = spark.range(20_000).select(F.lit("one").alias("g"), make.alias("doc_id"))
+        placed = df.repartitionByRange(n, "g", "doc_id").groupBy(F.spark_partition_id()).count().collect()
+        assert len(placed) <= n and max(r["count"] for r in placed) < 3 * 20_000 / n
+        got = [r["rn"] for r in row_number_ranged(df, ["g"], ["doc_id"], "rn").orderBy("doc_id").collect()]
+        assert got == list(range(1, 20_001))
+
+
 def test_blocked_windows_equal_plain_ones(spark):
     """One group holds nearly all rows; blocks of ten."""
     df = spark.range(500).select(
