@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from bitext_engine.llm.common import followers, saved, table
 
 LOW, HIGH = 0.001, 0.05
-SUBSETS = 24  # two of every part from 1/2 down to 1/4096
+SUBSETS = 16
 SEED = "imatch-1"
+GROUPS_HELD = 8192  # texts whose terms a task gathers in memory before it sorts
 BROADCAST_TERMS = 2_000_000
 
 
@@ -34,61 +35,61 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.array_remove(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), ""))
 
 
-def term_id(word: Column) -> Column:
-    """60 bits of the md5 sum."""
-    return F.conv(F.substring(F.md5(word), 1, 15), 16, 10).cast("long")
+def part_of(j: int) -> int:
+    """Subset j takes one in 2 ** part_of(j) terms: from a half down to 1/4096."""
+    return 1 + j * 11 // (SUBSETS - 1)
 
 
-def _subset_bits(term: Column) -> Column:
-    """Bit j is set if subset j takes the term."""
-    mask = F.lit(0).cast("long")
+def packed_term(word: Column) -> Column:
+    """44 bits of the md5 sum, then a bit a subset that takes the term."""
+    term = F.conv(F.substring(F.md5(word), 1, 11), 16, 10).cast("long")
+    bits = F.lit(0).cast("long")
     for j in range(SUBSETS):
-        draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}|{j}|"), term.cast("string"))), 1, 8), 16, 10).cast("long")
-        mask = mask + F.when(draw < (1 << 32) >> (j // 2 + 1), F.lit(1 << j).cast("long")).otherwise(F.lit(0).cast("long"))
-    return mask
+        draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}|{j}|"), word)), 1, 8), 16, 10).cast("long")
+        bits = bits + F.when(draw < (1 << 32) >> part_of(j), F.lit(1 << j).cast("long")).otherwise(F.lit(0).cast("long"))
+    return term * (1 << SUBSETS) + bits
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """(term, bits): terms of the band, broadcast where their number allows it."""
+    """(w, term): words of the band and their packed terms, broadcast where their number allows it."""
     n = docs.count()
-    found = docs.select(F.explode(words(F.col("text"))).alias("w")).select(term_id(F.col("w")).alias("term"))
-    counts = found.groupBy("term").agg(F.count("*").alias("df"))
-    kept = counts.where((F.col("df") >= max(2.0, low * n)) & (F.col("df") <= high * n)).select("term", _subset_bits(F.col("term")).alias("bits"))
+    counts = docs.select(F.explode(words(F.col("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+    kept = counts.where((F.col("df") >= max(2.0, low * n)) & (F.col("df") <= high * n)).select("w", packed_term(F.col("w")).alias("term"))
     kept = saved(kept, "lexicon")
     return F.broadcast(kept) if kept.count() <= BROADCAST_TERMS else kept
 
 
 def _marks(held: Column) -> Column:
-    """SUBSETS hashes of sorted, distinct (term, bits), null where a subset has none of the terms."""
+    """SUBSETS hashes of sorted, distinct terms, null where a subset has none of them."""
 
     def mark(j: int) -> Column:
-        inside = F.filter(held, lambda x: x["bits"].bitwiseAND(F.lit(1 << j).cast("long")) != 0)
-        listed = F.array_join(F.transform(inside, lambda x: x["term"].cast("string")), ",")
-        return F.when(F.size(inside) > 0, F.substring(F.md5(listed), 1, 8))
+        inside = F.filter(held, lambda x: x.bitwiseAND(F.lit(1 << j).cast("long")) != 0)
+        return F.when(F.size(inside) > 0, F.substring(F.md5(F.array_join(inside.cast("array<string>"), ",")), 1, 8))
 
     return F.array(*[mark(j) for j in range(SUBSETS)])
 
 
 def fingerprints(rows: DataFrame, terms: DataFrame, about: list[str]) -> DataFrame:
-    """(doc_id, row, part, marks, copies, *about) of rows (doc_id, row, part, text, *about).
+    """(doc_id, row, part, marks, copies, *about) of rows (doc_id, row, part, text, *about), written down.
 
-    What is said about a text travels with one extra, empty word of it, not with every word.
+    What is said about a text travels with its first word, not with every word.
     """
-    said = F.struct(*about)
-    listed = F.concat(
-        F.array(F.struct(F.lit(None).cast("string").alias("w"), said.alias("said"))),
-        F.transform(words(F.col("text")), lambda w: F.struct(w.alias("w"), F.lit(None).cast(f"struct<{','.join(f'{n}:{k}' for n, k in rows.dtypes if n in about)}>").alias("said"))),
+    found = rows.select("doc_id", "row", "part", *about, F.posexplode_outer(words(F.col("text"))).alias("pos", "w"))
+    found = found.join(terms, "w", "left").select(
+        "doc_id", "row", "part", "term", F.when(F.coalesce("pos", F.lit(0)) == 0, F.struct(*about)).alias("said")
     )
-    found = rows.select("doc_id", "row", "part", F.explode(listed).alias("x")).select(
-        "doc_id", "row", "part", "x.said", term_id(F.col("x.w")).alias("term")
+    held = found.where("term is not null or said is not null").groupBy("doc_id", "row", "part").agg(
+        F.array_distinct(F.sort_array(F.collect_list("term"))).alias("held"), F.count("said").alias("copies"), F.max("said").alias("said")
     )
-    held = found.join(terms, "term", "left").where("bits is not null or said is not null")
-    held = held.groupBy("doc_id", "row", "part").agg(
-        F.array_distinct(F.sort_array(F.collect_list(F.when(F.col("bits").isNotNull(), F.struct("term", "bits"))))).alias("held"),
-        F.count("said").alias("copies"),
-        F.max("said").alias("said"),
-    )
-    return held.select("doc_id", "row", "part", _marks(F.col("held")).alias("marks"), "copies", "said.*")
+    held = held.select("doc_id", "row", "part", _marks(F.col("held")).alias("marks"), "copies", "said.*")
+    # the words of a text come one after the other, so gathering them needs no sort of all words of a task
+    conf, name = rows.sparkSession.conf, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = conf.get(name)
+    conf.set(name, str(GROUPS_HELD))
+    try:
+        return saved(held, "fingerprints")
+    finally:
+        conf.set(name, before)
 
 
 def as_text(marks: Column, whole: Column) -> Column:
@@ -115,23 +116,34 @@ def fingerprint_documents(docs: DataFrame, low: float = LOW, high: float = HIGH)
     return found.select("doc_id", "n_chars", as_text(F.col("marks"), F.col("sum")).alias("fingerprint"), "marks")
 
 
+def _both_prints(rows: DataFrame, edited: Column, terms: DataFrame) -> DataFrame:
+    """Fingerprints of the texts (part 0) and the edited texts (part 1) of rows (doc_id, text, head)."""
+    both = F.array(*[F.struct(F.lit(part).alias("part"), text.alias("text")) for part, text in ((0, F.col("text")), (1, edited))])
+    rows = rows.select("doc_id", F.xxhash64("text").alias("row"), F.length("text").cast("long").alias("n_chars"), F.explode(both).alias("b"))
+    rows = rows.select("doc_id", "row", "n_chars", "b.part", "b.text").withColumn("sum", F.md5("text"))
+    rows = rows.withColumn("sha", F.when(F.col("part") == 1, F.sha2(F.col("text").cast("binary"), 256)))
+    return fingerprints(rows, terms, ["n_chars", "sum", "sha"]).withColumn("fingerprint", as_text(F.col("marks"), F.col("sum")))
+
+
 def edited_fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """Fingerprints of texts and of texts whose second half is the beginning of the next document's text."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     terms = lexicon(docs, low, high)
-    sizes = docs.groupBy("doc_id").agg(F.max(F.length("text")).alias("n"))
-    nexts = saved(followers(docs, "doc_id").join(sizes, "doc_id"), "followers")
-    heads = docs.join(nexts.select(F.col("doc_id").alias("before"), F.col("next_doc_id").alias("doc_id"), "n"), "doc_id")
-    heads = heads.groupBy("before").agg(F.min(F.expr("substring(text, 1, int(n div 2))")).alias("head"))
+    # both uses of the texts are the same join by doc_id, so texts are shuffled once
+    sizes = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.length("text")).alias("n"))
+    nexts = followers(docs, "doc_id").join(sizes, "doc_id")
+    about = nexts.select(F.col("next_doc_id").alias("doc_id"), F.col("doc_id").alias("before"), "n")
+    about = saved(about, "followers")
+    based = docs.join(about, "doc_id")
+    heads = based.groupBy("before").agg(F.min(F.expr("substring(text, 1, int(n div 2))")).alias("head")).withColumnRenamed("before", "of")
 
     half = "int(length(text) div 2)"
     edited = F.expr(f"concat(substring(text, 1, length(text) - {half}), substring(coalesce(head, ''), 1, {half}))")
-    joined = docs.join(heads, F.col("doc_id") == F.col("before"), "left")
-    both = F.array(*[F.struct(F.lit(part).alias("part"), text.alias("text")) for part, text in ((0, F.col("text")), (1, edited))])
-    rows = joined.select("doc_id", F.xxhash64("text").alias("row"), F.length("text").cast("long").alias("n_chars"), F.explode(both).alias("b"))
-    rows = rows.select("doc_id", "row", "n_chars", "b.part", "b.text").withColumn("sum", F.md5("text"))
-    rows = rows.withColumn("sha", F.when(F.col("part") == 1, F.sha2(F.col("text").cast("binary"), 256)))
-    found = fingerprints(rows, terms, ["n_chars", "sum", "sha"]).withColumn("fingerprint", as_text(F.col("marks"), F.col("sum")))
+    joined = based.join(heads, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "head")
+    # rows without an id are done apart, so that the others stay where the join has put them
+    found = _both_prints(joined, edited, terms).unionByName(
+        _both_prints(docs.where("doc_id is null").withColumn("head", F.lit(None).cast("string")), edited, terms)
+    )
 
     def of(part: int, name: str) -> Column:
         return F.max(F.when(F.col("part") == part, F.col(name)))
@@ -140,9 +152,9 @@ def edited_fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -
         F.max("copies").alias("copies"), F.max("n_chars").alias("n_chars"), of(1, "sha").alias("edited_sha256"), of(0, "fingerprint").alias("fingerprint"),
         of(1, "fingerprint").alias("edited_fingerprint"), of(0, "marks").alias("marks"), of(1, "marks").alias("edited_marks"),
     )
-    wide = saved(wide, "fingerprints")
+    wide = saved(wide, "fingerprint-pairs")
     following = wide.groupBy("doc_id").agg(F.min(F.struct("fingerprint", "marks")).alias("then"))
-    following = nexts.select(F.col("doc_id").alias("at"), F.col("next_doc_id").alias("doc_id")).join(following, "doc_id").select("at", "then")
+    following = about.select(F.col("before").alias("at"), "doc_id").join(following, "doc_id").select("at", "then")
     out = wide.join(following, F.col("doc_id") == F.col("at"), "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     near_next = likeness(F.col("marks"), F.col("then.marks"), F.col("fingerprint"), F.col("then.fingerprint"))
     return out.select(
@@ -167,28 +179,30 @@ WITH docs AS (
   SELECT o.doc_id, 1, substring(o.text, 1, o.n - o.n // 2) || substring(x.text, 1, o.n // 2)
   FROM ordered o JOIN docs x ON x.doc_id = o.next_id
 ), words AS (
-  SELECT doc_id, part, CAST('0x' || substr(md5(w), 1, 15) AS BIGINT) AS term
-  FROM (SELECT doc_id, part, unnest(list_distinct(string_split_regex(lower(text), '[ 	-]+'))) AS w FROM texts) WHERE w <> ''
+  SELECT doc_id, part, w
+  FROM (SELECT doc_id, part, unnest(list_distinct(string_split_regex(lower(text), '[\x20\x09-\x0D]+'))) AS w FROM texts) WHERE w <> ''
 ), lexicon AS (
-  SELECT term FROM words WHERE part = 0 GROUP BY term
+  SELECT w FROM words WHERE part = 0 GROUP BY w
   HAVING count(*) >= greatest(2.0, CAST(0.001 AS DOUBLE) * (SELECT count(*) FROM docs)) AND count(*) <= CAST(0.05 AS DOUBLE) * (SELECT count(*) FROM docs)
 ), subsets AS (
-  SELECT term, j FROM lexicon, range(24) r(j)
-  WHERE CAST('0x' || substr(md5('imatch-1|' || j || '|' || term), 1, 8) AS BIGINT) < (CAST(1 AS BIGINT) << (32 - (j // 2 + 1)))
+  SELECT w, j FROM lexicon, range(16) r(j)
+  WHERE CAST('0x' || substr(md5('imatch-1|' || j || '|' || w), 1, 8) AS BIGINT) < (CAST(1 AS BIGINT) << (32 - (1 + j * 11 // 15)))
+), packed AS (
+  SELECT w, CAST('0x' || substr(md5(w), 1, 11) AS BIGINT) * 65536 + sum(CAST(1 AS BIGINT) << j) AS term FROM subsets GROUP BY w
 ), marks AS (
   SELECT doc_id, part, j, substr(md5(string_agg(CAST(term AS VARCHAR), ',' ORDER BY term)), 1, 8) AS mark
-  FROM words JOIN subsets USING (term) GROUP BY doc_id, part, j
+  FROM words JOIN subsets USING (w) JOIN packed USING (w) GROUP BY doc_id, part, j
 ), prints AS (
   SELECT t.doc_id, t.part,
          CASE WHEN count(m.mark) > 0 THEN string_agg(coalesce(m.mark, '0'), '-' ORDER BY r.j) ELSE 'text-' || md5(any_value(t.text)) END AS print
-  FROM texts t CROSS JOIN range(24) r(j) LEFT JOIN marks m ON m.doc_id = t.doc_id AND m.part = t.part AND m.j = r.j
+  FROM texts t CROSS JOIN range(16) r(j) LEFT JOIN marks m ON m.doc_id = t.doc_id AND m.part = t.part AND m.j = r.j
   GROUP BY t.doc_id, t.part
 ), pairs AS (
   SELECT doc_id AS a, doc_id AS b, 1 AS part FROM docs UNION ALL SELECT doc_id, next_id, 0 FROM ordered
 ), likeness AS (
   SELECT p.a, p.part,
          CAST(count(*) FILTER (x.mark = y.mark) AS DOUBLE) / nullif(count(*) FILTER (x.mark IS NOT NULL OR y.mark IS NOT NULL), 0) AS share
-  FROM pairs p CROSS JOIN range(24) r(j)
+  FROM pairs p CROSS JOIN range(16) r(j)
   LEFT JOIN marks x ON x.doc_id = p.a AND x.part = 0 AND x.j = r.j
   LEFT JOIN marks y ON y.doc_id = p.b AND y.part = p.part AND y.j = r.j
   GROUP BY p.a, p.part
