@@ -8,8 +8,9 @@ DataFrame functions only (and Spark ML's regression, on the training rows). A pa
    that are common in the unknown class. A multinomial logistic regression is fitted on four fifths.
 2. Calibration. On the last fifth, a temperature is chosen by likelihood, and the least probability a family must reach,
    so that at most `FALSE_MOST` of unknown lines there reach it. A paragraph below it is unknown.
-3. Scan. All paragraphs of all documents: n-grams meet the table of weights (bounded by the templates), and
-   weights are summed by paragraph. A paragraph without any such n-gram is unknown by the intercepts alone.
+3. Scan. All paragraphs of all documents: those with a word of the features are taken apart, n-grams meet the table of
+   weights (bounded by the templates), and weights are summed by paragraph. A paragraph without any feature is unknown
+   by the intercepts alone; bigrams are features only with a word of them, so no paragraph with a feature is passed over.
 4. Confirmation. The family stands if at least `CONTAINED` of the paragraph's n-grams are those of the family's templates.
 
 Defined cases: null or empty text has no paragraphs; a document without licence has an empty list of families;
@@ -75,11 +76,16 @@ FALSE_MOST = 0.0005
 CONTAINED = 0.5
 
 
+def words(line: Column) -> Column:
+    """A line's words: lower case, letters and digits only."""
+    return F.array_remove(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), "")
+
+
 def ngrams(line: Column) -> Column:
-    """Distinct unigrams and bigrams of a line's words, lower case, letters and digits only."""
-    words = F.array_remove(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), "")
-    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))
-    return F.array_distinct(F.concat(words, F.array_compact(pairs)))
+    """Distinct unigrams and bigrams of a line's words."""
+    singles = words(line)
+    pairs = F.zip_with(singles, F.slice(singles, F.lit(2), F.size(singles)), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))
+    return F.array_distinct(F.concat(singles, F.array_compact(pairs)))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -127,7 +133,8 @@ def fit(docs: DataFrame) -> Scanner:
     unknown = rows.where(F.col("family") == UNKNOWN)
     n = unknown.count()
     frequent = {r.g for r in unknown.select(F.explode("tokens").alias("g")).groupBy("g").count().where(F.col("count") > max(1, COMMON * n)).select("g").collect()}
-    vocabulary = sorted(g for g in members if g not in frequent)
+    # a bigram is a feature only with a unigram of it, so that a line without feature unigrams needs no look at its bigrams
+    vocabulary = sorted(g for g in members if g not in frequent and any(w in members and w not in frequent for w in g.split()))
     label = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")).cast("double") - 1
     vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="tokens", outputCol="features").setBinary(True).transform(rows.withColumn("label", label))
     weight = F.when(F.col("family") == UNKNOWN, 1.0).otherwise(2.0)
@@ -157,7 +164,9 @@ def fit(docs: DataFrame) -> Scanner:
 def scan(docs: DataFrame, scanner: Scanner) -> DataFrame:
     """(doc_id, paragraph, family, probability, contained, confirmed) of all paragraphs that are not unknown."""
     k = len(scanner.families)
-    lines = paragraphs(docs).select("doc_id", "paragraph", ngrams(F.col("line")).alias("tokens"))
+    rare = [g for g in scanner.weights if " " not in g]
+    lines = paragraphs(docs).where(F.exists(words(F.col("line")), lambda w: w.isin(*rare)))
+    lines = lines.select("doc_id", "paragraph", ngrams(F.col("line")).alias("tokens"))
     lines = lines.select("doc_id", "paragraph", F.size("tokens").alias("n"), F.explode("tokens").alias("g"))
     # bounded by the templates: a few hundred n-grams
     every = [(g, scanner.weights.get(g, [0.0] * k), m) for g, m in sorted(scanner.members.items())]
