@@ -8,24 +8,12 @@ from pyspark.sql import functions as F
 from bitext_engine import schemas
 
 
-def file_stem(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
-
-
 def relative_id(path: Column, root: str) -> Column:
     """A file's path below the root, without its extension: files of one name in two folders stay apart."""
     base = "/" + root.split("://")[-1].removeprefix("file:").strip("/") + "/"
     return F.regexp_replace(F.regexp_replace(path, r"^.*?\Q" + base + r"\E", ""), r"\.[^./]*$", "")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a table that a scan would read in fewer pieces than there
-    are cores (a small file, one row group). A table with more pieces is left as it is, so
-    nothing is shuffled where data is large."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def scan_documents(spark: SparkSession, path: str, glob: str = "*.{md,txt}") -> DataFrame:
     """One row per text file: doc_id (its path below the root), path, text, sha256 of the text."""
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(

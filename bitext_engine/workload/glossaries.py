@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from bitext_engine import schemas
 from bitext_engine.operators import glossary as G
 from bitext_engine.operators.runs import validate_checkpoints
+from bitext_engine.sources import glossaries as files
 from bitext_engine.sources.glossaries import import_glossary, pair_rows
 from bitext_engine.workload.registry import query
 
@@ -100,6 +102,27 @@ def _(t):
     return merged.select("source_term", "target_term", "source_lang", "target_lang", "usage_count", "last_used")
 
 
+@query("scan_glossaries", "SELECT source_term, target_term, source_lang, target_lang, context, origin, status, last_used, usage_count FROM part_glossary")
+def _(t):
+    """Glossary files, sixteen a pair of languages, written and scanned."""
+    root = t.scratch("glossaries")
+    entry = [f.name for f in schemas.GLOSSARY_ENTRY]
+    keyed = t.part_glossary.withColumn("pair", F.concat_ws("-", "source_lang", "target_lang")).withColumn("file", F.pmod(F.xxhash64("source_term"), F.lit(16)))
+    whole = keyed.groupBy("pair", "file").agg(
+        F.first("source_lang").alias("source_lang"), F.first("target_lang").alias("target_lang"), F.collect_list(F.struct(*entry)).alias("entries"))
+    whole.write.partitionBy("pair", "file").json(root)
+    return files.scan_glossaries(t.spark, root).select(
+        "source_term", "target_term", "source_lang", "target_lang", "context", "origin", "status", "last_used", "usage_count")
+
+
+@query("export_glossary_files", "SELECT source_term, target_term, last_used, usage_count FROM part_glossary WHERE source_lang = 'en' AND target_lang = 'ko'")
+def _(t):
+    root = t.scratch("export")
+    files.export_glossary(t.part_glossary, ("en", "ko"), "csv", root)
+    back = t.spark.read.option("header", True).option("escape", '"').csv(root)
+    return back.select("source_term", "target_term", "last_used", F.col("usage_count").cast("long").alias("usage_count"))
+
+
 @query("export_glossary", "SELECT " + ", ".join(SHOWN) + " FROM part_glossary WHERE source_lang = 'en' AND target_lang = 'ja'")
 def _(t):
     # the rows an export of this pair writes; writing and reading back is tested on files

@@ -27,6 +27,15 @@ def _(t):
     return t.spark.read.schema("sha256 string, text string").parquet(f"{root}/out")
 
 
+@query("stream_restart", "SELECT DISTINCT sha256(text) AS sha256, text FROM documents")
+def _(t):
+    """The same, started again twice on one checkpoint: nothing enters a second time."""
+    root = scratch(t)
+    for _i in range(3):
+        I.append_to(documents_stream(t).select("sha256", "text"), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return t.spark.read.schema("sha256 string, text string").parquet(f"{root}/out")
+
+
 @query("stream_verify", f"""
 WITH raw AS (SELECT sha256(text) AS doc_id, any_value(text) AS text FROM documents GROUP BY ALL),
 texts AS (SELECT doc_id, {neutralized_sql('text')} AS text FROM raw),

@@ -6,17 +6,20 @@ derived here by Spark from whole tables, so it grows with them; ``CTES`` says th
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitext_engine.functions.text import words
-from bitext_engine.sources.files import spread
+from bitext_engine.session import checkpoint_dir
 from bitext_engine.sources.html import html_to_blocks
 
 TARGET_OFFSET = 1_000_000_000
-# tables of long texts: work on them is worth spreading over all cores
+# tables of long texts; with this setting of the session, they are dealt over all cores after they are read.
+# It is for benchmarks on files of one row group, and off otherwise: a table on a cluster has splits enough.
+SPREAD = "spark.bitext.workload.spread"
 TEXT_TABLES = ("documents", "pages", "conversations", "benchmark")
 HAN_DIGITS = "一二三四五六七八九"
 
@@ -78,7 +81,12 @@ class Tables:
         if name.startswith("_"):
             raise AttributeError(name)
         df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        return spread(df) if name in TEXT_TABLES else df
+        spread = name in TEXT_TABLES and self.spark.conf.get(SPREAD, "false") == "true"
+        return df.repartition(self.spark.sparkContext.defaultParallelism) if spread else df
+
+    def scratch(self, name: str) -> str:
+        """A new folder for files that a query writes and reads back."""
+        return f"{checkpoint_dir(self.spark)}/workload/{name}-{uuid.uuid4().hex}"
 
     # ---- texts
 

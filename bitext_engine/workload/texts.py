@@ -56,6 +56,23 @@ def _(t):
     return t.page_blocks.drop("change_kind")
 
 
+@query("scan_documents", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text || chr(10) AS text FROM documents")
+def _(t):
+    """Every document as a file of a folder of its own, and read back; writers end a text with a line break."""
+    root = t.scratch("texts")
+    t.documents.select("text", F.col("doc_id").alias("d")).write.partitionBy("d").text(root)
+    found = files.scan_documents(t.spark, root)
+    return found.select(F.regexp_extract("doc_id", r"^d=(\d+)/", 1).alias("doc_id"), "text")
+
+
+@query("scan_blocks_files", PAGE_BLOCKS + "SELECT * FROM page_blocks WHERE text <> ''")
+def _(t):
+    """Blocks as a parser leaves them, read under the fixed schema."""
+    root = t.scratch("blocks")
+    t.page_blocks.write.parquet(root)
+    return files.scan_blocks(t.spark, root).drop("change_kind")
+
+
 @query("file_inventory", """
 SELECT 'left' AS side, CAST(doc_id AS VARCHAR) AS path, CAST(octet_length(encode(text)) AS BIGINT) AS length, sha256(text) AS sha256
 FROM documents""")
