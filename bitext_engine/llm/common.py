@@ -72,6 +72,17 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
+def least_hashed(ids: DataFrame, key: str, most: int) -> DataFrame:
+    """At most `most` rows of `ids`, those with the least hashes of their key: a bounded sample that reruns repeat.
+
+    Only the share of rows that can be among them is sorted, so what meets in one task does not grow with
+    the number of partitions.
+    """
+    h, top = F.pmod(F.xxhash64(key), F.lit(1 << 31)), 1 << 31
+    share = min(1.0, (1.5 * most + 1000) / max(1, ids.count()))
+    return ids.where(h < int(share * top)).orderBy(h, key).limit(most)
+
+
 def followers(ids: DataFrame, key: str) -> DataFrame:
     """(key, next_key): the next larger distinct key of every distinct key; after the largest, the smallest.
 

@@ -26,7 +26,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitext_engine.llm.common import saved, table
+from bitext_engine.llm.common import least_hashed, saved, table
 
 #: Paragraphs by family, as such notices are commonly worded. (fixed values)
 TEMPLATES = {
@@ -106,7 +106,8 @@ def training_rows(docs: DataFrame) -> DataFrame:
     )
     ahead = F.when(F.col("variation") % 3 == 2, F.concat(F.lit("see "), F.col("variation").cast("string"), F.lit(" "))).otherwise("")
     positive = base.select("family", F.concat(ahead, F.array_join(kept, " ")).alias("line"))
-    some = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(NEGATIVE_DOCUMENTS)
+    ids = least_hashed(docs.select("doc_id").where("doc_id is not null"), "doc_id", NEGATIVE_DOCUMENTS).distinct()
+    some = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     lines = paragraphs(some).select("line").orderBy(F.xxhash64("line"), "line").limit(NEGATIVE_LINES)
     known = [r.g for r in template_rows(spark).select(F.explode(ngrams(F.col("line"))).alias("g")).distinct().collect()]
     inside = F.size(F.filter(ngrams(F.col("line")), lambda g: g.isin(known)))

@@ -23,7 +23,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitext_engine.llm.common import WORD, saved, table
+from bitext_engine.llm.common import WORD, least_hashed, saved, table
 
 LABELLED_MOST = 20_000
 SITES_MOST = 100_000  # rows of the table of paths that is broadcast; beyond that it is joined by shuffle
@@ -72,7 +72,7 @@ class Evidence:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = LABELLED_MOST) -> Evidence:
     """The regression over at most `most` labelled documents."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.round(F.avg(label)).alias("_label"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    known = least_hashed(known, "doc_id", most)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
     rows = saved(rows.select(*[c.cast("double").alias(n) for n, c in figures(F.col("text")).items()], F.col("_label").cast("double").alias("label")), "quality-labelled").coalesce(4)
     counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
