@@ -81,8 +81,24 @@ def normal_checks(pairs: DataFrame, docs: DataFrame, glossary: DataFrame) -> Dat
     )
 
 
+def _of_pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("pair_id").alias("doc_id"))
+
+
+def fast_gate(pairs: DataFrame, docs: DataFrame, glossary: DataFrame) -> DataFrame:
+    """The gate of a Fast job: its two checks out of the Normal ones; a pair without checks fails."""
+    return B.quality_gate(normal_checks(pairs, docs, glossary), "fast", _of_pairs(pairs))
+
+
 def normal_gate(pairs: DataFrame, docs: DataFrame, glossary: DataFrame) -> DataFrame:
-    return B.quality_gate(normal_checks(pairs, docs, glossary), "normal")
+    return B.quality_gate(normal_checks(pairs, docs, glossary), "normal", _of_pairs(pairs))
+
+
+def hard_gate(pairs: DataFrame, docs: DataFrame, glossary: DataFrame, extra: DataFrame) -> DataFrame:
+    """The ten items of a Hard job. ``extra``: :func:`hard_checks` of the target documents, by their doc_id."""
+    target = pairs.select("pair_id", F.col("target_doc_id").alias("doc_id"))
+    named = extra.join(target, "doc_id").select(F.col("pair_id").alias("doc_id"), "item", "status")
+    return B.quality_gate(normal_checks(pairs, docs, glossary).unionByName(named), "hard", _of_pairs(pairs))
 
 
 def hard_checks(
@@ -167,6 +183,22 @@ def check_batch(pairs: DataFrame, docs: DataFrame, locks: DataFrame) -> BatchRep
     )
 
 
+def merge_batch(base: DataFrame, pairs: DataFrame, docs: DataFrame, locks: DataFrame, day: str, merged: DataFrame | None = None) -> DataFrame:
+    """The last step of a batch: the locked terms that its targets use go into the glossary, with their usage.
+
+    ``merged`` (job_id) lists batches that were merged before; running a merge again changes nothing.
+    """
+    bound = locks.select("batch_id", "source_term", "target_term")
+    langs = pairs.select("batch_id", "src_lang", "tgt_lang").distinct()
+    glossary = bound.join(langs, "batch_id").select(
+        "source_term", "target_term", F.col("src_lang").alias("source_lang"), F.col("tgt_lang").alias("target_lang")).distinct()
+    of_pair = pairs.select("pair_id", F.col("batch_id").alias("job_id"), F.col("src_lang").alias("source_lang"), F.col("tgt_lang").alias("target_lang"))
+    used = M.check_usage(pairs, docs, glossary).where(F.col("n_target") > 0).join(of_pair, "pair_id")
+    new = used.groupBy("job_id", "source_term", "target_term", "source_lang", "target_lang").agg(F.sum("n_target").alias("usage_count")).select(
+        "*", F.lit("persistent").alias("origin"), F.lit("confirmed").alias("status"), F.lit(day).alias("last_used"))
+    return G.merge_glossary(base, new, merged)
+
+
 def article_segments(docs: DataFrame) -> DataFrame:
     """Segments with article numbers as integers, so that both sides' numbers compare."""
     seg = X.segment(docs)

@@ -6,6 +6,7 @@ from bitext_engine import rules as R
 from bitext_engine.functions.text import normalize_text
 from bitext_engine.operators import text as X
 from bitext_engine.sources import files, outputs
+from bitext_engine.sources.html import ENTITIES
 from bitext_engine.workload.registry import query
 
 
@@ -14,6 +15,13 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def entities_sql(expr: str) -> str:
+    """The entities that the pages hold: the named ones, and the apostrophe by its number."""
+    for entity, char in (("&#39;", "'"), *ENTITIES):
+        expr = f"replace({expr}, {q(entity)}, {q(char)})"
+    return expr
+
+
 @query("scan_blocks", """
 SELECT CAST(page_id AS VARCHAR) AS doc_id, 1 AS page_no, 0 AS block_no, 'page' AS block_kind, html AS text FROM pages
 """.replace("1 AS", "CAST(1 AS BIGINT) AS").replace("0 AS", "CAST(0 AS BIGINT) AS"))
@@ -45,10 +53,9 @@ page_blocks AS (
   SELECT CAST(page_id AS VARCHAR) AS doc_id, CAST(1 AS BIGINT) AS page_no, CAST(pos AS BIGINT) AS block_no,
     CASE WHEN region IN ('nav', 'footer', 'header') THEN region WHEN regexp_matches(tag, '^h[1-6]$') THEN 'heading'
          WHEN tag = 'li' THEN 'list_item' WHEN tag = 'tr' THEN 'table_row' ELSE 'paragraph' END AS block_kind,
-    trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(raw, '<[^>]*>', ' ', 'g'),
-      '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS text
+    trim(regexp_replace(ENTITIES(regexp_replace(raw, '<[^>]*>', ' ', 'g')), '\s+', ' ', 'g')) AS text
   FROM placed)
-"""
+""".replace("ENTITIES(regexp_replace(raw, '<[^>]*>', ' ', 'g'))", entities_sql("regexp_replace(raw, '<[^>]*>', ' ', 'g')"))
 
 
 @query("html_to_blocks", PAGE_BLOCKS + "SELECT * FROM page_blocks WHERE text <> ''")

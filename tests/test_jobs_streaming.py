@@ -46,6 +46,9 @@ def test_hard_job(spark, docs, pairs, glossary):
     extra = J.hard_checks(source, back, current, refs, glossary, style, fresh)
     every = J.normal_checks(pairs, docs, glossary).where("doc_id = 'good'").unionByName(extra)
     assert J.B.quality_gate(every, "hard").first()["status"] == "PASS"
+    by_target = extra.withColumn("doc_id", F.lit("ko"))
+    assert collect(J.hard_gate(pairs, docs, glossary, by_target), "doc_id", "status") == [("bad", "FAIL"), ("good", "PASS")]
+    assert collect(J.fast_gate(pairs, docs, glossary), "doc_id", "status") == [("bad", "FAIL"), ("good", "PASS")]
     none = J.hard_checks(source, back, current, refs.where("false"), glossary, style, fresh)
     assert collect(none, "item", "status")[2] == ("reference_terms", "SKIPPED")
 
@@ -60,6 +63,21 @@ def test_batch_job(spark, docs, pairs):
     report = J.check_batch(pairs, batch, J.approved_locks(approved))
     assert collect(report.violations, "pair_id", "source_term") == [("bad", "Recipient")]
     assert report.terms.count() == 0 and report.citations.count() == 1
+    base = spark.createDataFrame([("Lessor", "임대인", "en", "ko", "library", "confirmed", "2026-01-01", 4)],
+                                 "source_term string, target_term string, source_lang string, target_lang string, origin string, status string, last_used string, usage_count long")
+    locks = J.approved_locks(approved)
+    merged = J.merge_batch(base, pairs, batch, locks, "2026-02-02")
+    assert collect(merged, "source_term", "target_term", "usage_count") == [("Lessor", "임대인", 4), ("Recipient", "수취인", 3)]
+    done = spark.createDataFrame([("b1",)], "job_id string")
+    assert collect(J.merge_batch(base, pairs, batch, locks, "2026-02-02", done), "source_term") == [("Lessor",)]
+
+
+def test_nested_regions_and_entities(spark):
+    html = ("<header><nav><p>menu</p></nav><p>x</p></header></footer><p>&#8217;&ldquo;&sect;&#x41;&#1114112;&#0; &amp;lt;</p>"
+            "<footer><nav><p>m</p></footer><p>after</p>")
+    blocks = html_to_blocks(spark.createDataFrame([(1, html)], "page_id long, html string"))
+    assert [(r["block_kind"], r["text"]) for r in blocks.orderBy("block_no").collect()] == [
+        ("nav", "menu"), ("header", "x"), ("paragraph", "’“§A&#1114112;&#0; &lt;"), ("nav", "m"), ("paragraph", "after")]
 
 
 def test_blocks(spark, tmp_path):
