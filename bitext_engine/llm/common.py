@@ -14,6 +14,10 @@ from bitext_engine.session import checkpoint_dir, cut_lineage
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows that are handed to a Python worker at once while intermediate rows are made: they hold whole texts and sets.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -28,8 +32,13 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write as Parquet in the shared folder and read back: cuts lineage, and the rows are made once."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    path, conf = scratch(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(BATCH)
+    conf.set(BATCH, str(min(int(before), BATCH_ROWS)))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(BATCH, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from bitext_engine.llm.common import components, saved, table
 from bitext_engine.llm.spanning import Links, runs
+from bitext_engine.llm.worker_memory import releasing
 
 HASHES, BANDS, ROWS, BITS, SEED = 512, 32, 4, 4, 20
 SIGMAS = 5.0
@@ -40,8 +41,9 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
-        from bitext_engine.llm.shingles import Signer, shingle_set
+        from bitext_engine.llm.shingles import Signer, begin, shingle_set
 
+        begin()
         signer = Signer(HASHES, BANDS, ROWS, BITS, SEED)
         for batch in batches:
             sizes, keys, sigs, bands = [], [], [], []
@@ -62,7 +64,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             )
 
     return docs.select("doc_id", "text").mapInArrow(
-        work, "doc_id long, n_shingles long, set_key binary, sig binary, bands array<long>"
+        releasing(work), "doc_id long, n_shingles long, set_key binary, sig binary, bands array<long>"
     )
 
 
@@ -73,15 +75,18 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        from bitext_engine.llm.shingles import shingle_set
+        from bitext_engine.llm.shingles import begin, shingle_set
 
-        for batch in batches:
-            sets = [shingle_set(t.as_py(), k).view(np.int64) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"]
-            )
+        begin()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                sets = [shingle_set(t.as_py(), k).view(np.int64) for t in batch.column("text")]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").cast(pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"]
+                )
 
-    return docs.select("doc_id", "text").mapInArrow(work, "node long, shingles array<long>")
+    return docs.select("doc_id", "text").mapInArrow(releasing(work), "node long, shingles array<long>")
 
 
 class Group(Links):
@@ -219,7 +224,7 @@ def spanning_links(rows: DataFrame, threshold: float, percent: int | None = None
 
     order = ["key", "slice", F.col("asks").desc(), "node"]
     dealt = rows.select(*names).repartition("key", "slice").sortWithinPartitions(*order)
-    return dealt.mapInArrow(work, "u long, v long").distinct()
+    return dealt.mapInArrow(releasing(work), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from bitext_engine.llm.common import table
 from bitext_engine.llm.tokens import END_ID, encoder, tokenizer_path
+from bitext_engine.llm.worker_memory import releasing
 
 TIERS = (512, 1024, 2048, 4096)
 BUFFER_TOKENS = 1 << 21
@@ -211,7 +212,7 @@ def pack_documents(
         windows, rest = pack(pieces, tiers)
         yield from rows(windows + last_windows(rest, tiers))
 
-    return docs.select("doc_id", "text").mapInArrow(work, schema)
+    return docs.select("doc_id", "text").mapInArrow(releasing(work), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,11 +9,18 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from bitext_engine.llm.worker_memory import claim
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_MEMO = 500_000
+_MEMO = 250_000
 _memo: dict[bytes, int] = {}
 
 
+def begin() -> None:
+    """At the start of a task that takes shingles."""
+    claim("shingles", _memo.clear)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser (the constants of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

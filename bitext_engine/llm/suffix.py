@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bitext_engine.llm.common import saved, table
+from bitext_engine.llm.worker_memory import releasing
 
 LENGTH = 200
 GRAM = 100
@@ -141,7 +142,7 @@ def packed(docs: DataFrame) -> DataFrame:
             columns = [batch.column(f.name) for f in others] + [pa.array(keys, pa.int64()), pa.array([tool.compress(t) for t in texts], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema])
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in others], "text").mapInArrow(work, schema)
+    return docs.select(*[F.col(f"`{f.name}`") for f in others], "text").mapInArrow(releasing(work), schema)
 
 
 def anchors(docs: DataFrame) -> DataFrame:
@@ -167,7 +168,7 @@ def anchors(docs: DataFrame) -> DataFrame:
                     ["key", "first", "shape", "h", "w"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(work, "key long, first int, shape int, h long, w long")
+    return docs.select("doc_id", "text").mapInArrow(releasing(work), "key long, first int, shape int, h long, w long")
 
 
 def windows(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -194,7 +195,7 @@ def windows(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 )
 
     shown = texts.select(F.col("_key").alias("key"), "_z").dropDuplicates(["key"])
-    return shown.join(lists, "key").select("_z", "wanted").mapInArrow(work, "h long, w long, n long, ahead int, bytes binary")
+    return shown.join(lists, "key").select("_z", "wanted").mapInArrow(releasing(work), "h long, w long, n long, ahead int, bytes binary")
 
 
 def repeated_starts(strings: list[bytes], group, ahead, weight):
@@ -295,7 +296,7 @@ def transformed(rows: DataFrame) -> DataFrame:
             yield from whole(True)
 
     dealt = rows.repartition("h").sortWithinPartitions("h")
-    return dealt.mapInArrow(work, f"h long, w long, spans {SPANS}")
+    return dealt.mapInArrow(releasing(work), f"h long, w long, spans {SPANS}")
 
 
 def finer(rows: DataFrame, starts: int) -> DataFrame:
@@ -331,7 +332,7 @@ def finer(rows: DataFrame, starts: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[at : at + 5_000], strict=True), kinds, strict=True)], names)
 
     return rows.select("h", "w", "n", "ahead", "bytes").mapInArrow(
-        work, "h long, w long, h2 long, w2 long, first int, n long, ahead int, bytes binary"
+        releasing(work), "h long, w long, h2 long, w2 long, first int, n long, ahead int, bytes binary"
     )
 
 
@@ -409,7 +410,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, [f.name for f in schema])
 
     joined = texts.join(hits, F.col("_key") == F.col("_hit"), "left")
-    return joined.select(*[F.col(f"`{f.name}`") for f in kept_fields], "_z", "_hits").mapInArrow(work, schema)
+    return joined.select(*[F.col(f"`{f.name}`") for f in kept_fields], "_z", "_hits").mapInArrow(releasing(work), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

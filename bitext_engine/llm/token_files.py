@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from bitext_engine.llm.common import partitions, scratch, table
 from bitext_engine.llm.tokens import END_ID, encoder, tokenizer_path
+from bitext_engine.llm.worker_memory import releasing
 
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, token_ids array<int>"
 #: Settings of the ORC writer. Row groups are small because a row is a document.
@@ -55,7 +56,7 @@ def encode(docs: DataFrame, path: str | None = None, end_id: int = END_ID, n_par
 
     n_parts = n_parts or partitions(docs.sparkSession)
     dealt = docs.select("doc_id", "text").repartitionByRange(n_parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return dealt.mapInArrow(work, SCHEMA)
+    return dealt.mapInArrow(releasing(work), SCHEMA)
 
 
 def write(coded: DataFrame, folder: str) -> None:
@@ -92,7 +93,7 @@ def checked(rows: DataFrame) -> DataFrame:
                 ["doc_id", "part", "part_start", "n_tokens", "ids_crc32"],
             )
 
-    return rows.mapInArrow(work, "doc_id long, part int, part_start long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(releasing(work), "doc_id long, part int, part_start long, n_tokens long, ids_crc32 long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from bitext_engine.llm.worker_memory import claim
+
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 MEMO = 250_000  # words a generation
@@ -174,6 +176,7 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """One encoder a worker and file."""
+    claim("tokens", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
