@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from bitext_engine.llm.common import followers, saved, table
 
 LOW, HIGH = 0.001, 0.05
-SUBSETS = 16
+SUBSETS = 27  # a bit each beside 36 bits of the term
 SEED = "imatch-1"
 GROUPS_HELD = 8192  # texts whose terms a task gathers in memory before it sorts
 BROADCAST_TERMS = 2_000_000
@@ -41,8 +41,8 @@ def part_of(j: int) -> int:
 
 
 def packed_term(word: Column) -> Column:
-    """44 bits of the md5 sum, then a bit a subset that takes the term."""
-    term = F.conv(F.substring(F.md5(word), 1, 11), 16, 10).cast("long")
+    """36 bits of the md5 sum, then a bit a subset that takes the term: 63 bits in all tell terms apart."""
+    term = F.conv(F.substring(F.md5(word), 1, 9), 16, 10).cast("long")
     bits = F.lit(0).cast("long")
     for j in range(SUBSETS):
         draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}|{j}|"), word)), 1, 8), 16, 10).cast("long")
@@ -185,24 +185,24 @@ WITH docs AS (
   SELECT w FROM words WHERE part = 0 GROUP BY w
   HAVING count(*) >= greatest(2.0, CAST(0.001 AS DOUBLE) * (SELECT count(*) FROM docs)) AND count(*) <= CAST(0.05 AS DOUBLE) * (SELECT count(*) FROM docs)
 ), subsets AS (
-  SELECT w, j FROM lexicon, range(16) r(j)
-  WHERE CAST('0x' || substr(md5('imatch-1|' || j || '|' || w), 1, 8) AS BIGINT) < (CAST(1 AS BIGINT) << (32 - (1 + j * 11 // 15)))
+  SELECT w, j FROM lexicon, range(27) r(j)
+  WHERE CAST('0x' || substr(md5('imatch-1|' || j || '|' || w), 1, 8) AS BIGINT) < (CAST(1 AS BIGINT) << (32 - (1 + j * 11 // 26)))
 ), packed AS (
-  SELECT w, CAST('0x' || substr(md5(w), 1, 11) AS BIGINT) * 65536 + sum(CAST(1 AS BIGINT) << j) AS term FROM subsets GROUP BY w
+  SELECT w, CAST('0x' || substr(md5(w), 1, 9) AS BIGINT) * 134217728 + sum(CAST(1 AS BIGINT) << j) AS term FROM subsets GROUP BY w
 ), marks AS (
   SELECT doc_id, part, j, substr(md5(string_agg(CAST(term AS VARCHAR), ',' ORDER BY term)), 1, 8) AS mark
   FROM words JOIN subsets USING (w) JOIN packed USING (w) GROUP BY doc_id, part, j
 ), prints AS (
   SELECT t.doc_id, t.part,
          CASE WHEN count(m.mark) > 0 THEN string_agg(coalesce(m.mark, '0'), '-' ORDER BY r.j) ELSE 'text-' || md5(any_value(t.text)) END AS print
-  FROM texts t CROSS JOIN range(16) r(j) LEFT JOIN marks m ON m.doc_id = t.doc_id AND m.part = t.part AND m.j = r.j
+  FROM texts t CROSS JOIN range(27) r(j) LEFT JOIN marks m ON m.doc_id = t.doc_id AND m.part = t.part AND m.j = r.j
   GROUP BY t.doc_id, t.part
 ), pairs AS (
   SELECT doc_id AS a, doc_id AS b, 1 AS part FROM docs UNION ALL SELECT doc_id, next_id, 0 FROM ordered
 ), likeness AS (
   SELECT p.a, p.part,
          CAST(count(*) FILTER (x.mark = y.mark) AS DOUBLE) / nullif(count(*) FILTER (x.mark IS NOT NULL OR y.mark IS NOT NULL), 0) AS share
-  FROM pairs p CROSS JOIN range(16) r(j)
+  FROM pairs p CROSS JOIN range(27) r(j)
   LEFT JOIN marks x ON x.doc_id = p.a AND x.part = 0 AND x.j = r.j
   LEFT JOIN marks y ON y.doc_id = p.b AND y.part = p.part AND y.j = r.j
   GROUP BY p.a, p.part
