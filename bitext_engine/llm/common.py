@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -18,12 +21,31 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package's modules to the Python workers of this application, once, wherever they run."""
+    context = spark.sparkContext
+    root = Path(__file__).resolve().parent.parent
+    if context.applicationId in _shipped or not root.is_dir():
+        return
+    path = Path(tempfile.mkdtemp(prefix="bitext-code-")) / "bitext_engine.zip"
+    with zipfile.ZipFile(path, "w") as packed:
+        for file in sorted(root.rglob("*.py")):
+            packed.write(file, str(file.relative_to(root.parent)))
+    context.addPyFile(str(path))
+    _shipped.add(context.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the shared folder of the cluster (spark.checkpoint.dir)."""
+    ship(spark)
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(checkpoint_dir(spark))
