@@ -7,9 +7,9 @@ bytes. So the corpus is first cut down to windows, without losing a repeat:
 1. Anchors. In every run of LENGTH bytes, the place whose GRAM bytes have the least hash (the first of several) is
    its anchor. Which place that is depends on those LENGTH bytes alone, so two equal strings have equal anchors at
    equal places. The strings of one anchor follow each other; together they are the anchor's window.
-2. Anchors whose hash occurs once are dropped (one aggregation by hash, combined before the shuffle). Where
-   all windows of a hash are equal, all their strings repeat.
-3. Other windows are built into transforms, distinct windows once, with their numbers as weights. All windows
+2. Anchors whose hash occurs once are dropped (one aggregation by hash, combined before the shuffle). All strings of a
+   window that occurs again repeat.
+3. The windows of a hash that has several are built into transforms, distinct windows once, with their numbers as weights. All windows
    of a hash come to one collection; several hashes share one. A string repeats if equal suffixes (common prefix of
    LENGTH or more) begin at the same distance from anchors of one hash with a total weight of two or more. A symbol
    is a word of WORD bytes, and the windows are read in WORD alignments, counted from their anchors, so that every start
@@ -366,14 +366,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     repeats = found.groupBy("h").agg(F.count("*").alias("n"), F.min("w").alias("a"), F.max("w").alias("b")).where("n > 1")
     repeats = saved(repeats.selectExpr("h", "a <> b as mixed"), "suffix-repeats")
     places = saved(found.join(repeats, "h"), "suffix-places")
-    mixed = places.where("mixed")
-    wanted = mixed.groupBy("h", "w").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "shape")).alias("at"))
-    rows = saved(windows(texts, wanted.select("at.key", "at.first", "at.shape", "h", "w", "n")), "suffix-windows")
-    solved = saved(_solved(rows, LEVELS).where(F.size("spans") > 0), "suffix-spans")
-    whole = F.array(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("shape") % SHAPE - 1 + LENGTH).cast("int").alias("b")))
-    hits = places.where("not mixed").select("key", whole.alias("spans")).unionByName(
-        mixed.join(solved, ["h", "w"]).select("key", _moved("spans", F.col("first")).alias("spans"))
+    # a window that occurs again repeats as a whole; of the others, those with company at their anchor are ordered
+    seen = saved(
+        places.groupBy("h", "w").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "shape")).alias("at"), F.first("mixed").alias("mixed")),
+        "suffix-seen",
     )
+    again = places.join(seen.where("n > 1").select("h", "w"), ["h", "w"])
+    whole = F.array(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("shape") % SHAPE - 1 + LENGTH).cast("int").alias("b")))
+    wanted = seen.where("mixed").select("at.key", "at.first", "at.shape", "h", "w", "n")
+    rows = saved(windows(texts, wanted), "suffix-windows")
+    once = seen.where("mixed and n = 1").select("h", "w", "at.key", "at.first")
+    solved = saved(_solved(rows, LEVELS).where(F.size("spans") > 0).join(once, ["h", "w"]), "suffix-spans")
+    hits = again.select("key", whole.alias("spans")).unionByName(solved.select("key", _moved("spans", F.col("first")).alias("spans")))
     hits = hits.groupBy(F.col("key").alias("_hit")).agg(F.flatten(F.collect_list("spans")).alias("_hits"))
 
     others = [f for f in texts.schema.fields if f.name not in ("_key", "_z")]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitext_engine.llm import minhash, mixing, packing, quality, suffix
-from bitext_engine.llm.common import scratch, table
+from bitext_engine.llm.common import saved, scratch, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(docs, k=5, percent=80)
-    ids = found.groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n")).where("doc_id is not null and (n > 1 or not kept)")
+    ids = found.groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n"))
+    ids = saved(ids.where("doc_id is not null and (n > 1 or not kept)"), "pipeline-doubles")
     once = docs.join(ids.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    if not ids.where("kept").limit(1).count():  # no id is repeated: the texts need not be read once more
+        return once
     several = docs.join(ids.where("kept").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
     return once.unionByName(several.dropDuplicates(["doc_id"]))
 
