@@ -231,7 +231,7 @@ def _(t):
 
 
 @query("heading_numbers", SEGMENTS + """
-SELECT s.doc_id, s.lang, s.seg_no, s.kind, s.level, s.number, a.n AS num
+SELECT s.doc_id, s.lang, s.seg_no, s.article, s.kind, s.level, s.number, a.n AS num
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seg_no) AS pos FROM segments WHERE kind = 'article') s
 JOIN legal_articles a ON s.doc_id = a.doc_id AND s.pos = a.pos""")
 def _(t):

