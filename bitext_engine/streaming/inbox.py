@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from bitext_engine.operators.glossary import merge_glossary
 from bitext_engine.operators.structure import inventory
 from bitext_engine.operators.terms import defined_terms
 from bitext_engine.operators.text import detect_language, neutralize
@@ -77,28 +76,33 @@ def folder(root: str, name: str, batch_id: int) -> str:
 
 
 def verify_batch(batch: DataFrame, batch_id: int, out: str, base_glossary: str, pair: tuple[str, str], day: str) -> None:
-    """One micro-batch: sanitise, detect language, write inventory and defined terms, and a
-    new glossary snapshot made of the previous one and the batch's terms."""
+    """One micro-batch: sanitise, detect language, write inventory and defined terms, and propose the terms that the
+    base glossary does not know. Proposals have no target yet, so they are a table of their own and no glossary
+    entries; each micro-batch adds its own rows, see :func:`proposals`."""
     spark = batch.sparkSession
     docs = detect_language(neutralize(batch), out="lang").select("doc_id", "lang", "text").persist()  # read twice
     inventory(docs).write.mode("overwrite").parquet(folder(out, "inventory", batch_id))
-    terms = defined_terms(docs)
-    terms.write.mode("overwrite").parquet(folder(out, "terms", batch_id))
-    previous = base_glossary if batch_id == 0 else folder(out, "glossary", batch_id - 1)
-    base = spark.read.parquet(previous)
+    defined_terms(docs).write.mode("overwrite").parquet(folder(out, "terms", batch_id))
+    known = spark.read.parquet(base_glossary).where(
+        (F.col("source_lang") == pair[0]) & (F.col("target_lang") == pair[1])
+    ).select("source_term").distinct()
     new = (
         spark.read.parquet(folder(out, "terms", batch_id))
         .groupBy(F.col("term").alias("source_term")).agg(F.sum("tf").alias("usage_count"))
-        .select(
-            "source_term", F.lit("").alias("target_term"), F.lit(pair[0]).alias("source_lang"),
-            F.lit(pair[1]).alias("target_lang"), F.lit("proposal").alias("origin"), F.lit("proposed").alias("status"),
-            F.lit(day).alias("last_used"), "usage_count",
-        )
+        .join(known, "source_term", "left_anti")
+        .select("source_term", F.lit(pair[0]).alias("source_lang"), F.lit(pair[1]).alias("target_lang"), "usage_count", F.lit(day).alias("last_used"))
     )
-    merge_glossary(base, new).write.mode("overwrite").parquet(folder(out, "glossary", batch_id))
+    new.write.mode("overwrite").parquet(folder(out, "proposals", batch_id))
     docs.unpersist()
 
 
+def proposals(spark: SparkSession, out: str) -> DataFrame:
+    """Proposed terms of all micro-batches so far, their usage added up."""
+    rows = spark.read.schema("source_term string, source_lang string, target_lang string, usage_count long, last_used string").parquet(f"{out}/proposals")
+    return rows.groupBy("source_term", "source_lang", "target_lang").agg(
+        F.sum("usage_count").alias("usage_count"), F.max("last_used").alias("last_used"), F.lit("proposed").alias("status"))
+
+
 def stream_verify(
     stream: DataFrame, out: str, base_glossary: str, checkpoint: str, pair: tuple[str, str], day: str
 ) -> StreamingQuery:
