@@ -20,11 +20,11 @@ from bitext_engine.llm.worker_memory import claim
 
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
-MEMO = 250_000  # words a generation
+MEMO = 300_000  # words a generation
 LONG_WORD = 256  # longer ones are not kept
 PUNCTUATION = ".,!%&*$#|;:?-"  # what is split off words; no apostrophe, as 's and the like are tokens
 TOGETHER = 256  # words encoded as one line
-CHUNK = 5 << 20  # bytes of text put together at a time
+CHUNK = 6 << 20  # bytes of text put together at a time
 _encoders: dict[str, "Encoder"] = {}
 
 
