@@ -20,4 +20,5 @@ SQL = {
     "op6_minhash": minhash.SQL,
     "op8_preference": preference.SQL,
     "op9_mixing": mixing.SQL,
+    "op10_suffix": suffix.SQL,
 }

@@ -420,3 +420,37 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: All strings of 200 bytes by their sums, in pieces of 4000 starts so that no long text is cut from its beginning again.
+SQL = r"""
+WITH texts AS MATERIALIZED (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(length(hex(encode(coalesce(text, '')))) // 2 AS BIGINT) AS n FROM documents
+), pieces AS (
+  SELECT doc_id, n, p, substr(h, 8000 * p + 1, 8398) AS part, least(4000, n - 199 - 4000 * p) AS m
+  FROM (SELECT *, unnest(range(0, (n - 200) // 4000 + 1)) AS p FROM texts WHERE n >= 200)
+), starts AS MATERIALIZED (
+  SELECT doc_id, 4000 * p + j AS i, md5_number(substr(part, CAST(2 * j + 1 AS BIGINT), 400)) AS k
+  FROM (SELECT *, unnest(range(0, m)) AS j FROM pieces)
+), repeated AS (
+  SELECT k FROM starts GROUP BY k HAVING count(*) > 1
+), hits AS (
+  SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS block FROM starts JOIN repeated USING (k)
+), runs AS (
+  SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM hits GROUP BY doc_id, block
+), marked AS (
+  SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM runs
+), spans AS (
+  SELECT doc_id, min(a) AS a, max(b) AS b
+  FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY a) AS s FROM marked) GROUP BY doc_id, s
+), gaps AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS first, a AS last FROM spans
+  UNION ALL SELECT t.doc_id, coalesce(max(s.b), 0), any_value(t.n) FROM texts t LEFT JOIN spans s USING (doc_id) GROUP BY t.doc_id
+), kept AS (
+  SELECT g.doc_id, coalesce(string_agg(substr(t.h, CAST(2 * first + 1 AS BIGINT), CAST(2 * (last - first) AS BIGINT)), '' ORDER BY first), '') AS h
+  FROM gaps g JOIN texts t USING (doc_id) GROUP BY g.doc_id
+)
+SELECT t.doc_id, t.n AS n_bytes, CAST(coalesce(s.removed, 0) AS BIGINT) AS n_removed, coalesce(s.n, 0) AS n_spans, sha256(unhex(k.h)) AS kept_sha256
+FROM texts t JOIN kept k USING (doc_id)
+LEFT JOIN (SELECT doc_id, sum(b - a) AS removed, count(*) AS n FROM spans GROUP BY doc_id) s USING (doc_id)
+"""
