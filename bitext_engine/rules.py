@@ -82,6 +82,9 @@ ENGLISH_WORDS = (
 SIMPLIFIED = "条项约签订当义务责书证权让对应关产业专经营违规则为实现时间"
 TRADITIONAL = "條項約簽訂當義務責書證權讓對應關產業專經營違規則為實現時間"
 
+# what may stand between the words of a phrase: blanks, or one line end, which the replacement keeps
+GAP = r"([ \t]+|[ \t]*\n[ \t]*)"
+
 # text that looks like an instruction to a reader that is a program:
 # (rule, pattern, replacement, hints). The replacement keeps line breaks and pipes, so that
 # no structural count changes. Every match contains one of the hints in lower case: a plain
@@ -90,9 +93,9 @@ INJECTION_RULES = (
     ("role_marker", r"(?i)((?:^|\n)[ \t]*)(?:system|assistant|developer|user|human)[ \t]*[:：]", "$1‹neutralized›", ("system", "assistant", "developer", "user", "human")),
     ("chat_tag", r"(?i)</?(?:system|assistant|user|instructions?)>", "‹neutralized›", ("system>", "assistant>", "user>", "instruction>", "instructions>")),
     ("template_token", r"<\|[A-Za-z_]+\|>", "‹|neutralized|›", ("<|",)),
-    ("ignore_previous", r"(?i)(?:ignore|disregard|forget) +(?:all +)?(?:the +)?(?:previous|prior|above) +instructions?", "‹neutralized›", (" instruction",)),
-    ("act_as", r"(?i)you +are +now +(?:a|an|the)", "‹neutralized›", (" now ",)),
-    ("reveal_prompt", r"(?i)(?:reveal|print|show) +(?:your|the) +(?:system +)?prompt", "‹neutralized›", (" prompt",)),
+    ("ignore_previous", rf"(?i)(?:ignore|disregard|forget){GAP}(?:all{GAP})?(?:the{GAP})?(?:previous|prior|above){GAP}instructions?", "‹neutralized›$1$2$3$4", ("instruction",)),
+    ("act_as", rf"(?i)you{GAP}are{GAP}now{GAP}(?:an|a|the)", "‹neutralized›$1$2$3", ("now",)),
+    ("reveal_prompt", rf"(?i)(?:reveal|print|show){GAP}(?:your|the){GAP}(?:system{GAP})?prompt", "‹neutralized›$1$2$3", ("prompt",)),
     ("ignore_previous_ko", r"(?:이전|위)의? *(?:모든 *)?지시(?:사항)?를? *무시", "‹neutralized›", ("무시",)),
     ("ignore_previous_zh", r"(?:忽略|无视|無視|忽视|忽視)[ \t]*(?:之前|以上|先前|上述|前面)的?[ \t]*(?:所有|全部)?的?[ \t]*(?:指令|指示|说明|說明)", "‹neutralized›", ("忽略", "无视", "無視", "忽视", "忽視")),
     ("ignore_previous_ja", r"(?:以前|これまで|上記|前)の[ \t]*(?:すべての|全ての)?[ \t]*(?:指示|命令)を?[ \t]*無視", "‹neutralized›", ("無視",)),

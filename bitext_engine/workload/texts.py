@@ -144,7 +144,7 @@ def _(t):
 
 def neutralized_sql(expr: str) -> str:
     for _, rx, repl, _ in R.INJECTION_RULES:
-        expr = f"regexp_replace({expr}, {q(rx)}, {q(repl.replace('$1', chr(92) + '1'))}, 'g')"
+        expr = f"regexp_replace({expr}, {q(rx)}, {q(repl.replace('$', chr(92)))}, 'g')"
     return expr
 
 
