@@ -60,11 +60,6 @@ def pieces(col: Column, size: int, overlap: int) -> Column:
     return F.zip_with(part(1), part(2), lambda own, ahead: F.struct(own.alias("own"), ahead.alias("ahead")))
 
 
-def lines(col: Column) -> Column:
-    """Non-blank lines in order."""
-    return F.filter(F.split(col, "\n"), lambda line: F.trim(line) != "")
-
-
 def jaccard(a: Column, b: Column) -> Column:
     """Share of common distinct tokens; 1 for two empty lists."""
     union = F.size(F.array_union(a, b))
@@ -75,11 +70,6 @@ def count_of(col: Column, pattern: str) -> Column:
     return F.regexp_count(col, F.lit(pattern)).cast("long")
 
 
-def occurrences(text: Column, term: Column) -> Column:
-    """Non-overlapping occurrences of a literal term."""
-    return ((F.length(text) - F.length(F.replace(text, term, F.lit("")))) / F.length(term)).cast("long")
-
-
 ROMAN = (("i", 1), ("v", 5), ("x", 10), ("l", 50), ("c", 100), ("d", 500), ("m", 1000))
 
 

@@ -1,25 +1,14 @@
-"""Explicit schemas of the tables the engine exchanges; nothing is inferred."""
+"""Explicit schemas of the files the engine reads; nothing is inferred."""
 
 from __future__ import annotations
 
 from pyspark.sql import types as T
 
-DOCUMENTS = "doc_id string, path string, text string, lang string, doc_type string, batch_id string, sha256 string"
 BLOCKS = "doc_id string, page_no int, block_no int, block_kind string, change_kind string, text string"
-SEGMENTS = "doc_id string, seg_no int, article string, kind string, level int, number string, text string"
-PAIRS = "pair_id string, source_doc_id string, target_doc_id string, src_lang string, tgt_lang string"
 PROFILE = (
     "name string, created string, description string, "
     "assets struct<references: array<string>, glossaries: array<string>, style_guides: array<string>>"
 )
-CHECKPOINTS = "job_id string, mode string, step_no int, status string, ts timestamp, artifact_sha256 string"
-MANIFEST = (
-    "output_path string, job_id string, source_path string, source_sha256 string, glossary_sha256 string, "
-    "mode string, version int, ts timestamp"
-)
-PASSES = "doc_id string, seg_no int, pass string, text string"
-STYLE_RULES = "profile string, lang string, rule_kind string, pattern string"
-LOCKS = "batch_id string, source_term string, target_term string, kind string"
 
 GLOSSARY_ENTRY = T.StructType(
     [

@@ -7,7 +7,7 @@ from bitext_engine.functions.text import numeral_to_int
 from bitext_engine.operators import structure as S
 from bitext_engine.operators import text as X
 from bitext_engine.workload.registry import query
-from bitext_engine.workload.texts import PAGE_BLOCKS, SEGMENTS, q, revised
+from bitext_engine.workload.texts import PAGE_BLOCKS, SEGMENTS, q
 
 
 def _by_lang(make) -> str:
