@@ -76,9 +76,6 @@ class Waiting:
                 return pieces.pop(at)
         return next((pieces.pop() for pieces in reversed(self.lists) if pieces), None)
 
-    def all(self) -> list[Piece]:
-        return [p for pieces in self.lists for p in pieces]
-
 
 def pack(pieces: list[Piece], tiers: tuple[int, ...] = TIERS) -> tuple[list[tuple[int, list[Piece]]], list[Piece]]:
     """(full windows as (size, pieces), what could not fill one)."""
