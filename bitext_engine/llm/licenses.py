@@ -4,7 +4,7 @@ DataFrame functions only (and Spark ML's regression, on the training rows). A pa
 
 1. Training. The families' templates are varied (seeded loss of words, foreign words around them); lines of at
    most `NEGATIVE_DOCUMENTS` documents, those with the least hashes of their ids, are the unknown class, without
-   lines that are near a template (the one bounded sample here). Features are the unigrams and bigrams of the templates but for those
+   lines that are near a template or hold one (the one bounded sample here). Features are the unigrams and bigrams of the templates but for those
    that are common in the unknown class. A multinomial logistic regression is fitted on four fifths.
 2. Calibration. On the last fifth, a temperature is chosen by likelihood, and the least probability a family must reach,
    so that at most `FALSE_MOST` of unknown lines there reach it. A paragraph below it is unknown.
@@ -12,6 +12,10 @@ DataFrame functions only (and Spark ML's regression, on the training rows). A pa
    weights (bounded by the templates), and weights are summed by paragraph. A paragraph without any feature is unknown
    by the intercepts alone; bigrams are features only with a word of them, so no paragraph with a feature is passed over.
 4. Confirmation. The family stands if at least `CONTAINED` of the paragraph's n-grams are those of the family's templates.
+5. Statements inside a line. Where a bigram of a template stands in a line, the words that the whole template would take
+   there are a window. Of the windows around a bigram the one that holds the largest part of its template counts, from
+   `CONTAINED` on; it is classified like a paragraph, and its family stands if that is the template's. So a statement
+   is found however long its line is, and a line can have several families.
 
 Defined cases: null or empty text has no paragraphs; a document without licence has an empty list of families;
 rows that repeat are documents of their own if their ids differ, and one row otherwise (their paragraphs are equal); a
@@ -81,11 +85,19 @@ def words(line: Column) -> Column:
     return F.array_remove(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), "")
 
 
+def bigrams(singles: Column) -> Column:
+    """Every word with the next one; null for the last."""
+    return F.zip_with(singles, F.slice(singles, F.lit(2), F.size(singles)), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))
+
+
+def ngrams_of(singles: Column) -> Column:
+    """Distinct unigrams and bigrams of words."""
+    return F.array_distinct(F.concat(singles, F.array_compact(bigrams(singles))))
+
+
 def ngrams(line: Column) -> Column:
     """Distinct unigrams and bigrams of a line's words."""
-    singles = words(line)
-    pairs = F.zip_with(singles, F.slice(singles, F.lit(2), F.size(singles)), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))
-    return F.array_distinct(F.concat(singles, F.array_compact(pairs)))
+    return ngrams_of(words(line))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -97,6 +109,30 @@ def template_rows(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(f, i, t) for f, ts in sorted(TEMPLATES.items()) for i, t in enumerate(ts)], "family string, number int, line string")
 
 
+def statements(lines: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, at, context, number, stated, cover, tokens): windows of `lines` (*keys, line) that hold `CONTAINED` of a template.
+
+    A row a bigram (its place in the line) and template; the context is the words around it, bounded by the longest template.
+    """
+    spark = lines.sparkSession
+    rows = template_rows(spark).select("family", words(F.col("line")).alias("w"), ngrams(F.col("line")).alias("grams")).collect()
+    longest = max(len(r.w) for r in rows)
+    places = [(f"{a} {b}", i, r.family, o, len(r.w), r.grams) for i, r in enumerate(rows) for o, (a, b) in enumerate(zip(r.w, r.w[1:]))]
+    # bounded by the templates: a few hundred bigrams
+    anchors = F.broadcast(spark.createDataFrame(places, "pair string, number int, stated string, ahead int, length int, grams array<string>"))
+    found = F.transform(bigrams(F.col("w")), lambda pair, i: F.struct((i + 1).alias("at"), pair.alias("pair")))
+    found = F.filter(found, lambda x: F.coalesce(x["pair"].isin(*sorted({p[0] for p in places})), F.lit(False)))
+    start = lambda at: F.greatest(F.lit(1), at - longest)
+    around = F.transform(found, lambda x: F.struct(x["at"].alias("at"), x["pair"].alias("pair"), F.slice("w", start(x["at"]), F.lit(2 * longest + 1)).alias("context")))
+    hits = lines.select(*keys, words(F.col("line")).alias("w")).select(*keys, F.explode(around).alias("x")).select(*keys, "x.*").join(anchors, "pair")
+    begin = F.col("at") - F.col("ahead")
+    first = F.greatest(F.lit(1), begin)
+    window = F.slice("context", first - start(F.col("at")) + 1, F.col("length") - (first - begin))
+    hits = hits.select(*keys, "at", "context", "number", "stated", "grams", ngrams_of(window).alias("tokens"))
+    cover = F.size(F.array_intersect("tokens", "grams")) / F.size("grams")
+    return hits.withColumn("cover", cover).where(F.col("cover") >= CONTAINED).select(*keys, "at", "context", "number", "stated", "cover", "tokens", F.size("grams").alias("size"))
+
+
 def training_rows(docs: DataFrame) -> DataFrame:
     """(family, line, part): part 0-4 by hash; bounded by the templates and the two limits on the unknown class."""
     spark = docs.sparkSession
@@ -111,7 +147,8 @@ def training_rows(docs: DataFrame) -> DataFrame:
     lines = paragraphs(some).select("line").orderBy(F.xxhash64("line"), "line").limit(NEGATIVE_LINES)
     known = [r.g for r in template_rows(spark).select(F.explode(ngrams(F.col("line"))).alias("g")).distinct().collect()]
     inside = F.size(F.filter(ngrams(F.col("line")), lambda g: g.isin(known)))
-    negative = lines.where(inside < 0.3 * F.size(ngrams(F.col("line")))).select(F.lit(UNKNOWN).alias("family"), "line")
+    lines = lines.where(inside < 0.3 * F.size(ngrams(F.col("line")))).withColumn("_h", F.xxhash64("line"))
+    negative = lines.join(statements(lines, "_h").select("_h"), "_h", "left_anti").select(F.lit(UNKNOWN).alias("family"), "line")
     rows = positive.unionByName(negative).where(F.trim("line") != "")
     return rows.withColumn("part", F.pmod(F.xxhash64("family", "line"), F.lit(5)))
 
@@ -162,22 +199,19 @@ def fit(docs: DataFrame) -> Scanner:
     return Scanner(families, intercepts, weights, members, grid[temperature], min(0.95, max(0.5, highest or 0.5)))
 
 
-def scan(docs: DataFrame, scanner: Scanner) -> DataFrame:
-    """(doc_id, paragraph, family, probability, contained, confirmed) of all paragraphs that are not unknown."""
+def scored(pieces: DataFrame, scanner: Scanner, *keys: str) -> DataFrame:
+    """(*keys, x): the likeliest family of each piece (*keys, tokens) that reaches the least probability, with `contained`."""
     k = len(scanner.families)
-    rare = [g for g in scanner.weights if " " not in g]
-    lines = paragraphs(docs).where(F.exists(words(F.col("line")), lambda w: w.isin(*rare)))
-    lines = lines.select("doc_id", "paragraph", ngrams(F.col("line")).alias("tokens"))
-    lines = lines.select("doc_id", "paragraph", F.size("tokens").alias("n"), F.explode("tokens").alias("g"))
+    lines = pieces.select(*keys, F.size("tokens").alias("n"), F.explode("tokens").alias("g"))
     # bounded by the templates: a few hundred n-grams
     every = [(g, scanner.weights.get(g, [0.0] * k), m) for g, m in sorted(scanner.members.items())]
-    known = F.broadcast(docs.sparkSession.createDataFrame(every, "g string, weights array<double>, members array<int>"))
-    rows = lines.join(known, "g").groupBy("doc_id", "paragraph").agg(
+    known = F.broadcast(pieces.sparkSession.createDataFrame(every, "g string, weights array<double>, members array<int>"))
+    rows = lines.join(known, "g").groupBy(*keys).agg(
         F.max("n").alias("n"), *[F.sum(F.col("weights")[i]).alias(f"w{i}") for i in range(k)], *[F.sum(F.col("members")[i]).alias(f"m{i}") for i in range(k - 1)]
     )
     # only a paragraph with a family above the unknown class can reach the least probability
     raw = [(F.col(f"w{i}") + scanner.intercepts[i]) / scanner.temperature for i in range(k)]
-    rows = rows.select("doc_id", "paragraph", "n", F.array(*raw).alias("raw"), F.array(*[F.col(f"m{i}") for i in range(k - 1)]).alias("m"))
+    rows = rows.select(*keys, "n", F.array(*raw).alias("raw"), F.array(*[F.col(f"m{i}") for i in range(k - 1)]).alias("m"))
     rows = rows.where(F.array_max(F.slice("raw", 1, k - 1)) >= F.element_at("raw", k))
     rows = rows.withColumn("e", F.transform("raw", lambda x: F.exp(x - F.array_max("raw"))))
     rows = rows.withColumn("total", F.aggregate("e", F.lit(0.0), lambda a, x: a + x))
@@ -185,14 +219,30 @@ def scan(docs: DataFrame, scanner: Scanner) -> DataFrame:
     options = F.transform(
         families, lambda f, i: F.struct((F.get("e", i) / F.col("total")).alias("probability"), (F.get("m", i) / F.col("n")).alias("contained"), f.alias("family"))
     )
-    rows = rows.select("doc_id", "paragraph", F.array_max(options).alias("x")).where(F.col("x.probability") >= scanner.least)
-    return rows.select("doc_id", "paragraph", "x.family", "x.probability", "x.contained", (F.col("x.contained") >= CONTAINED).alias("confirmed"))
+    return rows.select(*keys, F.array_max(options).alias("x")).where(F.col("x.probability") >= scanner.least)
+
+
+def scan(docs: DataFrame, scanner: Scanner) -> DataFrame:
+    """(doc_id, paragraph, family, probability, contained, confirmed): a row a paragraph and family, for all that are not unknown."""
+    rare = [g for g in scanner.weights if " " not in g]
+    lines = paragraphs(docs).where(F.exists(words(F.col("line")), lambda w: w.isin(*rare)))
+    whole = scored(lines.select("doc_id", "paragraph", ngrams(F.col("line")).alias("tokens")), scanner, "doc_id", "paragraph")
+    whole = whole.select("doc_id", "paragraph", "x.*", (F.col("x.contained") >= CONTAINED).alias("confirmed"))
+    # a null id is a group here too; the context keeps rows of one id and different texts apart
+    best = F.max_by(F.struct("stated", "cover", "tokens"), F.struct("cover", "size", "number")).alias("best")
+    inside = statements(lines, "doc_id", "paragraph").groupBy("doc_id", "paragraph", "at", "context").agg(best)
+    inside = inside.select("doc_id", "paragraph", "best.*").distinct().withColumn("piece", F.xxhash64("tokens"))
+    inside = scored(inside, scanner, "doc_id", "paragraph", "stated", "cover", "piece").where("x.family = stated")
+    inside = inside.select("doc_id", "paragraph", "x.family", "x.probability", F.col("cover").alias("contained"), F.lit(True).alias("confirmed"))
+    found = whole.select(inside.columns).unionByName(inside)
+    best = F.max(F.struct("confirmed", "probability", "contained")).alias("x")
+    return found.groupBy("doc_id", "paragraph", "family").agg(best).select("doc_id", "paragraph", "family", "x.probability", "x.contained", "x.confirmed")
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, paragraphs, licence_paragraphs, families, probability), a row a document; families of confirmed paragraphs."""
     found = scan(docs, fit(docs)).where("confirmed").groupBy(F.col("doc_id").alias("_id")).agg(
-        F.count("*").alias("licence_paragraphs"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.max("probability").alias("probability")
+        F.count_distinct("paragraph").alias("licence_paragraphs"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.max("probability").alias("probability")
     )
     lines = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))
     every = docs.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(lines).cast("long").alias("paragraphs"))

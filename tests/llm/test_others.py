@@ -125,6 +125,23 @@ def test_licences(spark):
     assert licenses.scan_documents(odd.where("false")).count() == 0
 
 
+def test_licences_inside_long_lines(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    prose = " ".join(r.text.replace("\n", " ") for r in docs.where("text not like '%icense%' and text not like '%CC BY%' and text not like '%reserved%' and lang = 'en'").orderBy("doc_id").limit(40).collect())
+    mit, cc = "the whole source is released under the MIT License.", "Photo by Jane Doe, used with thanks and cut to size, licensed under CC BY 4.0 as she told us in a letter of last year."
+    lines = [
+        (1, "Copyright (c) 2020 The Foo Authors. All rights reserved."), (2, "As we said on the first page of this short and simple guide, " + mit), (3, cc),
+        (4, "If nothing else is said in the file itself, it is licensed under the Apache License, Version 2.0."), (5, prose), (6, f"{prose} {mit} {prose} {cc} {prose}"),
+        (7, "Licensed under CC BY-NC 4.0."), (8, prose + " licensed under CC BY-NC 4.0 " + prose), (None, f"{prose} {mit}"), (9, "all of the rights of the work are under a license of this program"),
+    ]
+    odd = spark.createDataFrame([*lines, lines[5]], "doc_id long, text string")
+    found = licenses.scan(odd, licenses.fit(docs)).where("confirmed").collect()
+    want = {(1, "reserved"), (2, "mit"), (3, "cc-by"), (4, "apache-2.0"), (6, "mit"), (6, "cc-by"), (7, "cc-by-nc"), (8, "cc-by-nc"), (None, "mit")}
+    assert {(r.doc_id, r.family) for r in found} == want and len(found) == len(want)
+    # such lines are no examples of the unknown class
+    assert not [r for r in licenses.training_rows(odd).where("family = 'unknown'").collect() if r.line in {x[1] for x in lines if x[0] in (1, 2, 3, 4, 6, 8)}]
+
+
 def test_preferences(spark):
     schema = "pair_id long, turn long, role string, text string, part int"
     chosen = spark.createDataFrame([(1, 0, "user", "hi", 0), (1, 1, "assistant", "good", 0), (1, 1, "assistant", "good", 0), (2, 0, None, None, 0), (None, 0, "user", "x", 0)], schema)
