@@ -1,7 +1,7 @@
 """b-bit MinHash: near-duplicate documents by bands, bit counts and exact confirmation.
 
 1. Every text gives its shingle set, 512 minima, 32 band keys of four whole minima each, and a signature of the four
-   low bits of every minimum (256 bytes). Texts with equal sets are one class, shown by its smallest doc_id.
+   low bits of every minimum (256 bytes). Texts with equal sets are one class, with a number of its own.
 2. Classes that share a band key are compared by their signatures: the similarity is estimated by equal low bits,
    less those equal by chance. A pair is a candidate unless its estimate lies more than `SIGMAS` standard errors under
    the threshold. A pair with similarity 0.85 shares none of the 32 keys with probability 5e-11 (0.8: 5e-8).
@@ -14,7 +14,7 @@ at most `SLICE` asking classes; they are held, and all classes of the group stre
 bounded by a slice and a hot group is many tasks.
 
 Defined cases: null text, empty text and text without words have no shingles and are linked with nothing; rows
-that repeat a doc_id are one node; a null doc_id is a row without component that is kept; an empty table gives
+that repeat a doc_id with other words are nodes of their own, each with its own component; a null doc_id is a row without component that is kept; an empty table gives
 no rows. Only doc_id and text are read.
 """
 
@@ -24,6 +24,7 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from bitext_engine.llm.common import components, saved, table
 from bitext_engine.llm.spanning import Links, runs
@@ -68,12 +69,32 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     )
 
 
+def keyed(docs: DataFrame, k: int, name: str) -> DataFrame:
+    """`docs` with the key of every row's shingle set as column `name`; null without shingles."""
+
+    def work(batches):
+        import pyarrow as pa
+        import xxhash
+
+        from bitext_engine.llm.shingles import begin, shingle_set
+
+        begin()
+        for batch in batches:
+            sets = (shingle_set(t.as_py(), k) for t in batch.column("text"))
+            keys = pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], [*batch.schema.names, name])
+
+    schema = StructType([*docs.schema.fields, StructField(name, BinaryType())])
+    return docs.mapInArrow(releasing(work), schema)
+
+
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(node, shingles): the distinct shingle hashes, as signed 64-bit numbers."""
+    """(set_key, shingles): the distinct shingle hashes, as signed 64-bit numbers."""
 
     def work(batches):
         import numpy as np
         import pyarrow as pa
+        import xxhash
 
         from bitext_engine.llm.shingles import begin, shingle_set
 
@@ -82,11 +103,10 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 sets = [shingle_set(t.as_py(), k).view(np.int64) for t in batch.column("text")]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").cast(pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"]
-                )
+                keys = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["set_key", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(releasing(work), "node long, shingles array<long>")
+    return docs.select("text").mapInArrow(releasing(work), "set_key binary, shingles array<long>")
 
 
 class Group(Links):
@@ -229,12 +249,21 @@ def spanning_links(rows: DataFrame, threshold: float, percent: int | None = None
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) a row of `docs`: links at `percent` similarity of k-word shingles."""
+    return grouped(docs, k, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, set_key, component, component_id, kept) a row of `docs`.
+
+    A component is named by its smallest doc_id; if an id has several texts, two components can share that name but not `component`.
+    """
     threshold = percent / 100
     signed = saved(signatures(docs, k), "minhash-signatures")
     full = signed.where("set_key is not null and doc_id is not null")
-    classes = full.groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    shown = full.join(classes.select("set_key", F.col("node").alias("doc_id")), ["set_key", "doc_id"]).dropDuplicates(["doc_id"])
-    shown = saved(shown.select(F.col("doc_id").alias("node"), "sig", "bands"), "minhash-classes")
+    classes = full.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
+    shown = full.join(classes, ["set_key", "doc_id"]).dropDuplicates(["set_key"])
+    # written down, so that the numbers stay
+    shown = saved(shown.select(F.monotonically_increasing_id().alias("node"), "set_key", F.col("doc_id").alias("first"), "sig", "bands"), "minhash-classes")
     banded = shown.select(F.explode("bands").alias("key"), "node").distinct()
     shared = banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     buckets = banded.join(shared, "key").join(shown.select("node", "sig"), "node")
@@ -243,14 +272,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     clusters = components(near)
     sizes = clusters.groupBy("component").agg(F.count("*").alias("members"))
     clusters = clusters.join(sizes, "component").select("node", F.col("component").alias("key"), "members")
-    sets = shingle_sets(docs.join(clusters.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), k).dropDuplicates(["node"])
-    rows = clusters.join(shown.select("node", "sig"), "node").join(sets, "node")
+    clusters = clusters.join(shown.select("node", "set_key", "first", "sig"), "node")
+    sets = shingle_sets(docs.join(clusters.select(F.col("first").alias("doc_id")), "doc_id", "left_semi"), k).dropDuplicates(["set_key"])
+    rows = clusters.join(sets, "set_key")
     joined = components(spanning_links(rows, threshold, percent))
 
-    nodes_of = classes.join(joined, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
+    shown = shown.select("node", "set_key", "first")
+    names = joined.join(shown, "node").groupBy("component").agg(F.min("first").alias("name"))
+    joined = joined.join(names, "component")
+    nodes_of = shown.join(joined, "node", "left").select(
+        "set_key", F.coalesce("component", "node").alias("component"), F.coalesce("name", "first").alias("component_id")
+    )
     out = signed.select("doc_id", "n_shingles", "set_key").join(nodes_of, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    return out.select("doc_id", "n_shingles", "set_key", "component", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
 

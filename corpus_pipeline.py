@@ -6,7 +6,8 @@ that a lost executor costs one stage at most.
 
 * quality: documents whose posterior (llm.quality) is under one half go.
 * near_duplicates: one document of every group of near copies stays, that of the smallest doc_id (five-word shingles,
-  similarity 0.8 or more, llm.minhash). Of rows that repeat a doc_id one stays.
+  similarity 0.8 or more, llm.minhash). Of rows that repeat a doc_id with a near copy of its text one stays; other
+  texts of the id are documents of their own.
 * repeats: bytes covered by a string of 200 bytes that occurs elsewhere go (llm.suffix); a document may become empty.
 * mixing: documents are repeated, cut or left out so that sources meet their targets (llm.mixing); a repeated document
   is several rows.
@@ -29,14 +30,24 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = minhash.near_duplicates(docs, k=5, percent=80)
-    ids = found.groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n"))
+    found = minhash.grouped(docs, k=5, percent=80)
+    ids = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     ids = saved(ids.where("doc_id is not null and (n > 1 or not kept)"), "pipeline-doubles")
     once = docs.join(ids.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
     if not ids.where("kept").limit(1).count():  # no id is repeated: the texts need not be read once more
         return once
-    several = docs.join(ids.where("kept").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    return once.unionByName(several.dropDuplicates(["doc_id"]))
+    repeated = ids.where("kept").select("doc_id")
+    several = docs.join(repeated, "doc_id", "left_semi").select(docs.columns)
+    # of each id and component one set of shingles stays, and of the rows with it the one with the least text
+    stay = found.where("kept").join(repeated, "doc_id", "left_semi").groupBy("doc_id", "component").agg(F.min("set_key").alias("_set"))
+    key = "_key"
+    while key.lower() in {c.lower() for c in docs.columns}:
+        key += "_"
+    rows = minhash.keyed(several, 5, key).groupBy("doc_id", key).agg(F.min_by(F.struct(*docs.columns), F.col("text")).alias("_row"), F.first(F.struct(*docs.columns)).alias("_any"))
+    rows = rows.select(F.col("doc_id").alias("_of"), F.col(key).alias("_key"), F.coalesce("_row", "_any").alias("_row"))
+    stay = stay.select(F.col("doc_id").alias("_id"), "_set")
+    rows = rows.join(stay, (F.col("_of") == F.col("_id")) & F.col("_key").eqNullSafe(F.col("_set")), "left_semi")
+    return once.unionByName(rows.select("_row.*"))
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,6 +49,18 @@ def test_same_as_brute_force(spark, monkeypatch, k, percent, slice_size):
     assert got == brute(rows, k, percent)
 
 
+def test_one_id_on_several_texts(spark):
+    r = random.Random(5)
+    a, b, c = (" ".join(str(r.randrange(10**6)) for _ in range(100)) for _ in range(3))
+    rows = [(5, a), (5, b), (3, b), (9, a + " end"), (5, c), (7, c + " end"), (5, ""), (5, c)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    n = {r.n_shingles for r in got}
+    assert n == {0, 96, 97}
+    assert sorted((x.doc_id, x.component_id, x.kept) for x in got) == [
+        (3, 3, True), (5, 3, False), (5, 5, True), (5, 5, True), (5, 5, True), (5, 5, True), (7, 5, False), (9, 5, False)
+    ]
+
+
 def test_repeated_rows_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (2, "a b c d")], "doc_id long, text string")
     rows = sorted(minhash.near_duplicates(docs).collect(), key=lambda r: str(r.doc_id))

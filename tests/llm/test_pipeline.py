@@ -51,6 +51,16 @@ def test_stages(spark):
     assert max(inside.values()) <= 4096 and {p.doc_id for p in packed} == {r.doc_id for r in mixed.collect()}
 
 
+def test_one_id_on_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(100)) for x in "abc")
+    rows = [(5, a, 1), (5, b, 2), (3, b, 3), (5, c, 4), (5, c, 4), (5, c + " end", 5), (8, c, 6), (5, "", 7), (5, None, 8), (None, a, 9), (4, b + " end", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key int")
+    got = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SF).collect()
+    left = sorted((str(r.doc_id), r.text or "", r._key) for r in got)
+    assert len(left) == 5 and {("None", a, 9), ("5", a, 1), ("3", b, 3), ("5", "", 7)} < set(left)
+    assert [r.doc_id for r in got if (r.text or "").startswith(c)] == [5]
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
