@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that must give the same rows."""
 
-from bitext_engine.llm import embeddings, fingerprints, licenses, minhash, mixing, packing, preference, quality, suffix, token_files
+from bitext_engine.llm import embeddings, fingerprints, licenses, minhash, mixing, neighbours, packing, preference, quality, suffix, token_files
 
 QUERIES = {
     "op1_fingerprints": fingerprints.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_preference": preference.query,
     "op9_mixing": mixing.query,
     "op10_suffix": suffix.query,
+    "op13_neighbours": neighbours.query,
 }
 SQL = {
     "op1_fingerprints": fingerprints.SQL,
