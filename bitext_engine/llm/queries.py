@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that must give the same rows."""
 
-from bitext_engine.llm import embeddings, fingerprints, licenses, minhash, mixing, neighbours, packing, preference, quality, suffix, token_alignment, token_files
+from bitext_engine.llm import conversation_repair, embeddings, fingerprints, licenses, minhash, mixing, neighbours, packing, preference, quality, suffix, token_alignment, token_files
 
 QUERIES = {
     "op1_fingerprints": fingerprints.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_preference": preference.query,
     "op9_mixing": mixing.query,
     "op10_suffix": suffix.query,
+    "op11_conversation_repair": conversation_repair.query,
     "op12_token_alignment": token_alignment.query,
     "op13_neighbours": neighbours.query,
 }
@@ -23,4 +24,5 @@ SQL = {
     "op8_preference": preference.SQL,
     "op9_mixing": mixing.SQL,
     "op10_suffix": suffix.SQL,
+    "op11_conversation_repair": conversation_repair.SQL,
 }
