@@ -9,7 +9,7 @@ plain window's.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,3 +90,17 @@ def previous_blocked(
         ),
     )
     return inside.join(carried, "_key").select(*df.columns, F.coalesce("_in", "_carry").alias(out))
+
+
+def running_blocked(
+    df: DataFrame, group: Sequence[str], order: Column, block: Column, value: Column, out: str,
+    take: Callable[[Column], Column],
+) -> DataFrame:
+    """The greatest or least (``take``: ``F.max`` or ``F.min``) ``value`` of the rows before each one in its group; null before the first."""
+    keyed = df.select("*", _key(group, [block]).alias("_key"), value.alias("_v"), order.alias("_o"))
+    best = keyed.groupBy("_key").agg(take(F.col("_v")).alias("_best"))
+    before = W.partitionBy(*[F.col("_key")[g] for g in group]).orderBy(F.col("_key")["_b0"])
+    carried = best.select("_key", take(F.col("_best")).over(before.rowsBetween(W.unboundedPreceding, -1)).alias("_carry"))
+    inside = keyed.withColumn("_in", take(F.col("_v")).over(W.partitionBy("_key").orderBy("_o").rowsBetween(W.unboundedPreceding, -1)))
+    pick = F.greatest if take is F.max else F.least
+    return inside.join(carried, "_key").select(*df.columns, pick("_in", "_carry").alias(out))

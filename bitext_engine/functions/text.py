@@ -129,3 +129,26 @@ def numeral_to_int(col: Column) -> Column:
     return F.when(F.coalesce(plain, F.lit("")) == "", F.lit(None).cast("long")).when(
         ascii_only, plain.try_cast("long")
     ).otherwise(folded)
+
+
+def _letters(tokens: Column, shared: Column, other: int) -> Column:
+    """Every token as one character: its place among the shared ones, or `other`. Surrogates are stepped over."""
+    place = lambda t: F.array_position(shared, t).cast("int") + 2
+    code = lambda n: F.when(n == 2, F.lit(other)).when(n >= 0xD800, n + 0x800).otherwise(n)
+    return F.decode(F.unhex(F.array_join(F.transform(tokens, lambda t: F.lpad(F.hex(code(place(t))), 8, "0")), "")), "UTF-32")
+
+
+def token_distance(a: Column, b: Column) -> Column:
+    """Least number of tokens to insert, delete or replace to make ``a`` of ``b``, exactly, whatever their length.
+
+    Tokens become characters, so that the distance of strings does the work; it is tried in bands of 8, 64 and 512
+    places around the diagonal before it is done in full. Tokens that only one side has are equal to none of the
+    other's, so one character a side stands for them all. ``a`` and ``b`` should be plain columns.
+    """
+    shared = F.array_intersect(a, b)
+    x, y = _letters(a, shared, 1), _letters(b, shared, 2)
+    found = F.levenshtein(x, y)
+    for band in (512, 64, 8):
+        within = F.levenshtein(x, y, band)
+        found = F.when(within >= 0, within).otherwise(found)
+    return found.cast("long")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitext_engine.functions.blocks import BLOCK, row_number_blocked
-from bitext_engine.functions.text import char_windows, count_of, jaccard, words
+from bitext_engine.functions.text import char_windows, count_of, jaccard, token_distance, words
 
 SEGMENT = ("doc_id", "seg_no")
 
@@ -23,8 +23,7 @@ def _tokens(col: Column, spaced: bool) -> Column:
 
 
 def similarity(aligned: DataFrame, spaced: bool = True) -> DataFrame:
-    """Adds the share of common tokens, which is the measure here: edit distances of whole segments
-    take time by the product of their lengths, and no class depends on them."""
+    """Adds the share of common tokens, which the classes go by; `edit_distances` is slower and finer."""
     tokens = aligned.select(
         "*", _tokens(F.col("text_a"), spaced).alias("_a"), _tokens(F.col("text_b"), spaced).alias("_b")
     )
@@ -47,6 +46,22 @@ def pass_divergence(aligned: DataFrame, spaced: bool = True) -> DataFrame:
     return measured.withColumn("divergence", cls)
 
 
+def edit_distances(aligned: DataFrame, spaced: bool = True) -> DataFrame:
+    """Adds edit_distance, in tokens (characters where there are no spaces), and edit_share: of the longer side's tokens.
+
+    The distance is exact and sees what `similarity` does not: order and repeats. Null where a side has no text; two texts without
+    tokens are at distance 0.
+    """
+    tokens = lambda c: words(F.col(c)) if spaced else F.split(F.lower(c), "")
+    # two steps, so that texts are split once
+    split = aligned.select("*", tokens("text_a").alias("_a"), tokens("text_b").alias("_b"))
+    apart = split.select("*", F.when(F.col("text_a").isNotNull() & F.col("text_b").isNotNull(), token_distance(F.col("_a"), F.col("_b"))).alias("edit_distance"))
+    longer = F.greatest(F.size("_a"), F.size("_b"))
+    return apart.select(
+        *[F.col(c) for c in aligned.columns], "edit_distance", F.when(longer == 0, 0.0).otherwise(F.col("edit_distance") / longer).alias("edit_share")
+    )
+
+
 def select_pass(aligned: DataFrame, scores: DataFrame, key: tuple[str, ...] = SEGMENT) -> DataFrame:
     """The better text of each segment: more glossary hits, then matching structure, then A.
 
@@ -97,16 +112,20 @@ def backtranslation_drift(
     source: DataFrame, back: DataFrame, spaced: bool = True,
     bounds: tuple[tuple[str, float], ...] = DRIFT_BOUNDS,
 ) -> DataFrame:
-    """Each back-translated segment against its source, classed by token Jaccard."""
+    """Each back-translated segment against its source, by number, classed by token Jaccard."""
     aligned = back.select(*SEGMENT, F.col("text").alias("text_b")).join(
         source.select(*SEGMENT, F.col("text").alias("text_a")), list(SEGMENT), "left"
     )
-    cls = F.when(F.col("text_a").isNull(), "no_source")
+    return drift_of(aligned, spaced, bounds).select(*SEGMENT, "jaccard", "drift")
+
+
+def drift_of(aligned: DataFrame, spaced: bool = True, bounds: tuple[tuple[str, float], ...] = DRIFT_BOUNDS) -> DataFrame:
+    """Adds jaccard and drift to rows with a source text (text_a) and its back-translation (text_b), as `align_segments`
+    links them where sentences were cut differently."""
+    cls = F.when(F.col("text_a").isNull(), "no_source").when(F.col("text_b").isNull(), "no_back")
     for name, least in bounds:
         cls = cls.when(F.col("jaccard") >= least, name)
-    return similarity(aligned, spaced).withColumn("drift", cls.otherwise("critical")).select(
-        *SEGMENT, "jaccard", "drift"
-    )
+    return similarity(aligned, spaced).withColumn("drift", cls.otherwise("critical"))
 
 
 def drift_summary(drift: DataFrame) -> DataFrame:

@@ -177,6 +177,50 @@ def shifted_sections(pairs: DataFrame, art: DataFrame) -> DataFrame:
     )
 
 
+def moved_sections(pairs: DataFrame, art: DataFrame) -> DataFrame:
+    """(pair_id, num, source_rank, target_rank) of the fewest articles whose move makes both orders agree.
+
+    What stays is a heaviest increasing subsequence of the common numbers. Articles that follow each other in both documents are one
+    run, kept or moved as a whole, so that the fold over runs is as long as there are moves, not articles. Ranks are among
+    common numbers. Of equally heavy ways the one whose runs come last in the source stays. The numbers of a pair are one
+    row; they are fewer than the characters of the text they were read from, which was one.
+    """
+    common = by_side(pairs, art).groupBy("pair_id", "num").agg(
+        F.min(_on("source", F.col("pos"))).alias("sp"), F.min(_on("target", F.col("pos"))).alias("tp")
+    ).where("sp is not null and tp is not null")
+    one = common.groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct("sp", "num", "tp"))).alias("s"))
+    # source places in the order of the target
+    one = one.select("pair_id", "s", F.transform(F.array_sort(F.transform("s", lambda x, i: F.struct(x["tp"], x["num"], i.alias("i")))), lambda x: x["i"]).alias("t"))
+    starts = F.filter(F.transform("t", lambda v, k: F.when((k == 0) | (F.get("t", k - 1) != v - 1), k)), lambda k: k.isNotNull())
+    one = one.where(F.size("t") > 1).withColumn("starts", starts).where(F.size("starts") > 1)
+    runs = F.transform("starts", lambda k, r: F.struct(F.get("t", k).alias("v"), k.alias("k"), (F.coalesce(F.get("starts", r + 1), F.size("t")) - k).alias("n")))
+    one = one.select("pair_id", "s", runs.alias("runs"))
+
+    def weighed(done: Column, run: Column) -> Column:
+        # (weight up to here, place, number of the run before)
+        before = F.array_max(F.filter(done, lambda x: x["v"] < run["v"]))
+        return F.concat(done, F.array(F.struct(
+            (F.coalesce(before["w"], F.lit(0)) + run["n"]).cast("int").alias("w"), run["v"].alias("v"), F.size(done).alias("r"), F.coalesce(before["r"], F.lit(-1)).alias("prev")
+        )))
+
+    ways = F.aggregate("runs", F.array().cast("array<struct<w:int,v:int,r:int,prev:int>>"), weighed)
+    one = one.select("pair_id", "s", "runs", ways.alias("ways"))
+    start = F.struct(F.array_max("ways")["r"].alias("at"), F.array().cast("array<int>").alias("kept"))
+    kept = F.aggregate(
+        F.reverse("ways"), start,
+        lambda acc, way: F.struct(
+            F.when(way["r"] == acc["at"], way["prev"]).otherwise(acc["at"]).alias("at"),
+            F.when(way["r"] == acc["at"], F.concat(acc["kept"], F.array(way["r"]))).otherwise(acc["kept"]).alias("kept"),
+        ),
+        lambda acc: F.array_sort(acc["kept"]),
+    )
+    one = one.select("pair_id", "s", F.explode(F.arrays_zip("runs", F.transform("runs", lambda x, r: r).alias("r"))).alias("x"), kept.alias("kept"))
+    gone = one.where(~F.array_contains("kept", F.col("x.r"))).select("pair_id", F.posexplode(F.slice("s", F.col("x.runs.v") + 1, F.col("x.runs.n"))).alias("o", "a"), "x")
+    return gone.select(
+        "pair_id", F.col("a.num").alias("num"), (F.col("x.runs.v") + F.col("o") + 1).cast("long").alias("source_rank"), (F.col("x.runs.k") + F.col("o") + 1).cast("long").alias("target_rank")
+    )
+
+
 def numbering_gaps(numbers: DataFrame, group: tuple[str, ...] | None = None, num: str = "num") -> DataFrame:
     """Repeated numbers, and numbers whose forerunner is not the next smaller integer.
 

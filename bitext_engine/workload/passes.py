@@ -78,3 +78,15 @@ def _(t):
 def _(t):
     a, b = passes(t)
     return P.drift_summary(P.backtranslation_drift(a, b))
+
+
+@query("pass_edit_distance", ALIGNED + r""",
+-- tokens as characters of one byte: those that both sides have by number, '~' and ' ' for the others
+lettered AS (SELECT *, CASE WHEN len(a) = 0 AND len(b) = 0 THEN 0 ELSE levenshtein(
+    array_to_string(list_transform(a, lambda t: CASE WHEN list_contains(b, t) THEN chr(CAST(32 + list_position(list_distinct(list_sort(list_intersect(a, b))), t) AS INT)) ELSE '~' END), ''),
+    array_to_string(list_transform(b, lambda t: CASE WHEN list_contains(a, t) THEN chr(CAST(32 + list_position(list_distinct(list_sort(list_intersect(a, b))), t) AS INT)) ELSE ' ' END), '')) END AS d
+  FROM measured WHERE text_a IS NOT NULL AND text_b IS NOT NULL)
+SELECT m.doc_id, m.seg_no, l.d AS edit_distance, round(CASE WHEN greatest(len(m.a), len(m.b)) = 0 THEN 0.0 ELSE l.d / greatest(len(m.a), len(m.b)) END, 6) AS edit_share
+FROM measured m LEFT JOIN lettered l ON l.doc_id = m.doc_id AND l.seg_no = m.seg_no""")
+def _(t):
+    return P.edit_distances(P.align_passes(*passes(t))).select("doc_id", "seg_no", "edit_distance", F.round("edit_share", 6).alias("edit_share"))

@@ -31,6 +31,8 @@ def expand(sql: str) -> str:
     sql = sql.strip()
     if not parts:
         return sql
+    if re.match(r"WITH RECURSIVE\s", sql):
+        return "WITH RECURSIVE " + ",\n".join(parts) + ",\n" + sql[14:].lstrip()
     if re.match(r"WITH\s", sql):
         return "WITH " + ",\n".join(parts) + ",\n" + sql[4:].lstrip()
     return "WITH " + ",\n".join(parts) + "\n" + sql

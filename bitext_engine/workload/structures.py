@@ -123,6 +123,31 @@ def _(t):
     return S.shifted_sections(t.legal_pairs, S.article_headings(t.legal_both))
 
 
+@query("moved_sections", """
+WITH RECURSIVE common AS (
+  SELECT p.pair_id, a.n AS num, a.pos AS sp, b.pos AS tp FROM legal_pairs p
+  JOIN legal_articles a ON a.doc_id = p.source_doc_id JOIN legal_articles b ON b.doc_id = p.target_doc_id AND a.n = b.n),
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY sp) AS i, row_number() OVER (PARTITION BY pair_id ORDER BY tp) AS k FROM common),
+first AS (SELECT *, CASE WHEN i = lag(i) OVER (PARTITION BY pair_id ORDER BY k) + 1 THEN 0 ELSE 1 END AS f FROM ranked),
+in_runs AS MATERIALIZED (SELECT *, sum(f) OVER (PARTITION BY pair_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS r FROM first),
+runs AS MATERIALIZED (SELECT pair_id, r, min(i) AS v, count(*) AS n FROM in_runs GROUP BY ALL),
+best AS (
+  SELECT pair_id, CAST(0 AS HUGEINT) AS r, CAST([] AS STRUCT(w BIGINT, v BIGINT, r HUGEINT, prev HUGEINT)[]) AS ways FROM (SELECT DISTINCT pair_id FROM runs)
+  UNION ALL
+  SELECT pair_id, r, list_append(ways, {'w': CAST(coalesce(b.w, 0) + n AS BIGINT), 'v': CAST(v AS BIGINT), 'r': r, 'prev': coalesce(b.r, 0)}) AS ways
+  FROM (SELECT x.pair_id, u.r, u.v, u.n, x.ways, list_max(list_filter(x.ways, lambda y: y.v < u.v)) AS b
+        FROM best x JOIN runs u ON u.pair_id = x.pair_id AND u.r = x.r + 1)),
+done AS MATERIALIZED (SELECT pair_id, ways FROM best b WHERE len(ways) = (SELECT count(*) FROM runs u WHERE u.pair_id = b.pair_id)),
+kept AS (
+  SELECT pair_id, list_max(ways).r AS r FROM done
+  UNION ALL
+  SELECT k.pair_id, d.ways[CAST(k.r AS BIGINT)].prev FROM kept k JOIN done d ON d.pair_id = k.pair_id WHERE d.ways[CAST(k.r AS BIGINT)].prev > 0)
+SELECT pair_id, num, i AS source_rank, k AS target_rank FROM in_runs m
+WHERE NOT EXISTS (SELECT 1 FROM kept x WHERE x.pair_id = m.pair_id AND x.r = m.r)""")
+def _(t):
+    return S.moved_sections(t.legal_pairs, S.article_headings(t.legal_both))
+
+
 @query("numbering_gaps", """
 WITH once AS (SELECT l_orderkey, l_linenumber AS num, count(*) AS n_seen FROM lineitem GROUP BY ALL),
 stepped AS (SELECT *, coalesce(lag(num) OVER (PARTITION BY l_orderkey ORDER BY num), 0) + 1 AS expected FROM once)

@@ -1,3 +1,6 @@
+import itertools
+import random
+
 from pyspark.sql import functions as F
 
 from bitext_engine.functions.blocks import previous_blocked, row_number_blocked, row_number_ranged
@@ -113,3 +116,38 @@ def test_blocked_windows_equal_plain_ones(spark):
                 assert got[g, r["o"]] == last
                 if not current and r["v"] is not None:
                     last = r["v"]
+
+
+def longest(order):
+    """Length of a longest increasing subsequence, from all of them."""
+    return max(len(c) for n in range(len(order) + 1) for c in itertools.combinations(order, n) if list(c) == sorted(c))
+
+
+def test_moved_sections_are_the_fewest(spark):
+    r = random.Random(4)
+    orders = [[2, 3, 4, 5, 6, 1], [6, 1, 2, 3, 4, 5], [1, 2, 3, 4], [4, 3, 2, 1], [1], [], [3, 4, 1, 2, 5], [5, 1, 2, 3, 4, 6, 9, 8, 7]]
+    orders += [r.sample(range(1, n + 1), n) for n in [2, 3, 4, 5, 6, 7, 8, 9] * 12]
+    art, pairs = [], []
+    for p, order in enumerate(orders):
+        pairs.append((p, f"s{p}", f"t{p}"))
+        art += [(f"s{p}", n, 10 * n) for n in sorted(order)] + [(f"t{p}", n, 7 * k) for k, n in enumerate(order)]
+        art += [(f"s{p}", 100, 5), (f"t{p}", 200, 0)]  # numbers of one side change nothing
+    frames = spark.createDataFrame(pairs, "pair_id long, source_doc_id string, target_doc_id string"), spark.createDataFrame(art, "doc_id string, num long, pos long")
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    frame = S.moved_sections(*frames)
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == list(jobs)  # nothing runs while the plan is made
+    got = {}
+    for x in frame.collect():
+        got.setdefault(x.pair_id, []).append((x.num, x.source_rank, x.target_rank))
+    for p, order in enumerate(orders):
+        moved = {n for n, _, _ in got.get(p, [])}
+        assert len(moved) == len(order) - longest(order)
+        stays = [n for n in order if n not in moved]
+        assert stays == sorted(stays)
+        assert all(sorted(order).index(n) + 1 == s and order.index(n) + 1 == t for n, s, t in got.get(p, []))
+    assert got[0] == [(1, 1, 6)] and got[1] == [(6, 6, 1)] and 2 not in got
+    # a long document with one article at the other end
+    n = 3000
+    art = [("s", i, i) for i in range(n)] + [("t", i, i if i else n) for i in range(n)]
+    one = S.moved_sections(spark.createDataFrame([(1, "s", "t")], "pair_id long, source_doc_id string, target_doc_id string"), spark.createDataFrame(art, "doc_id string, num long, pos long"))
+    assert [tuple(x) for x in one.collect()] == [(1, 0, 1, n)]
