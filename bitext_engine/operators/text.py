@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitext_engine import rules as R
+from bitext_engine.functions.folding import folded
 from bitext_engine.functions.text import count_of, marker_to_int, words
 
 
@@ -25,13 +28,16 @@ def _hinted(lowered: Column, rule: Rule) -> Column:
 
 
 def injection_hits(
-    docs: DataFrame, rules: Sequence[Rule] = R.INJECTION_RULES, key: Sequence[str] = ("doc_id",), text: str = "text"
+    docs: DataFrame, rules: Sequence[Rule] = R.SANITISER_RULES, key: Sequence[str] = ("doc_id",), text: str = "text"
 ) -> DataFrame:
-    """One row per hit: rule, its running number within (document, rule), the matched text."""
-    low = docs.select(*key, F.col(text).alias("_t"), F.lower(text).alias("_low"))
-    suspect = F.lit(False)
-    for rule in rules:
-        suspect = suspect | _hinted(F.col("_low"), rule)
+    """One row per hit: rule, its running number within (document, rule), the matched text.
+
+    The rules match text that hides itself (other forms of letters, blanks that do not break, characters without width) where
+    it stands; ``match`` is as it is written there.
+    """
+    low = docs.select(*key, F.col(text).alias("_t"), folded(F.col(text)).alias("_low"))
+    # one look at the folded text: a filter that names it for every hint would fold it as often
+    suspect = F.exists(F.array("_low"), lambda low: reduce(or_, [_hinted(low, rule) for rule in rules]))
     per_rule = F.array(
         *[
             F.struct(
@@ -47,14 +53,17 @@ def injection_hits(
     )
 
 
-def neutralize(docs: DataFrame, rules: Sequence[Rule] = R.INJECTION_RULES, text: str = "text") -> DataFrame:
+def neutralize(docs: DataFrame, rules: Sequence[Rule] = R.SANITISER_RULES, text: str = "text") -> DataFrame:
     """Replace every hit by a visible mark that leaves all structural counts as they were."""
-    low = docs.withColumn("_low", F.lower(text))
-    # each step names the step before twice: as columns of their own they are computed once
+    low = docs.withColumn("_low", folded(F.col(text)))
+    # one text handed from rule to rule: as a chain of columns, every step would name the one before twice
+    def replaced(rule: Rule):
+        return lambda t: F.when(_hinted(F.col("_low"), rule), F.regexp_replace(t, F.lit(rule[1]), F.lit(rule[2]))).otherwise(t)
+
+    texts = F.array(text)
     for rule in rules:
-        low = low.withColumn(
-            text, F.when(_hinted(F.col("_low"), rule), F.regexp_replace(text, rule[1], rule[2])).otherwise(F.col(text))
-        )
+        texts = F.transform(texts, replaced(rule))
+    low = low.withColumn(text, F.get(texts, F.lit(0)))
     return low.drop("_low")
 
 

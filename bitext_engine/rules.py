@@ -3,6 +3,10 @@ lookaround also run unchanged under RE2, apart from the names of the script clas
 
 from __future__ import annotations
 
+import re
+
+from bitext_engine.functions.folding import hidden
+
 # fixed values: the five languages handled
 LANGUAGES = ("en", "ko", "zh-cn", "zh-tw", "ja")
 # languages whose words are set apart by spaces, so that whole words can be matched
@@ -101,6 +105,23 @@ INJECTION_RULES = (
     ("ignore_previous_ja", r"(?:以前|これまで|上記|前)の[ \t]*(?:すべての|全ての)?[ \t]*(?:指示|命令)を?[ \t]*無視", "‹neutralized›", ("無視",)),
 )
 
+# words that may stand inside the phrase about earlier instructions
+FILLER = "(?:all|any|every|each|of|the|those|these|that|your|my|our|its|other|were|given|so|far)"
+_MAYBE = rf"(?:{GAP}{FILLER})?"
+# the same rules for text that hides itself, with filler words. A dot follows every line break that stays, as a line that lost
+# its words would be blank, and what came behind them could begin with the mark of a list or a table
+SANITISER_RULES = tuple(
+    (name, hidden(pattern), re.sub(r"(?<!^)(\$[0-9])", r"\1·", replacement), hints)
+    for name, pattern, replacement, hints in (
+        *[rule for rule in INJECTION_RULES if rule[0] != "ignore_previous"],
+        (
+            "ignore_previous",
+            rf"(?i)(?:ignore|disregard|forget|override){_MAYBE * 4}{GAP}(?:previous|prior|above|earlier|preceding){_MAYBE * 2}{GAP}(?:instructions?|directions?|prompts?)",
+            "‹neutralized›" + "".join(f"${k}" for k in range(1, 9)), ("instruction", "direction", "prompt"),
+        ),
+    )
+)
+
 # regional forms: (language, class, pattern)
 VARIANT_RULES = (
     ("zh-tw", "foreign", f"[{SIMPLIFIED}]"),
