@@ -98,7 +98,11 @@ def _paired_counts(pairs: DataFrame, inv: DataFrame) -> DataFrame:
         F.coalesce(F.sum(_on(side, F.col(k))), F.lit(0)).cast("long").alias(f"{side}_{k}")
         for k in (DOCUMENT, *KINDS) for side in ("source", "target")
     ]
-    both = by_side(pairs, inv.withColumn(DOCUMENT, F.lit(1)), "left").groupBy("pair_id").agg(*sums)
+    return judge_counts(by_side(pairs, inv.withColumn(DOCUMENT, F.lit(1)), "left").groupBy("pair_id").agg(*sums))
+
+
+def judge_counts(both: DataFrame) -> DataFrame:
+    """(pair_id, c) of rows (pair_id, source_<kind>, target_<kind>), ``document`` among the kinds; see :func:`_paired_counts`."""
     n, m = F.col(f"source_{DOCUMENT}"), F.col(f"target_{DOCUMENT}")
     present = F.struct(
         F.lit(DOCUMENT).alias("kind"), n.alias("n_source"), m.alias("n_target"),
@@ -123,10 +127,15 @@ def compare_counts(pairs: DataFrame, inv: DataFrame) -> DataFrame:
 
 def verify_structure(pairs: DataFrame, inv: DataFrame) -> DataFrame:
     """Per pair: PASS unless a decisive kind differs; which kinds failed or warn."""
+    return verdicts(_paired_counts(pairs, inv))
+
+
+def verdicts(judged: DataFrame) -> DataFrame:
+    """(pair_id, status, failed_kinds, warned_kinds) of rows of :func:`judge_counts`."""
     names = lambda status: F.array_join(
         F.array_sort(F.transform(F.filter("c", lambda x: x["status"] == status), lambda x: x["kind"])), ","
     )
-    return _paired_counts(pairs, inv).select(
+    return judged.select(
         "pair_id",
         F.when(F.exists("c", lambda x: x["status"] == "FAIL"), "FAIL").otherwise("PASS").alias("status"),
         names("FAIL").alias("failed_kinds"),

@@ -25,11 +25,14 @@ def _file_time() -> Column:
     return F.col("_metadata.file_modification_time").alias("file_time")
 
 
-def stream_inbox(spark: SparkSession, path: str, watermark: str = "1 day", max_files: int = 10_000) -> DataFrame:
-    """New text files, equal contents only once.
+def stream_inbox(
+    spark: SparkSession, path: str, watermark: str = "1 day", max_files: int = 10_000, arrived: Column | None = None, once: bool = True
+) -> DataFrame:
+    """New text files, equal contents only once (unless ``once`` is lifted).
 
-    The state holds content hashes of files that arrived within the watermark; a later duplicate is caught by the
-    ingest's comparison with the manifest. Time is that of arrival, so a file with an old time is new all the same.
+    The state holds content hashes of files that arrived within the watermark; :func:`ingest_once` stops later
+    duplicates, too. Time is that of arrival, so a file with an old time is new all the same; ``arrived`` is another time,
+    such as file_time.
     """
     raw = (
         spark.readStream.option("recursiveFileLookup", True)
@@ -38,7 +41,8 @@ def stream_inbox(spark: SparkSession, path: str, watermark: str = "1 day", max_f
         .text(path, wholetext=True)
     )
     where = F.col("_metadata.file_path")
-    return _once(raw.select(relative_id(where, path).alias("doc_id"), where.alias("path"), F.col("value").alias("text"), _file_time()), watermark)
+    rows = raw.select(relative_id(where, path).alias("doc_id"), where.alias("path"), F.col("value").alias("text"), _file_time())
+    return _once(rows, watermark, arrived, once)
 
 
 def stream_table(
@@ -54,13 +58,46 @@ def stream_table(
     )
 
 
-def _once(texts: DataFrame, watermark: str) -> DataFrame:
-    return (
-        texts.withColumn("sha256", F.sha2("text", 256))
-        .withColumn("arrived", F.current_timestamp())
-        .withWatermark("arrived", watermark)
-        .dropDuplicatesWithinWatermark(["sha256"])
-    )
+def _once(texts: DataFrame, watermark: str, arrived: Column | None = None, once: bool = True) -> DataFrame:
+    rows = texts.withColumn("sha256", F.sha2("text", 256)).withColumn("arrived", F.current_timestamp() if arrived is None else arrived)
+    return rows.withWatermark("arrived", watermark).dropDuplicatesWithinWatermark(["sha256"]) if once else rows
+
+
+#: Hashes of the manifest are kept in as many folders, so that a micro-batch reads those that its own hashes fall into.
+BUCKETS = 256
+
+
+def _bucket() -> Column:
+    return F.conv(F.substring("sha256", 1, 2), 16, 10).cast("int").alias("bucket")
+
+
+def ingest_once(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Write texts whose content never entered before, whenever that was, then stop; call again to go on.
+
+    The stream's own state forgets contents behind the watermark. Here every micro-batch meets the manifest of all hashes that
+    earlier ones wrote, and adds its own. Documents lie in ``out``/documents/batch=N, hashes in ``out``/manifest/batch=N/bucket=B:
+    a micro-batch that is repeated replaces its own folders and looks only at those of smaller numbers. Of equal
+    texts in one micro-batch the one with the least doc_id stays.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.groupBy("sha256").agg(F.min_by(F.struct(*batch.columns), F.col("doc_id")).alias("r")).select("r.*").persist()
+        try:
+            met = [r["bucket"] for r in rows.select(_bucket()).distinct().collect()]  # at most BUCKETS numbers
+            if met and batch_id:
+                known = spark.read.schema("sha256 string, batch long, bucket int").option("ignoreMissingFiles", True).parquet(f"{out}/manifest")
+                known = known.where((F.col("batch") < batch_id) & F.col("bucket").isin(met)).select("sha256")
+                fresh = rows.join(known, "sha256", "left_anti")
+            else:
+                fresh = rows
+            fresh.write.mode("overwrite").parquet(folder(f"{out}", "documents", batch_id))
+            written = spark.read.schema(rows.schema).parquet(folder(f"{out}", "documents", batch_id))
+            written.select("sha256", _bucket()).write.mode("overwrite").partitionBy("bucket").parquet(folder(out, "manifest", batch_id))
+        finally:
+            rows.unpersist()
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

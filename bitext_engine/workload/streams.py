@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from bitext_engine.operators.structure import KINDS
 from bitext_engine.session import checkpoint_dir
 from bitext_engine.streaming import inbox as I
+from bitext_engine.streaming import pairs as A
 from bitext_engine.workload.registry import query
-from bitext_engine.workload.structures import inventory_sql
+from bitext_engine.workload.structures import VERDICT, _verify_sql, inventory_sql
 from bitext_engine.workload.texts import LANGUAGE_SQL, neutralized_sql
 
 
@@ -53,3 +54,43 @@ def _(t):
     wide = t.spark.read.schema("doc_id long, kind string, n long").parquet(f"{root}/out/inventory")
     hashes = t.documents.select("doc_id", F.sha2("text", 256).alias("sha256"))
     return wide.join(hashes, "doc_id").where(F.col("kind").isin(*KINDS)).select("sha256", "kind", "n")
+
+
+@query("stream_ingest_files", "SELECT DISTINCT sha256(text || chr(10)) AS sha256 FROM documents")
+def _(t):
+    """Every document as a text file, half of them first, then the other half with copies of the first, then everything once more."""
+    root = scratch(t)
+    texts = t.documents.select("text", F.pmod(F.xxhash64("text"), F.lit(64)).alias("folder"), (F.col("doc_id") % 2).alias("half"))
+    # one file a text, in a bounded number of folders
+    write = lambda rows, name: rows.drop("half").write.partitionBy("folder").option("maxRecordsPerFile", 1).text(f"{root}/inbox/{name}")
+    for name, rows in (("first", texts.where("half = 0")), ("second", texts), ("third", texts.where("half = 1"))):
+        write(rows, name)
+        I.ingest_once(I.stream_inbox(t.spark, f"{root}/inbox"), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return t.spark.read.schema("sha256 string").parquet(f"{root}/out/documents").select("sha256")
+
+
+_CHANGED = "CASE WHEN doc_id % 5 = 0 THEN regexp_replace(text, '^[^\\n]*\\n', '') ELSE text END"
+
+
+@query("stream_pairs", _verify_sql(
+    f"(SELECT doc_id, 'en' AS lang, text FROM documents WHERE doc_id % 11 <> 4 UNION ALL SELECT doc_id + 1000000000, 'en', {_CHANGED} FROM documents WHERE doc_id % 7 <> 3)",
+    "(SELECT doc_id AS pair_id, doc_id AS source_doc_id, doc_id + 1000000000 AS target_doc_id FROM documents WHERE doc_id % 11 <> 4 OR doc_id % 7 <> 3)") + VERDICT)
+def _(t):
+    """Documents arrive as sources and, changed, as targets an hour later; some lack a side. Two pairs far in the future, which do not
+    count, move the time on."""
+    root = scratch(t)
+    start, hour = F.timestamp_seconds(F.lit(1_700_000_000)), F.expr("INTERVAL 1 HOUR")
+    schema = "pair_id long, lang string, text string, arrived timestamp"
+
+    def side(name, lost, remainder, text, arrived):
+        raw = t.spark.readStream.schema("doc_id long, text string").option("pathGlobFilter", "documents.parquet").option("maxFileAge", I.MAX_FILE_AGE).parquet(t.sf_dir)
+        rows = raw.where(F.col("doc_id") % lost != remainder).select(F.col("doc_id").alias("pair_id"), F.lit("en").alias("lang"), text.alias("text"), arrived.alias("arrived"))
+        return rows.unionByName(t.spark.readStream.schema(schema).parquet(f"{root}/clock"))
+
+    changed = F.when(F.col("doc_id") % 5 == 0, F.regexp_replace("text", "^[^\n]*\n", "")).otherwise(F.col("text"))
+    for run in range(3):
+        clock = t.spark.createDataFrame([(-1 - run, "en", "")], "pair_id long, lang string, text string")
+        clock.withColumn("arrived", F.timestamp_seconds(F.lit(1_800_000_000 + 10_000_000 * run))).write.mode("append").parquet(f"{root}/clock")
+        both = A.paired_on_arrival(side("source", 11, 4, F.col("text"), start), side("target", 7, 3, changed, start + hour), "1 days")
+        I.append_to(both, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return A.pair_verdicts(t.spark.read.parquet(f"{root}/out").where("pair_id >= 0"))
