@@ -167,6 +167,25 @@ def batch_glossary(applied: DataFrame, batch) -> DataFrame:
     return mine.unionByName(rest.select(*mine.columns))
 
 
+def _locks_of_entries(resolved: DataFrame, locks: DataFrame) -> DataFrame:
+    """Every lock of an entry: (batch_id, locked_target, entry, _rank)."""
+    bound = bound_locks(locks).select("batch_id", *TERM_KEY, F.col("target_term").alias("locked_target")).distinct()
+    hit = (
+        F.col("l.source_term").eqNullSafe(F.col("r.source_term"))
+        & F.coalesce(F.col("l.source_lang") == F.col("r.source_lang"), F.col("l.source_lang").isNull())
+        & F.coalesce(F.col("l.target_lang") == F.col("r.target_lang"), F.col("l.target_lang").isNull())
+    )
+    named = F.col("l.source_lang").isNotNull().cast("int") + F.col("l.target_lang").isNotNull().cast("int")
+    rows = resolved.alias("r").join(bound.alias("l"), hit).select("batch_id", "locked_target", named.alias("_named"), *[F.col(f"r.{c}").alias(c) for c in resolved.columns])
+    order = W.partitionBy("batch_id", *TERM_KEY).orderBy(F.col("_named").desc(), F.col("locked_target").desc())
+    return rows.withColumn("_rank", F.dense_rank().over(order)).drop("_named")
+
+
+def overruled_locks(resolved: DataFrame, locks: DataFrame) -> DataFrame:
+    """(batch_id, source_term, source_lang, target_lang, locked_target): locks of an entry that another lock of the batch overrules."""
+    return _locks_of_entries(resolved, locks).where("_rank > 1").select("batch_id", *TERM_KEY, "locked_target").distinct()
+
+
 def apply_locks(resolved: DataFrame, locks: DataFrame) -> DataFrame:
     """Resolved entries under a batch's locks: what a lock names per (batch, entry), and every entry as it is.
 
@@ -174,16 +193,12 @@ def apply_locks(resolved: DataFrame, locks: DataFrame) -> DataFrame:
     carry (source_lang, target_lang; a null or absent one binds all). Rows of a batch are the entries its locks
     name, ``overridden`` where the lock changed the target; rows with a null batch are the whole resolved glossary.
     A batch's glossary is the latter with the former put over it, see :func:`batch_glossary`, so that entries
-    without a lock are not multiplied by batches.
+    without a lock are not multiplied by batches. Where several locks of a batch name one entry, the one that names more of
+    its languages holds, then the one with the last target; :func:`overruled_locks` lists the others.
     """
-    one = bound_locks(locks).groupBy("batch_id", *TERM_KEY).agg(F.max("target_term").alias("locked_target"))
-    hit = (
-        F.col("l.source_term").eqNullSafe(F.col("r.source_term"))
-        & F.coalesce(F.col("l.source_lang") == F.col("r.source_lang"), F.col("l.source_lang").isNull())
-        & F.coalesce(F.col("l.target_lang") == F.col("r.target_lang"), F.col("l.target_lang").isNull())
-    )
-    locked = resolved.alias("r").join(one.alias("l"), hit).select("batch_id", "locked_target", *[F.col(f"r.{c}").alias(c) for c in resolved.columns])
-    none = resolved.select(F.lit(None).cast(one.schema["batch_id"].dataType).alias("batch_id"), F.lit(None).cast("string").alias("locked_target"), *resolved.columns)
+    one = _locks_of_entries(resolved, locks)
+    locked = one.where("_rank = 1").drop("_rank")
+    none = resolved.select(F.lit(None).cast(locks.schema["batch_id"].dataType).alias("batch_id"), F.lit(None).cast("string").alias("locked_target"), *resolved.columns)
     joined = locked.unionByName(none)
     return joined.select(
         "batch_id", *[c for c in resolved.columns if c != "target_term"],

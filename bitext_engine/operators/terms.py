@@ -270,8 +270,8 @@ def alternatives_used(targets: DataFrame, glossary: DataFrame) -> DataFrame:
     )
 
 
-def lock_violations(pairs: DataFrame, texts: DataFrame, locks: DataFrame) -> DataFrame:
-    """Delivered pairs in which a locked mapping is not kept.
+def locked_usage(pairs: DataFrame, texts: DataFrame, locks: DataFrame) -> DataFrame:
+    """:func:`check_usage` of every pair under the locks of its own batch and pair of languages, and of no others.
 
     ``pairs`` carry ``batch_id``; a lock binds only the pairs of its own batch and of its own pair of languages
     (source_lang, target_lang; a null or absent one binds all). Text is searched once for all locks, and usage is
@@ -285,10 +285,14 @@ def lock_violations(pairs: DataFrame, texts: DataFrame, locks: DataFrame) -> Dat
     ).distinct()
     usage = check_usage(pairs, texts, bound.drop("batch_id").distinct())
     batch = pairs.select("pair_id", "batch_id", F.col("src_lang").alias("source_lang"), F.col("tgt_lang").alias("target_lang")).distinct()
-    kept = usage.join(batch, "pair_id").join(
+    return usage.join(batch, "pair_id").join(
         bound, ["batch_id", "source_term", "target_term", "source_lang", "target_lang"], "left_semi",
     )
-    return kept.where(F.col("status") != "ok").select(
+
+
+def lock_violations(pairs: DataFrame, texts: DataFrame, locks: DataFrame) -> DataFrame:
+    """Delivered pairs in which a locked mapping is not kept, see :func:`locked_usage`."""
+    return locked_usage(pairs, texts, locks).where(F.col("status") != "ok").select(
         "batch_id", "pair_id", "source_term", "target_term", "n_source", "n_target", "status"
     )
 

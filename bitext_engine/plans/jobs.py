@@ -151,9 +151,10 @@ def review_batch(docs: DataFrame, limit: int) -> BatchReview:
 
 
 def approved_locks(queue: DataFrame) -> DataFrame:
-    """Locks from the reviewed queue: what was approved and given a target."""
+    """Locks from the reviewed queue: what was approved and given a target, for the languages that the reviewer named, if any."""
+    langs = [c for c in ("source_lang", "target_lang") if c in queue.columns]
     return queue.where((F.col("status") == "approved") & F.col("approved_target").isNotNull()).select(
-        "batch_id", "source_term", F.col("approved_target").alias("target_term"), "kind")
+        "batch_id", "source_term", F.col("approved_target").alias("target_term"), "kind", *langs)
 
 
 @dataclass
@@ -169,11 +170,7 @@ def check_batch(pairs: DataFrame, docs: DataFrame, locks: DataFrame) -> BatchRep
     """Second job of a batch, on delivered pairs (with ``batch_id``) and both sides' texts."""
     targets = pairs.select(F.col("target_doc_id").alias("doc_id"), "batch_id").distinct().join(
         docs.drop("batch_id"), "doc_id")
-    bound = locks.select("batch_id", "source_term", "target_term")
-    langs = pairs.select("batch_id", "src_lang", "tgt_lang").distinct()
-    glossary = bound.join(langs, "batch_id").select(
-        "source_term", "target_term", F.col("src_lang").alias("source_lang"), F.col("tgt_lang").alias("target_lang")).distinct()
-    usage = M.check_usage(pairs, docs, glossary).where(F.col("n_target") > 0).join(pairs.select("pair_id", "batch_id"), "pair_id")
+    usage = M.locked_usage(pairs, docs, locks).where(F.col("n_target") > 0)
     return BatchReport(
         violations=M.lock_violations(pairs, docs, locks),
         terms=B.term_variants(usage),
@@ -188,12 +185,7 @@ def merge_batch(base: DataFrame, pairs: DataFrame, docs: DataFrame, locks: DataF
 
     ``merged`` (job_id) lists batches that were merged before; running a merge again changes nothing.
     """
-    bound = locks.select("batch_id", "source_term", "target_term")
-    langs = pairs.select("batch_id", "src_lang", "tgt_lang").distinct()
-    glossary = bound.join(langs, "batch_id").select(
-        "source_term", "target_term", F.col("src_lang").alias("source_lang"), F.col("tgt_lang").alias("target_lang")).distinct()
-    of_pair = pairs.select("pair_id", F.col("batch_id").alias("job_id"), F.col("src_lang").alias("source_lang"), F.col("tgt_lang").alias("target_lang"))
-    used = M.check_usage(pairs, docs, glossary).where(F.col("n_target") > 0).join(of_pair, "pair_id")
+    used = M.locked_usage(pairs, docs, locks).where(F.col("n_target") > 0).withColumnRenamed("batch_id", "job_id")
     new = used.groupBy("job_id", "source_term", "target_term", "source_lang", "target_lang").agg(F.sum("n_target").alias("usage_count")).select(
         "*", F.lit("persistent").alias("origin"), F.lit("confirmed").alias("status"), F.lit(day).alias("last_used"))
     return G.merge_glossary(base, new, merged)

@@ -117,3 +117,12 @@ def test_locks_bind_their_own_languages(spark, glossary):
     mine = G.batch_glossary(G.apply_locks(both, locks), "b1")
     assert collect(mine, "target_lang", "source_term", "target_term") == [
         ("ja", "Recipient", "ja-수취인"), ("ja", "Trade Secret", "ja-영업비밀"), ("ko", "Recipient", "수령인"), ("ko", "Trade Secret", "영업비밀")]
+
+
+def test_one_lock_an_entry(spark, glossary):
+    rows = [("b1", "Recipient", "KO", "party", "en", "ko"), ("b1", "Recipient", "ANY", "party", None, None), ("b2", "Recipient", "ANY", "party", None, None), ("b2", "Recipient", "ALL", "party", None, None)]
+    locks = spark.createDataFrame(rows, "batch_id string, source_term string, target_term string, kind string, source_lang string, target_lang string")
+    applied = G.apply_locks(glossary, locks)
+    for batch, target in (("b1", "KO"), ("b2", "ANY")):
+        assert [r["target_term"] for r in G.batch_glossary(applied, batch).where("source_term = 'Recipient'").collect()] == [target]
+    assert collect(G.overruled_locks(glossary, locks), "batch_id", "source_term", "locked_target") == [("b1", "Recipient", "ANY"), ("b2", "Recipient", "ALL")]

@@ -72,6 +72,23 @@ def test_batch_job(spark, docs, pairs):
     assert collect(J.merge_batch(base, pairs, batch, locks, "2026-02-02", done), "source_term") == [("Lessor",)]
 
 
+def test_a_batch_keeps_to_its_own_locks(spark):
+    docs = spark.createDataFrame([("s1", "alpha here", "en"), ("t1", "beta there", "en"), ("s2", "alpha here", "en"), ("t2", "gamma there", "en"), ("s3", "alpha here", "en"), ("t3", "가나 beta", "ko")],
+                                 "doc_id string, text string, lang string")
+    pairs = spark.createDataFrame([(1, "s1", "t1", "en", "en", "A"), (2, "s2", "t2", "en", "en", "C"), (3, "s3", "t3", "en", "ko", "B")],
+                                  "pair_id long, source_doc_id string, target_doc_id string, src_lang string, tgt_lang string, batch_id string")
+    base = spark.createDataFrame([], "source_term string, target_term string, source_lang string, target_lang string, origin string, status string, last_used string, usage_count long")
+    queue = spark.createDataFrame(
+        [("B", "alpha", "defined", "approved", "beta", None, None), ("C", "alpha", "defined", "approved", "gamma", None, None), ("B", "alpha", "defined", "approved", "가나", "en", "ja")],
+        "batch_id string, source_term string, kind string, status string, approved_target string, source_lang string, target_lang string")
+    locks = J.approved_locks(queue)
+    # pair 1 holds both words, but its batch A locks nothing; the lock for Japanese binds no Korean pair
+    merged = J.merge_batch(base, pairs, docs, locks, "2026-02-02")
+    assert collect(merged, "source_term", "target_term", "target_lang", "usage_count") == [("alpha", "beta", "ko", 1), ("alpha", "gamma", "en", 1)]
+    report = J.check_batch(pairs, docs, locks)
+    assert report.violations.count() == 0 and report.terms.count() == 0
+
+
 def test_nested_regions_and_entities(spark):
     html = ("<header><nav><p>menu</p></nav><p>x</p></header></footer><p>&#8217;&ldquo;&sect;&#x41;&#1114112;&#0; &amp;lt;</p>"
             "<footer><nav><p>m</p></footer><p>after</p>")
