@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 from bitext_engine import rules as R
 from bitext_engine import schemas
 from bitext_engine.functions.blocks import row_number_ranged
+from bitext_engine.functions.graphs import components
 from bitext_engine.functions.text import count_of
 from bitext_engine.operators.glossary import validate_records
 from bitext_engine.operators.terms import normalized_key
@@ -83,6 +84,53 @@ def party_variants(parties: DataFrame) -> DataFrame:
     return _variants(keyed, ["batch_id", "name_key"], "name", "n_uses")
 
 
+#: Letters of a name that are indexed by what is left after deletions. Two names within so many edits agree there, too.
+INDEXED = 24
+
+
+def _edits(letters: Column) -> Column:
+    """Edits that two spellings of one name may be apart: none in short names, one from five letters on, two from nine on."""
+    return F.when(F.length(letters) >= 9, 2).when(F.length(letters) >= 5, 1).otherwise(0)
+
+
+def _deletions(letters: Column) -> Column:
+    """The text, and what is left of it after one or two deletions, as often as its length allows edits."""
+    less = lambda x: F.transform(
+        F.when(F.length(x) > 0, F.sequence(F.lit(1), F.length(x))).otherwise(F.array().cast("array<int>")),
+        lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substr(x, i + 1)),
+    )
+    head = F.left(letters, F.lit(INDEXED))
+    one = less(head)
+    two = F.flatten(F.transform(one, less))
+    some = F.when(_edits(letters) == 2, F.concat(F.array(head), one, two)).when(_edits(letters) == 1, F.concat(F.array(head), one)).otherwise(F.array(head))
+    return F.array_distinct(some)
+
+
+def spelling_variants(parties: DataFrame) -> DataFrame:
+    """(batch_id, name_key, name, n_uses, n_variants): names of a batch that are spellings of one, one row per spelling.
+
+    Two names belong together if their letters are within one edit, or two in names of nine letters and more, and their digits are the
+    same; so do names that others connect. Candidates come from an index of deletions, which is joined with itself: names
+    meet only where something is left that both have, and the edit distance decides. ``name_key`` is the
+    least spelling of the group, letters before digits. Case, blanks, width and punctuation do not count.
+    """
+    key = normalized_key(F.col("name"))
+    named = parties.select("batch_id", "name", key.alias("_k")).select(
+        "batch_id", "name", F.regexp_replace("_k", r"\p{N}+", "").alias("letters"), F.regexp_replace("_k", r"\P{N}+", "").alias("digits"))
+    nodes = named.select("batch_id", "digits", "letters").distinct().select(F.struct("batch_id", "digits", "letters").alias("node"))
+    spelt = nodes.select("node", F.explode(_deletions(F.col("node.letters"))).alias("left"))
+    a = spelt.select(F.col("node.batch_id").alias("_b"), F.col("node.digits").alias("_d"), "left", F.col("node").alias("u"))
+    b = spelt.select(F.col("node.batch_id").alias("_b"), F.col("node.digits").alias("_d"), "left", F.col("node").alias("v"))
+    met = a.join(b, ["_b", "_d", "left"]).where(F.col("u.letters") < F.col("v.letters")).select("u", "v").distinct()
+    least = F.least(_edits(F.col("u.letters")), _edits(F.col("v.letters")))
+    links = met.where(F.levenshtein(F.col("u.letters"), F.col("v.letters")) <= least)
+    groups = components(links).select(
+        F.col("node.batch_id").alias("batch_id"), F.col("node.digits").alias("digits"), F.col("node.letters").alias("letters"), F.col("component.letters").alias("_least"))
+    keyed = named.join(groups, ["batch_id", "digits", "letters"], "left").select(
+        "batch_id", F.concat(F.coalesce("_least", "letters"), "digits").alias("name_key"), "name")
+    return _variants(keyed, ["batch_id", "name_key"], "name", "n_uses")
+
+
 def _format_mix(docs: DataFrame, formats: Sequence[tuple[str, str]], column: str) -> DataFrame:
     # summed in wide form: one row per batch leaves each task, whatever a batch's size
     wide = docs.select(

@@ -58,6 +58,31 @@ def _(t):
     return B.party_variants(parties)
 
 
+@query("spelling_variants", """
+WITH RECURSIVE spelled AS (SELECT c_nationkey AS batch_id, CASE o_orderpriority WHEN '1-URGENT' THEN replace(c_name, 'ust', 'uts') WHEN '2-HIGH' THEN upper(replace(c_name, 'om', 'omm'))
+    WHEN '3-MEDIUM' THEN replace(c_name, 'C', 'K') ELSE c_name END || ' ' || c_mktsegment AS name FROM orders JOIN customer ON o_custkey = c_custkey),
+named AS MATERIALIZED (SELECT batch_id, name, regexp_replace(lower(name), '[^a-z]+', '', 'g') AS letters, regexp_replace(name, '[^0-9]+', '', 'g') AS digits FROM spelled),
+nodes AS MATERIALIZED (SELECT DISTINCT batch_id, letters, digits, CASE WHEN length(letters) >= 9 THEN 2 WHEN length(letters) >= 5 THEN 1 ELSE 0 END AS e FROM named),
+links AS MATERIALIZED (SELECT a.batch_id, a.digits, a.letters AS u, b.letters AS v FROM nodes a JOIN nodes b ON a.batch_id = b.batch_id AND a.digits = b.digits AND a.letters <> b.letters
+  WHERE levenshtein(a.letters, b.letters) <= least(a.e, b.e)),
+reach AS (SELECT batch_id, digits, letters AS node, letters AS root FROM nodes
+  UNION SELECT r.batch_id, r.digits, l.v, r.root FROM reach r JOIN links l ON l.batch_id = r.batch_id AND l.digits = r.digits AND l.u = r.node),
+groups AS (SELECT batch_id, digits, node, min(root) AS least FROM reach GROUP BY ALL),
+per AS (SELECT n.batch_id, g.least || n.digits AS name_key, n.name, count(*) AS n_uses FROM named n
+  JOIN groups g ON g.batch_id = n.batch_id AND g.digits = n.digits AND g.node = n.letters GROUP BY ALL)
+SELECT CAST(batch_id AS BIGINT) AS batch_id, name_key, name, n_uses, count(*) OVER (PARTITION BY batch_id, name_key) AS n_variants
+FROM per QUALIFY n_variants > 1""")
+def _(t):
+    # each order misspells its customer's name in the way of its priority
+    p, name = F.col("o_orderpriority"), F.col("c_name")
+    spelt = (
+        F.when(p == "1-URGENT", F.replace(name, F.lit("ust"), F.lit("uts"))).when(p == "2-HIGH", F.upper(F.replace(name, F.lit("om"), F.lit("omm"))))
+        .when(p == "3-MEDIUM", F.replace(name, F.lit("C"), F.lit("K"))).otherwise(name)
+    )
+    parties = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    return B.spelling_variants(parties.select(F.col("c_nationkey").alias("batch_id"), F.concat(spelt, F.lit(" "), "c_mktsegment").alias("name")))
+
+
 @query("date_format_mix", r"""
 WITH written AS (SELECT o_orderstatus AS batch_id, CASE o_orderpriority WHEN '1-URGENT' THEN strftime(o_orderdate, '%Y-%m-%d')
     WHEN '2-HIGH' THEN strftime(o_orderdate, '%d %B %Y') WHEN '3-MEDIUM' THEN strftime(o_orderdate, '%Y年%m月%d日')

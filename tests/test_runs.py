@@ -1,10 +1,13 @@
 import datetime as dt
+import random
+from collections import Counter
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from bitext_engine import rules as R
+from bitext_engine.functions.graphs import components
 from bitext_engine.operators import runs as B
 from bitext_engine.sources import outputs
 from bitext_engine.sources.files import file_inventory
@@ -129,3 +132,47 @@ def test_provenance(spark, tmp_path):
     rows = [("o1", "a.txt", hashes["a.txt"], 1), ("o2", "b.txt", hashes["b.txt"], 1), ("o3", "gone", "x", 1), ("o2", "b.txt", "old", 0)]
     manifest = spark.createDataFrame(rows, "output_path string, source_path string, source_sha256 string, version int")
     assert collect(B.freshness(manifest, right), "output_path", "status") == [("o1", "fresh"), ("o2", "stale"), ("o3", "missing")]
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_spelling_variants_same_as_all_pairs(spark):
+    r = random.Random(6)
+    rows = [("b", "Acme Corporation"), ("b", "ACME Corporatoin"), ("b", "Acme, Corp oration"), ("b", "Unit 1 Holding"), ("b", "Unit 2 Holding"), ("c", "Acme Corporatoin"), ("b", "Xyz"), ("b", "Xya"), ("b", None), ("b", "")]
+    stems = ["international business machines of the north and south", "alpine lease", "harbour trust", "kim", "lindenstrasse", "가나다라마바사아자"]
+    for _ in range(160):
+        name = list(r.choice(stems))
+        for _ in range(r.randrange(4)):
+            at = r.randrange(len(name) + 1)
+            kind = r.randrange(3)
+            name[at : at + (kind > 0)] = [r.choice("abexyz")] if kind < 2 else []
+        rows.append((r.choice("bc"), "".join(name) + r.choice(["", "", " 7"])))
+    got = collect(B.spelling_variants(spark.createDataFrame(rows, "batch_id string, name string")), "batch_id", "name_key", "name", "n_uses", "n_variants")
+    split = lambda n: ("".join(c for c in n.lower() if c.isalpha()), "".join(c for c in n if c.isdigit()))
+    nodes = {(b, *split(n)) for b, n in rows if n is not None}
+    allowed = lambda x: 2 if len(x) >= 9 else 1 if len(x) >= 5 else 0
+    group = {n: {n} for n in nodes}
+    for x in nodes:
+        for y in nodes:
+            if x[0] == y[0] and x[2] == y[2] and edits(x[1], y[1]) <= min(allowed(x[1]), allowed(y[1])) and group[x] is not group[y]:
+                group[x] |= group[y]
+                for z in group[y]:
+                    group[z] = group[x]
+    uses = Counter((b, min(n[1] for n in group[b, *split(name)]) + split(name)[1], name) for b, name in rows if name is not None)
+    several = Counter(k[:2] for k in uses)
+    assert got == sorted((*k, n, several[k[:2]]) for k, n in uses.items() if several[k[:2]] > 1)
+    assert ("b", "acmecorporation", "ACME Corporatoin", 1, 3) in got and not [x for x in got if "Unit" in x[2]]
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(40)] + [(100, 103), (103, 101), (7, 7), (None, 3), (200, 201), (201, 200)]
+    got = {x.node: x.component for x in components(spark.createDataFrame(chain, "u long, v long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 103: 100, 200: 200, 201: 200}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
