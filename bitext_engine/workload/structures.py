@@ -88,6 +88,18 @@ def _(t):
     return S.compare_counts(t.legal_pairs, S.inventory_wide(t.legal_both))
 
 
+@query("compare_counts_sides", f"""
+WITH inv AS MATERIALIZED ({inventory_sql("legal_both")} UNION ALL SELECT doc_id, 'document', 1 FROM legal_both),
+sides AS (SELECT pair_id, source_doc_id AS doc_id, 1 AS s, 0 AS t FROM legal_pairs UNION ALL SELECT pair_id, target_doc_id, 0, 1 FROM legal_pairs),
+counted AS (SELECT pair_id, kind, sum(s * n) AS n_source, sum(t * n) AS n_target FROM sides x JOIN inv i ON i.doc_id = x.doc_id GROUP BY pair_id, kind)
+SELECT pair_id, kind, CAST(n_source AS BIGINT) AS n_source, CAST(n_target AS BIGINT) AS n_target,
+  CASE WHEN kind = 'document' THEN CASE WHEN n_source > 0 AND n_target > 0 THEN 'PASS' ELSE 'FAIL' END
+    WHEN n_source = n_target THEN 'PASS' WHEN kind IN ({", ".join(q(k) for k in R.DECISIVE_KINDS)}) THEN 'FAIL' ELSE 'WARN' END AS status
+FROM counted""")
+def _(t):
+    return S.compare_counts(t.legal_pairs, S.inventory_wide(t.legal_both))
+
+
 @query("missing_articles", """
 SELECT p.pair_id, n AS num, 'missing' AS problem FROM legal_pairs p JOIN legal_articles a ON a.doc_id = p.source_doc_id
 WHERE NOT EXISTS (SELECT 1 FROM legal_articles b WHERE b.doc_id = p.target_doc_id AND b.n = a.n)

@@ -224,6 +224,19 @@ class Tables:
             F.array(F.col("m.c"), F.concat("m.b", F.lit(" "), "m.c")).alias("alternatives_considered"),
         )
 
+    @cached_property
+    def whole_glossary(self) -> DataFrame:
+        """The same of every word of every text, short ones and those of short texts among them."""
+        w = self.benchmark.select(words(F.col("text")).alias("w")).where(F.size("w") >= 2)
+        after = lambda i: F.coalesce(F.get("w", i), F.lit(""))
+        rows = w.select(F.explode(F.transform("w", lambda a, i: F.struct(a.alias("a"), after(i + 1).alias("b"), after(i + 2).alias("c")))).alias("t")).select("t.*")
+        one = rows.where((F.col("b") != "") & (F.col("a") != F.col("b"))).groupBy("a").agg(F.min(F.struct("b", "c")).alias("m"))
+        both = F.array(F.col("m.c"), F.concat("m.b", F.lit(" "), "m.c"))
+        return one.select(
+            F.col("a").alias("source_term"), F.col("m.b").alias("target_term"), F.lit("en").alias("source_lang"), F.lit("en").alias("target_lang"),
+            F.when(F.col("m.c") != "", both).otherwise(F.array().cast("array<string>")).alias("alternatives_considered"),
+        )
+
     # ---- runs
 
     @cached_property
@@ -318,6 +331,11 @@ CTES = {
               FROM (SELECT w, unnest(range(1, len(w) - 1)) AS i
                     FROM (SELECT regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark) WHERE len(w) >= 3)
               WHERE length(w[i]) >= 4 AND w[i] <> w[i + 1] GROUP BY 1)""",
+    "whole_glossary": """
+        SELECT a AS source_term, m.b AS target_term, CASE WHEN m.c <> '' THEN [m.c, m.b || ' ' || m.c] ELSE [] END AS alternatives_considered
+        FROM (SELECT w[i] AS a, min({'b': w[i + 1], 'c': coalesce(w[i + 2], '')}) AS m
+              FROM (SELECT w, unnest(range(1, len(w))) AS i FROM (SELECT regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark) WHERE len(w) >= 2)
+              WHERE w[i] <> w[i + 1] GROUP BY 1)""",
     "jobs": """
         SELECT o_orderkey AS job_id, CAST(o_orderdate AS DATE) AS date,
                CASE o_orderstatus WHEN 'F' THEN 'nda' WHEN 'O' THEN 'license' ELSE 'policy' END AS doctype,

@@ -148,3 +148,50 @@ def _(t):
         t.word_glossary.select("source_term", "target_term"), "target_term"
     ).withColumn("kind", F.lit("defined"))
     return M.lock_violations(t.turn_pairs, t.turns, locks)
+
+
+# ---- the same operators over a glossary of every word. Their twins join one table at a time
+
+_TURNS = "WITH texts AS (SELECT doc_id, 1 AS role_of, text FROM turns)," + SPACED
+_STATUS = "CASE WHEN x.n IS NULL THEN 'absent' WHEN x.n < w.n_source THEN 'under' ELSE 'ok' END"
+
+
+@query("usage_whole", _TURNS + f""",
+pairs_n AS (SELECT p.pair_id, p.target_doc_id, s.g, s.n AS n_source FROM turn_pairs p JOIN n s ON s.doc_id = p.source_doc_id),
+wanted AS (SELECT p.pair_id, p.target_doc_id, g.source_term, g.target_term, p.n_source FROM pairs_n p JOIN whole_glossary g ON g.source_term = p.g)
+SELECT w.pair_id, w.source_term, w.target_term, w.n_source, coalesce(x.n, 0) AS n_target, {_STATUS} AS status
+FROM wanted w LEFT JOIN n x ON x.doc_id = w.target_doc_id AND x.g = w.target_term""")
+def _(t):
+    return M.check_usage(t.turn_pairs, t.turns, t.whole_glossary)
+
+
+@query("working_whole", "WITH texts AS (SELECT doc_id, 1 AS role_of, text FROM documents)," + SPACED + """
+SELECT n.doc_id, g.source_term, g.target_term, n.n AS n_source FROM n JOIN whole_glossary g ON g.source_term = n.g""")
+def _(t):
+    resolved = t.whole_glossary.drop("alternatives_considered")
+    return M.working_glossary(t.docs.withColumn("lang", F.lit("en")), resolved).select("doc_id", "source_term", "target_term", "n_source")
+
+
+@query("alternatives_whole", "WITH texts AS (SELECT doc_id, 1 AS role_of, text FROM documents)," + SPACED + """
+SELECT n.doc_id, a.source_term, a.target_term, a.alternative, n.n AS n_used
+FROM n JOIN (SELECT DISTINCT source_term, target_term, unnest(alternatives_considered) AS alternative FROM whole_glossary) a
+  ON a.alternative = n.g WHERE a.alternative <> a.target_term""")
+def _(t):
+    return M.alternatives_used(t.docs.withColumn("lang", F.lit("en")), t.whole_glossary)
+
+
+@query("lock_violations_whole", _TURNS + f""",
+written AS (SELECT DISTINCT conv_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS w FROM conversations WHERE role = 'user'),
+locks AS (SELECT DISTINCT conv_id, source_term, target_term FROM whole_glossary JOIN written ON w = target_term),
+pairs_n AS (SELECT p.batch_id, p.pair_id, p.target_doc_id, s.g, s.n AS n_source FROM turn_pairs p JOIN n s ON s.doc_id = p.source_doc_id),
+wanted AS (SELECT p.batch_id, p.pair_id, p.target_doc_id, g.source_term, g.target_term, p.n_source FROM pairs_n p JOIN locks g ON g.source_term = p.g AND g.conv_id = p.batch_id),
+judged AS (SELECT w.batch_id, w.pair_id, w.source_term, w.target_term, w.n_source, coalesce(x.n, 0) AS n_target, {_STATUS} AS status
+  FROM wanted w LEFT JOIN n x ON x.doc_id = w.target_doc_id AND x.g = w.target_term)
+SELECT * FROM judged WHERE status <> 'ok'""")
+def _(t):
+    user = t.turns.where(F.col("role") == "user")
+    targets = t.whole_glossary.select(F.col("target_term").alias("term"), F.col("target_lang").alias("lang"))
+    written = M.term_counts(user, targets, True, [1]).withColumn("batch_id", F.floor(F.col("doc_id") / 1000))
+    locks = written.select("batch_id", F.col("term").alias("target_term")).distinct().join(
+        t.whole_glossary.select("source_term", "target_term"), "target_term").withColumn("kind", F.lit("defined"))
+    return M.lock_violations(t.turn_pairs, t.turns, locks)
