@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,10 @@ ENTITIES = (
     ("&sect;", "§"), ("&para;", "¶"), ("&middot;", "·"), ("&bull;", "•"), ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"),
     ("&euro;", "€"), ("&pound;", "£"), ("&times;", "×"), ("&deg;", "°"), ("&amp;", "&"),
 )
-NUMERIC = r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+NUMERIC = r"^(0*[0-9]{1,7}|[xX]0*[0-9a-fA-F]{1,6});"
+# all other names, as Python's own table of HTML lists them, in one literal
+_OTHERS = "\x1e".join(f"{name[:-1]}\x1f{char}" for name, char in sorted(html5.items()) if name.endswith(";") and f"&{name}" not in dict(ENTITIES))
+NAMED = r"^([A-Za-z][A-Za-z0-9]*);"
 
 
 def _numeric(text: Column) -> Column:
@@ -40,9 +45,21 @@ def _numeric(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&#")), F.array_join(pieces, "")).otherwise(text)
 
 
+def _named(text: Column) -> Column:
+    """Entities by any name that HTML has; what is no such name stays as it is written."""
+    known = F.str_to_map(F.lit(_OTHERS), F.lit("\x1e"), F.lit("\x1f"))
+
+    def decoded(piece: Column) -> Column:
+        name = F.regexp_extract(piece, NAMED, 1)
+        return F.concat(F.try_element_at(known, name), F.substr(piece, F.length(name) + 2))
+
+    pieces = F.transform(F.split(text, "&"), lambda p, i: F.when(i == 0, p).otherwise(F.coalesce(decoded(p), F.concat(F.lit("&"), p))))
+    return F.when(text.rlike("&[A-Za-z][A-Za-z0-9]*;"), F.array_join(pieces, "")).otherwise(text)
+
+
 def _plain(col: Column) -> Column:
     bare = F.regexp_replace(col, ANY_TAG, " ")
-    out = _numeric(bare)
+    out = _named(_numeric(bare))
     for entity, char in ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
     out = F.when(F.contains(bare, F.lit("&")), out).otherwise(bare)

@@ -97,6 +97,12 @@ def test_nested_regions_and_entities(spark):
         ("nav", "menu"), ("header", "x"), ("paragraph", "’“§A&#1114112;&#0; &lt;"), ("nav", "m"), ("paragraph", "after")]
 
 
+def test_entities_of_any_name(spark):
+    html = "<p>caf&eacute; &#000000039;x&#x0000041; &nosuchname; &AMP &comma;&colon;&NotEqualTilde; &amp;eacute; a & b &copy;</p>"
+    (row,) = html_to_blocks(spark.createDataFrame([(1, html)], "page_id long, html string")).collect()
+    assert row["text"] == "café 'xA &nosuchname; &AMP ,:≂̸ &eacute; a & b ©"
+
+
 def test_blocks(spark, tmp_path):
     pages = spark.createDataFrame([(1, (
         "<html><head><title>T</title></head><body><nav><a>Home</a></nav><header>H</header><h1>Lease &amp; Co</h1><p>One<br>two</p>"
