@@ -64,11 +64,11 @@ def _once(texts: DataFrame, watermark: str, arrived: Column | None = None, once:
 
 
 #: Hashes of the manifest are kept in as many folders, so that a micro-batch reads those that its own hashes fall into.
-BUCKETS = 256
+BUCKETS = 64
 
 
 def _bucket() -> Column:
-    return F.conv(F.substring("sha256", 1, 2), 16, 10).cast("int").alias("bucket")
+    return (F.conv(F.substring("sha256", 1, 2), 16, 10).cast("int") % BUCKETS).alias("bucket")
 
 
 def ingest_once(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
@@ -93,7 +93,8 @@ def ingest_once(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
                 fresh = rows
             fresh.write.mode("overwrite").parquet(folder(f"{out}", "documents", batch_id))
             written = spark.read.schema(rows.schema).parquet(folder(f"{out}", "documents", batch_id))
-            written.select("sha256", _bucket()).write.mode("overwrite").partitionBy("bucket").parquet(folder(out, "manifest", batch_id))
+            # one file a bucket
+            written.select("sha256", _bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder(out, "manifest", batch_id))
         finally:
             rows.unpersist()
 
