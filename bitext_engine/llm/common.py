@@ -64,6 +64,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def apart(docs: DataFrame, *used: str) -> tuple[DataFrame, list]:
+    """`docs` with its columns but for `used` under names that no operator uses, and the columns that give all of them back.
+
+    Two columns of one name keep apart, too.
+    """
+    own = {name.lower(): name for name in used}
+    names = [own.get(c.lower(), f"_in{i}") for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

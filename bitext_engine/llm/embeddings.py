@@ -13,8 +13,11 @@
 
 Cosines are products of unit vectors in double precision.
 
-Defined cases: a vector that is null, empty, zero, of another length than most, or holds null or non-finite
-components links with nothing, and so does a null label; a null vec_id is a row with null component_id that is kept;
+Vectors are compared within their label and length: a length of a label is a group like a label of its own. Lengths between two
+powers of two are compared at once, shorter vectors padded with zeros, which changes no cosine.
+
+Defined cases: a vector that is null, empty, zero, or holds null or non-finite
+components links with nothing, and so does a null label; vectors of different lengths are not linked; a null vec_id is a row with null component_id that is kept;
 rows that repeat a vec_id are one node and count as vectors of their own; an empty table gives no rows. Only
 vec_id, embedding and label are read.
 """
@@ -223,6 +226,17 @@ def _compared(visits: DataFrame, cosine: float) -> DataFrame:
     return dealt.mapInArrow(work, "node long, links long, u long, v long")
 
 
+def _linked(units: DataFrame, n: int, cosine: float) -> DataFrame:
+    """(node, links, u, v) of `_compared` for `n` unit vectors of one length, label by label."""
+    centres = centroids(units, max(CELLS_LEAST, min(CELLS_MOST, -(-n // CELL_SIZE))))
+    homes = saved(_homes(units, centres), "vectors-homes")
+    cells = homes.groupBy("label", "cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count("*").alias("members"))
+    known = cells.groupBy("label").agg(
+        F.collect_list(F.struct("cell", "low", "high", F.ceil(F.col("members") / SLICE).alias("slices"))).alias("known")
+    )
+    return _compared(_visits(homes, known, centres, cosine), cosine)
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept), a row a row of `vectors`."""
     units = saved(unit_vectors(vectors), "vectors-units")
@@ -231,27 +245,28 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     distinct = valid.join(same, ["label", "key", "vec_id"]).dropDuplicates(["label", "key"])
     # a vec_id that stands for several vectors of its own is told apart by a number
     distinct = saved(distinct.select(F.xxhash64("label", "key", "vec_id").alias("node"), "label", "key", "vec_id", "weight", "unit", F.length("unit").alias("size")), "vectors-distinct")
-    sizes = distinct.groupBy("size").count().orderBy(F.col("count").desc(), "size").limit(1).collect()
+    # a class is the lengths up to a power of two: at most some twenty, however many lengths there are
+    power = F.ceil(F.log2(F.col("size"))).cast("int")
+    sizes = distinct.groupBy(power.alias("power")).agg(F.count("*").alias("n"), F.max("size").alias("most"), F.min("size").alias("least")).orderBy("power").collect()
     rows = units.select("vec_id", "label", "key")
     if not sizes:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    full = distinct.where(F.col("size") == sizes[0]["size"])
-    centres = centroids(full, max(CELLS_LEAST, min(CELLS_MOST, -(-sizes[0]["count"] // CELL_SIZE))))
-
-    homes = saved(_homes(full, centres), "vectors-homes")
-    cells = homes.groupBy("label", "cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count("*").alias("members"))
-    known = cells.groupBy("label").agg(
-        F.collect_list(F.struct("cell", "low", "high", F.ceil(F.col("members") / SLICE).alias("slices"))).alias("known")
-    )
-    found = saved(_compared(_visits(homes, known, centres, cosine), cosine), "vectors-found")
+    found = None
+    for s in sizes:
+        some = distinct.where(power == s["power"])
+        if s["least"] < s["most"]:
+            zeros = F.expr(f"cast(repeat(char(0), {s['most']} - size) as binary)")
+            some = some.withColumn("label", F.xxhash64("label", "size")).withColumn("unit", F.concat("unit", zeros))
+        links = saved(_linked(some, s["n"], cosine), "vectors-found")
+        found = links if found is None else found.unionByName(links)
     counts = found.where("node is not null").groupBy("node").agg(F.sum("links").alias("links"))
-    names = full.select("node", "vec_id")
+    names = distinct.select("node", "vec_id")
     links = found.where("u is not null").select("u", "v")
     links = links.join(names.select(F.col("node").alias("u"), F.col("vec_id").alias("a")), "u").join(names.select(F.col("node").alias("v"), F.col("vec_id").alias("b")), "v")
     # other rows of an equal vector are linked with its first one
     copies = valid.select("label", "key", F.col("vec_id").alias("a")).join(same.where("weight > 1").select("label", "key", F.col("vec_id").alias("b")), ["label", "key"])
     joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(copies.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    of_vector = full.join(counts, "node", "left").select(
+    of_vector = distinct.join(counts, "node", "left").select(
         "label", "key", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links")
     )
     out = rows.join(of_vector, ["label", "key"], "left").join(joined.withColumnRenamed("node", "vec_id"), "vec_id", "left")

@@ -12,7 +12,8 @@ source, so a source that holds most of the corpus is still thousands of tasks.
 
 Defined cases: null or empty text has size 0 and takes 0; null source is a source of its own (ranked
 last); a source without words has target 0; a null doc_id is hashed as empty text; repeated rows are
-documents of their own; an empty table gives no rows. Only doc_id, text and source are read.
+documents of their own; an empty table gives no rows. Only doc_id, text and source are read; `repeat_documents`
+hands all other columns through, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bitext_engine.llm.common import WORD, saved
+from bitext_engine.llm.common import WORD, apart, saved
 
 MAX_EPOCHS = 3
 SEED = "mix-1"
@@ -98,6 +99,7 @@ def repeat_documents(docs: DataFrame, **how) -> DataFrame:
         F.max("whole").alias("_whole"), F.max("part").alias("_part")
     ).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_whole", "_part")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    docs, back = apart(docs, "doc_id", "text", "source", "n_chars")
     rows = docs.withColumn("_words", size).join(
         taken,
         F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")),
@@ -110,7 +112,7 @@ def repeat_documents(docs: DataFrame, **how) -> DataFrame:
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    return rows.select(*back)
 
 
 SQL = r"""

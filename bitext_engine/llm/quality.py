@@ -13,7 +13,8 @@ For `documents` the host is `source` and the path `lang`.
 
 Defined cases: null text is empty; null host or path is a site of its own; labels that are null or neither 0 nor 1
 are not used, of several labels of one document the mean is, rounded; without labels of both kinds the evidence is 0;
-rows that repeat are documents of their own; an empty table gives no rows; other columns are handed through.
+rows that repeat are documents of their own; an empty table gives no rows; other columns are handed through, whatever
+their names (`score` puts its four figures in the place of columns of the same names).
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitext_engine.llm.common import WORD, least_hashed, saved, table
+from bitext_engine.llm.common import WORD, apart, least_hashed, saved, table
 
 LABELLED_MOST = 20_000
 SITES_MOST = 100_000  # rows of the table of paths that is broadcast; beyond that it is joined by shuffle
 KEEP_FROM = 0.5
+FIXED = 1 << 24  # expected counts are summed in whole parts of 1 / FIXED, so that reruns give the same sums
 SYMBOLS = r"%&$#*|!<>{}[]=+~^@\_"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
 
@@ -96,24 +98,27 @@ def _strength(sites: DataFrame, above: Column) -> float:
     return min(1e4, max(1.0, 1 / beyond - 1 if beyond > 0 else 1e4))
 
 
-def score(docs: DataFrame, evidence: Evidence, host: str = "source", path: str = "lang") -> DataFrame:
-    """`docs` with _evidence, _host_rate, _path_rate (both with the document itself left in) and _probability."""
+def posteriors(rows: DataFrame, share: float, host: str, path: str) -> DataFrame:
+    """`rows` (with host, path, _evidence) and _host_rate, _path_rate (both with the row itself left in) and _probability.
+
+    `share` is the share of good documents that the evidence is measured from. _h, _p, _n and _good are no columns of `rows`.
+    """
     import math
 
-    odds = math.log(evidence.share / (1 - evidence.share))
-    first = 1 / (1 + F.exp(-(F.col("_evidence") + odds)))
-    seen = docs.select(F.col(host).alias("_h"), F.col(path).alias("_p"), evidence.log_odds(F.col("text")).alias("_evidence"))
-    paths = saved(seen.groupBy("_h", "_p").agg(F.count("*").alias("_n"), F.sum(first).alias("_good")), "quality-paths")
+    expected = F.round(FIXED / (1 + F.exp(-(F.col("_evidence") + math.log(share / (1 - share)))))).cast("long")
+    first = expected / FIXED
+    seen = rows.select(F.col(host).alias("_h"), F.col(path).alias("_p"), expected.alias("_good"))
+    paths = saved(seen.groupBy("_h", "_p").agg(F.count("*").alias("_n"), F.sum("_good").alias("_good")), "quality-paths")
     corpus = paths.agg(F.sum("_n").alias("n"), F.sum("_good").alias("good")).first()
-    rate = (corpus["good"] + 1) / (corpus["n"] + 2) if corpus["n"] else 0.5
-    hosts = paths.groupBy("_h").agg(F.sum("_n").alias("_n"), F.sum("_good").alias("_good"))
+    rate = (corpus["good"] / FIXED + 1) / (corpus["n"] + 2) if corpus["n"] else 0.5
+    hosts = paths.groupBy("_h").agg(F.sum("_n").alias("_n"), (F.sum("_good") / FIXED).alias("_good"))
     k = _strength(hosts, F.lit(rate))
     hosts = hosts.select(F.col("_h").alias("_hh"), ((F.col("_good") + k * rate) / (F.col("_n") + k)).alias("_host_rate"))
+    paths = paths.withColumn("_good", F.col("_good") / FIXED)
     paths = saved(paths.join(hosts, F.col("_h").eqNullSafe(F.col("_hh"))).drop("_hh"), "quality-sites")
     k = _strength(paths, F.col("_host_rate"))
     if paths.count() <= SITES_MOST:
         paths = F.broadcast(paths)
-    rows = docs.withColumn("_evidence", evidence.log_odds(F.col("text")))
     rows = rows.join(paths, F.col(host).eqNullSafe(F.col("_h")) & F.col(path).eqNullSafe(F.col("_p")), "left")
     own = (F.col("_good") - first + k * F.col("_host_rate")) / (F.col("_n") - 1 + k)
     own = F.least(F.greatest(own, F.lit(1e-6)), F.lit(1 - 1e-6))
@@ -122,14 +127,31 @@ def score(docs: DataFrame, evidence: Evidence, host: str = "source", path: str =
     return rows.withColumns({"_path_rate": rate_of_path, "_probability": probability}).drop("_h", "_p", "_n", "_good")
 
 
+def _scored(docs: DataFrame, evidence: Evidence, host: str, path: str) -> tuple[DataFrame, list]:
+    """The rows of `docs` with the figures of `score`, and the columns that give those of `docs` back."""
+    rows, back = apart(docs, "text", host, path)
+    return posteriors(rows.withColumn("_evidence", evidence.log_odds(F.col("text"))), evidence.share, host, path), back
+
+
+def score(docs: DataFrame, evidence: Evidence, host: str = "source", path: str = "lang") -> DataFrame:
+    """`docs` with _evidence, _host_rate, _path_rate (both with the document itself left in) and _probability."""
+    rows, back = _scored(docs, evidence, host, path)
+    own = ["_evidence", "_host_rate", "_path_rate", "_probability"]
+    return rows.select(*[c for n, c in zip(docs.columns, back, strict=True) if n.lower() not in own], *own)
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
     """The rows of `docs` whose posterior is at least `keep_from`, with the columns of `docs`."""
-    return score(docs, fit(docs, labels)).where(F.col("_probability") >= keep_from).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, back = _scored(docs, fit(docs, labels), "source", "lang")
+    return rows.where(F.col("_probability") >= keep_from).select(*back)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    rows = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    evidence = fit(docs, table(spark, sf_dir, "labels"))
+    # the texts are read once: what the two passes over sites need of them is one number a document
+    rows = saved(docs.select("doc_id", "source", "lang", evidence.log_odds(F.col("text")).alias("_evidence")), "quality-evidence")
+    rows = posteriors(rows, evidence.share, "source", "lang")
     return rows.select(
         "doc_id", F.col("_evidence").alias("evidence"), F.col("_host_rate").alias("host_rate"), F.col("_path_rate").alias("path_rate"),
         F.col("_probability").alias("probability"), (F.col("_probability") >= KEEP_FROM).alias("kept"),

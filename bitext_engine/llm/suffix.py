@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bitext_engine.llm.common import saved, table
+from bitext_engine.llm.common import apart, saved, table
 from bitext_engine.llm.worker_memory import releasing
 
 LENGTH = 200
@@ -359,8 +359,14 @@ def _solved(rows: DataFrame, levels: tuple[int, ...]) -> DataFrame:
     return few.unionByName(back)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """`docs` (with doc_id, text) without repeated strings, and n_bytes, n_removed, n_spans, kept_sha256."""
+def remove_repeats(docs: DataFrame, figures: bool = True) -> DataFrame:
+    """`docs` (with doc_id, text) without repeated strings, and n_bytes, n_removed, n_spans, kept_sha256.
+
+    Other columns are handed through, whatever their names. Where the input has columns named like the four figures,
+    the figures take their place; without `figures` the result has the columns of `docs` only.
+    """
+    names = docs.columns
+    docs, back = apart(docs, "doc_id", "text")
     texts = packed(docs)
     found = saved(anchors(docs), "suffix-anchors")
     repeats = found.groupBy("h").agg(F.count("*").alias("n"), F.min("w").alias("a"), F.max("w").alias("b")).where("n > 1")
@@ -414,7 +420,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, [f.name for f in schema])
 
     joined = texts.join(hits, F.col("_key") == F.col("_hit"), "left")
-    return joined.select(*[F.col(f"`{f.name}`") for f in kept_fields], "_z", "_hits").mapInArrow(releasing(work), schema)
+    out = joined.select(*[F.col(f"`{f.name}`") for f in kept_fields], "_z", "_hits").mapInArrow(releasing(work), schema)
+    if not figures:
+        return out.select(*back)
+    added = [n for n in results if n != "text"]
+    return out.select(*[c for n, c in zip(names, back, strict=True) if n.lower() not in added], *added)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

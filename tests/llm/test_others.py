@@ -70,7 +70,7 @@ def brute_vectors(rows, cosine):
 
     for i in unit:
         for j in unit:
-            if i != j and rows[i][2] == rows[j][2] and unit[i] @ unit[j] >= cosine:
+            if i != j and rows[i][2] == rows[j][2] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= cosine:
                 links[i] += 1
                 a, b = sorted((find(rows[i][0]), find(rows[j][0])))
                 root[b] = a
@@ -107,6 +107,68 @@ def test_quality_on_held_out_labels(spark):
     assert quality.keep_good(odd.where("false"), none).count() == 0
 
 
+def test_posteriors_by_hand(spark):
+    import math
+
+    share = 0.6
+    rows = [("big", "a", 2.0)] * 30 + [("big", "b", -1.5)] * 12 + [("small", "a", -4.0), ("bad", None, -2.5), ("bad", None, -3.0), (None, "a", 0.5)] + [("bad", "c", -2.0)] * 9
+    p = [1 / (1 + math.exp(-(e + math.log(share / (1 - share))))) for _, _, e in rows]
+
+    def sums(key):
+        out = {}
+        for r, x in zip(rows, p, strict=True):
+            n, good = out.get(key(r), (0, 0.0))
+            out[key(r)] = (n + 1, good + x)
+        return out
+
+    def strength(sites, above):
+        """The variance of rates beyond that of single documents, as a number of documents."""
+        weight = sum(n * above(s) * (1 - above(s)) for s, (n, _) in sites.items())
+        spread = sum(n * (g / n - above(s)) ** 2 for s, (n, g) in sites.items()) - sum(above(s) * (1 - above(s)) for s in sites)
+        beyond = max(0.0, spread) / weight
+        return min(1e4, max(1.0, 1 / beyond - 1 if beyond else 1e4))
+
+    rate = (sum(p) + 1) / (len(p) + 2)
+    hosts, paths = sums(lambda r: r[0]), sums(lambda r: r[:2])
+    k = strength(hosts, lambda s: rate)
+    host_rate = {s: (g + k * rate) / (n + k) for s, (n, g) in hosts.items()}
+    k2 = strength(paths, lambda s: host_rate[s[0]])
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, host string, path string, _evidence double")
+    got = {r.id: r for r in quality.posteriors(table, share, "host", "path").collect()}
+    assert len(got) == len(rows)
+    for i, (host, path, e) in enumerate(rows):
+        n, good = paths[host, path]
+        own = (good - p[i] + k2 * host_rate[host]) / (n - 1 + k2)
+        want = 1 / (1 + math.exp(-(math.log(own / (1 - own)) + e)))
+        assert abs(got[i]._host_rate - host_rate[host]) < 1e-5 and abs(got[i]._path_rate - (good + k2 * host_rate[host]) / (n + k2)) < 1e-5
+        assert abs(got[i]._probability - want) < 1e-5
+    # a site of one document falls back on what lies above it: its own evidence is left out
+    alone = next(i for i, r in enumerate(rows) if r[0] == "small")
+    own = got[alone]._host_rate
+    assert abs(got[alone]._probability - 1 / (1 + math.exp(-(math.log(own / (1 - own)) - 4.0)))) < 1e-5
+
+
+def test_scores_beside_columns_of_their_names(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", "en", 7, 8, 9), (2, None, None, None, 7, 8, 9)], "doc_id long, text string, source string, lang string, _evidence int, _n int, _h int")
+    rows = quality.score(docs, quality.Evidence({}, 0.0, 0.5))
+    assert rows.columns == ["doc_id", "text", "source", "lang", "_n", "_h", "_evidence", "_host_rate", "_path_rate", "_probability"]
+    assert [(r._evidence, r._n, r._h) for r in rows.collect()] == [(0.0, 8, 9)] * 2
+
+
+@pytest.mark.parametrize("lengths", [(3, 2), (6, 5, 7, 1, 40)])
+def test_embeddings_of_several_lengths(spark, lengths):
+    r = np.random.default_rng(5)
+    rows = []
+    for n in lengths:
+        for _ in range(6):
+            centre = r.normal(size=n)
+            rows += [(len(rows) + j, [float(x) for x in np.float32(centre + r.normal(size=n) * 0.15)], int(r.integers(2))) for j in range(5)]
+        rows += [(len(rows) + j, rows[-1][1], 1) for j in range(3)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted((x.vec_id, x.n_links, x.component_id) for x in embeddings.near_duplicates(vectors).collect())
+    assert got == brute_vectors(rows, embeddings.COSINE) and any(n for _, n, _ in got[-8:])
+
+
 def test_licences(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = licenses.scan_documents(docs).join(docs, "doc_id").collect()

@@ -66,15 +66,16 @@ def test_run(spark):
 
 
 def test_empty_and_repeated(spark):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, _z int"
-    rows = [(1, None, None, None, None, "x", 1), (1, None, None, None, None, "x", 1), (None, "a b c", "en", "s", 5, "x", 1), (2, "", "en", "s", 0, "x", 1)]
+    clashing = ["_z", "_key", "_hit", "_hits", "n_bytes", "n_removed", "n_spans", "kept_sha256", "_id", "_words", "_source", "_copy", "_whole", "_h", "_p", "_n", "_good", "_evidence", "_probability", "_path_rate"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, " + ", ".join(f"{c} int" for c in clashing)
+    more = ("x", *range(len(clashing)))
+    rows = [(1, None, None, None, None, *more), (1, None, None, None, None, *more), (None, "a b c", "en", "s", 5, *more), (2, "", "en", "s", 0, *more)]
     for data in (rows, []):
         docs = spark.createDataFrame(data, schema)
         for name, stage in corpus_pipeline.STAGES:
-            if name == "repeats":
-                docs = docs.drop("_z")
             out = stage(spark, docs, SF)
             docs = spark.createDataFrame(out.collect(), out.schema)
             if name != "packing":
-                assert "kept" in docs.columns
+                assert docs.columns == [f.split()[0] for f in schema.split(", ")]
+                assert all(tuple(r)[5:] == more for r in docs.collect())
         assert docs.count() == 0 or data
