@@ -204,6 +204,48 @@ def test_licences_inside_long_lines(spark):
     assert not [r for r in licenses.training_rows(odd).where("family = 'unknown'").collect() if r.line in {x[1] for x in lines if x[0] in (1, 2, 3, 4, 6, 8)}]
 
 
+STATEMENTS = [
+    ("gpl-2.0", "This program is distributed under the GNU General Public License, version 2."),
+    ("lgpl-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("cc-by-nd", "This photo is licensed under CC BY-ND 4.0."), ("cc-by-sa", "Text licensed under CC BY-SA 4.0"), ("cc-by-nc-sa", "Licensed under CC BY-NC-SA 4.0."), ("cc-by", "licensed under CC BY 4.0"),
+    ("mpl-2.0", "SPDX-License-Identifier: MPL-2.0"), ("gpl-2.0", "// SPDX-License-Identifier: GPL-2.0-only"), ("bsd-2-clause", "SPDX-License-Identifier: BSD-2-Clause"), ("bsd-3-clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("isc", "This code is licensed under the ISC License"), ("mpl-2.0", "Licensed under the Mozilla Public License, Version 2.0"), ("lgpl-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("agpl-3.0", "licensed under the GNU Affero General Public License, version 3"), ("cc0-1.0", "Released under CC0 1.0"), ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("gpl", "You should have received a copy of the GNU General Public License along with this program."), ("mit", "MIT License"),
+    # broken over lines
+    ("gpl-3.0", "This work is licensed under the GNU General\nPublic License, version 3."), ("apache-2.0", "Licensed under the Apache License,\nVersion 2.0"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"),
+    # no family
+    ("", "Licensed under the Frobnitz Public License, Version 2.0"), ("", "SPDX-License-Identifier: Foo-2.0"), ("", "Licensed under the GNU General Public License, version 7"),
+    ("", "The driver licence was taken; all that is by the book, version 2 of the story."), ("", "GNU is not Unix, the general said in public"),
+]
+
+
+def families_of(spark, scanner, lines):
+    rows = spark.createDataFrame(list(enumerate(lines)), "doc_id int, text string")
+    got = {}
+    for r in licenses.scan(rows, scanner).where("confirmed").collect():
+        got.setdefault(r.doc_id, set()).add(r.family)
+    return [",".join(sorted(got.get(i, []))) for i in range(len(lines))]
+
+
+def test_licences_and_their_neighbours(spark):
+    scanner = licenses.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    templates = [(f, t) for f, lines in licenses.TEMPLATES.items() for t in lines]
+    every = STATEMENTS + templates
+    got = families_of(spark, scanner, [t for _, t in every])
+    assert [(g, t) for g, (_, t) in zip(got, every, strict=True)] == every
+
+
+@pytest.mark.parametrize("left_out", [("gpl-2.0", "mpl-2.0", "cc-by-nd", "lgpl-3.0", "bsd-2-clause", "isc"), ("gpl-3.0", "apache-2.0", "cc-by-sa", "agpl-3.0", "cc-by", "mit")])
+def test_licences_that_are_no_family_are_unknown(spark, left_out):
+    marked = {f: lines for f, lines in licenses.MARKED.items() if f not in left_out}
+    scanner = licenses.fit(spark.read.parquet(f"{SF}/documents.parquet"), marked)
+    lines = [(f, t) for f in left_out for t in licenses.TEMPLATES[f]] + [(f, t) for f, t in STATEMENTS if f in left_out]
+    got = families_of(spark, scanner, [t for _, t in lines])
+    assert [(g, t) for g, (_, t) in zip(got, lines, strict=True) if g] == []
+
+
 def test_preferences(spark):
     schema = "pair_id long, turn long, role string, text string, part int"
     chosen = spark.createDataFrame([(1, 0, "user", "hi", 0), (1, 1, "assistant", "good", 0), (1, 1, "assistant", "good", 0), (2, 0, None, None, 0), (None, 0, "user", "x", 0)], schema)
